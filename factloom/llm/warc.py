@@ -254,7 +254,7 @@ five AS (
   SELECT page_id, html, first_id, string_agg(lpad(bin(('0x' || c)::INT), 4, '0'), '' ORDER BY i) AS bits
   FROM (SELECT page_id, html, first_id, i, substr(h, i::INT, 1) AS c FROM hex, range(1, 41) r(i)) GROUP BY page_id, html, first_id)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(bits, 5 * k::INT + 1, 1)::INT + 8 * substr(bits, 5 * k::INT + 2, 1)::INT + 4 * substr(bits, 5 * k::INT + 3, 1)::INT + 2 * substr(bits, 5 * k::INT + 4, 1)::INT + substr(bits, 5 * k::INT + 5, 1)::INT), 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(bits, 5 * k::INT + 1, 1)::INT + 8 * substr(bits, 5 * k::INT + 2, 1)::INT + 4 * substr(bits, 5 * k::INT + 3, 1)::INT + 2 * substr(bits, 5 * k::INT + 4, 1)::INT + substr(bits, 5 * k::INT + 5, 1)::INT), 1)), '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM five
