@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import drop_table, materialize, shared_dir  # noqa: F401
+
 #: The white space of every contract here; bytes.split() without arguments splits on exactly these bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,30 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the session names, or one of our own where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "/tmp/factloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: 64-bit words of a filter of ids: 12 MB as a broadcast table at any input size. A fuller filter lets more rows through.
+FILTER_WORDS = 1 << 18
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files behind a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def possibly_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose key isn't in ids(key): a join with ids must follow. No row shuffles: the ids come
+    as bits of hashes, at most FILTER_WORDS rows."""
+    place = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6).alias("filter_word"), place.bitwiseAND(63).cast("int").alias("filter_bit")
+    bits = ids.select(word, bit).groupBy("filter_word").agg(F.expr("bit_or(shiftleft(1L, filter_bit))").alias("filter_bits"))
+    marked = rows.select("*", word, bit).join(F.broadcast(bits), "filter_word").where("(shiftright(filter_bits, filter_bit) & 1L) = 1")
+    return marked.select(rows.columns)
 
 
 def normalized(text):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_schema, clustered, components, materialize, mixed, slices, streamed_groups, table, text_column, windows
+from .common import Tokens, arrow_schema, clustered, components, materialize, mixed, possibly_in, slices, streamed_groups, table, text_column, windows
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
@@ -238,22 +238,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     members = met.where("n > 0").select(F.col("a").alias("doc"), "n").groupBy("doc").agg(F.max("n").alias("n")).join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
     dealt = materialize(tiles(members, tile, num, den), "tiles")
 
-    ddl = "cluster long, t struct<lo:long,i:int,j:int>, doc long, n int, h binary"
+    ddl = "c long, lo long, i int, j int, doc long, h binary"
     _, schema = arrow_schema(ddl)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = text_column(batch)
-            for a, some in slices(col):
+            for a, some in slices(text_column(batch)):
                 h, bounds = shingle_sets(some, shingle)
-                part = batch.slice(a, len(some))
                 hs = pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(some))], pa.binary())
-                get = lambda c, part=part: part.column(part.schema.get_field_index(c))
-                yield pa.RecordBatch.from_arrays([get("cluster"), get("t"), get("doc_id"), pa.array(np.diff(bounds).astype(np.int32)), hs], schema=schema)
+                part = batch.slice(a, len(some))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f)) for f in schema.names[:-1]), hs], schema=schema)
 
-    texts = docs.join(members.select(F.col("doc").alias("doc_id"), "cluster"), "doc_id").withColumn("t", F.lit(None).cast("struct<lo:long,i:int,j:int>"))
-    texts = texts.select("doc_id", "text", "cluster", "t").mapInArrow(sets, ddl)
-    rows = dealt.select("doc", F.col("t").alias("task"), F.col("cluster").alias("c")).join(texts.drop("t"), "doc").select("c", F.col("task.lo").alias("lo"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "doc", "h")
+    texts = possibly_in(docs, "doc_id", dealt.select(F.col("doc").alias("doc_id"))).join(dealt.withColumnRenamed("doc", "doc_id"), "doc_id")
+    rows = texts.select("text", F.col("cluster").alias("c"), "t.lo", "t.i", "t.j", F.col("doc_id").alias("doc")).mapInArrow(sets, ddl)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in streamed_groups(batches, ["c", "lo", "i", "j"]):
