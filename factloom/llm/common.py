@@ -60,7 +60,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return col.fill_null("") if col.null_count else col
 
 
-def slices(col: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(col: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) of a string column in parts of about that many bytes; a longer text is alone."""
     ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0

@@ -24,7 +24,7 @@ ORDER = 6
 SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
 #: Bytes of text of a block of documents, whose words and keys are numbered together.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 #: Context bytes by which the keys are dealt; the orders below it are small tables that every task has.
 DEALT_BY = 2
 

@@ -24,7 +24,7 @@ BLOCK = 1536
 #: of three or four large ones don't (padding 0.5 % against 7 %).
 PIECE = 512
 #: Words whose ids a worker remembers. A cache only: it starts afresh when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
