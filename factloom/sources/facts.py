@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ FACTS = {
     "stmt": """
         SELECT o_custkey AS module, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS pos,
                CAST(l_linenumber AS BIGINT) AS kind, l_suppkey % 8 AS lhs, CAST(floor(l_suppkey / 8) AS BIGINT) % 8 AS rhs,
-               l_partkey % 6 AS obj, l_suppkey AS sk, l_partkey AS pk
+               l_partkey % 6 AS obj, l_suppkey AS sk, l_partkey AS pk, l_orderkey AS ok
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "small_stmt": "SELECT * FROM stmt WHERE pos <= 16",
     # memory accesses: byte ranges of objects, in the order of statements
@@ -37,6 +38,18 @@ FACTS = {
         SELECT module, pos, CASE WHEN kind IN (3) THEN 'kill' WHEN kind = 7 THEN 'def' ELSE 'use' END AS role, obj,
                sk % 16 AS lo, sk % 16 + pk % 8 AS hi
         FROM stmt WHERE kind IN (3, 4, 7)""",
+    # the same accesses, placed in the control flow: a statement's block is its order
+    "mem_site": """
+        SELECT s.module AS fn, n.node, s.pos, CASE WHEN s.kind = 3 THEN 'kill' WHEN s.kind = 7 THEN 'def' ELSE 'use' END AS role, s.obj,
+               s.sk % 16 AS lo, s.sk % 16 + s.pk % 8 AS hi
+        FROM stmt s JOIN node n ON n.fn = s.module AND n.ok = s.ok WHERE s.kind IN (3, 4, 7)""",
+    # pointer constraints of the first statements of a module
+    "cons": """
+        SELECT module, CASE kind WHEN 1 THEN 'alloc' WHEN 2 THEN 'copy' WHEN 3 THEN 'store' WHEN 4 THEN 'load' WHEN 5 THEN 'gep' WHEN 6 THEN 'copy' ELSE 'memcpy' END AS kind,
+               lhs AS dst, CASE WHEN kind = 1 THEN obj ELSE rhs END AS src, CASE WHEN kind = 5 THEN 4 * (sk % 3) END AS off, CASE WHEN kind = 7 THEN CAST(8 AS BIGINT) END AS len
+        FROM small_stmt""",
+    "object": """
+        SELECT module, obj, max(pk % 50) AS size, obj % 3 = 0 AS zero FROM small_stmt WHERE kind = 1 GROUP BY module, obj""",
     "thread_event": """
         SELECT user_id AS module, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS node,
                CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS k,
@@ -51,25 +64,6 @@ FACTS = {
 _kept: dict[tuple, DataFrame] = {}
 
 
-def with_facts(sql: str, *names: str) -> str:
-    """sql for an engine that knows the driver tables only: the named facts, and what they need, as common tables."""
-    import re
-
-    order: list[str] = []
-
-    def need(name: str) -> None:
-        for other in FACTS:
-            if other != name and re.search(rf"\b{other}\b", FACTS[name]):
-                need(other)
-        if name not in order:
-            order.append(name)
-
-    for n in names or [n for n in FACTS if re.search(rf"\b{n}\b", sql)]:
-        need(n)
-    head = ", ".join(f"{n} AS MATERIALIZED ({FACTS[n]})" for n in order)
-    return f"WITH RECURSIVE {head}{', ' if sql.lstrip().lower().startswith('with ') else ' '}" + re.sub(r"^\s*with (recursive )?", "", sql, flags=re.I)
-
-
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A relation that several queries share, made once a session and input as a table in the shared folder."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
@@ -80,8 +74,6 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
 
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a fact table."""
-    import re
-
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = FACTS[name]
