@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ ORDER = 6
 SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
 #: Bytes of text of a block of documents, whose words and keys are numbered together.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 16_000_000
 #: Context bytes by which the keys are dealt; the orders below it are small tables that every task has.
 DEALT_BY = 2
 
@@ -49,51 +50,139 @@ END_KEY = int(np.array([SPACE << 8 | END], np.uint64).view(np.int64)[0])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """One pass over docs(doc_id, text, held_out): blocks of documents with their own numbering of words and keys.
+    """One pass over docs(doc_id, text, held_out): blocks of documents with their own numbering of words.
 
-    kind 0: a document: its words' numbers and counts. kind 1: a word: its number, and its count in training documents.
-    kind 2: a key: its count in training documents. Blocks hold about BLOCK_BYTES of text (one document at least).
+    kind 0: a document and its number of words n. kind 1: a word, its number id, and n, its count in training documents.
+    kind 2: the block's documents as word numbers and counts, packed, by document. Blocks hold about BLOCK_BYTES of text
+    (one document at least).
     """
-    ddl = "block long, kind int, doc_id long, held_out boolean, n long, id int, word binary, ids binary, counts binary"
+    ddl = "block long, kind int, doc_id long, held_out boolean, n long, id int, word binary, packed binary"
     _, schema = arrow_schema(ddl)
 
-    def made(rows: int, /, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(rows, f.type) for f in schema], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for doc, held, col in gathered(batches, BLOCK_BYTES):
+            t = Tokens(col, lower=True)
+            often = np.bincount(t.at, minlength=len(t.distinct))
+            used = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]  # frequent words get small numbers
+            number = np.zeros(len(t.distinct), np.int64)
+            number[used] = np.arange(len(used))
+            at, words, counts = number[t.at], [t.distinct[i] for i in used], t.counts()
+            train = ~held
+            n_train = np.bincount(at, np.repeat(train, counts), len(words)).astype(np.int64)
+            width = max(1, len(words))
+            pair, n = np.unique(t.owners() * width + at, return_counts=True)
+            each = np.bincount(pair // width, minlength=len(doc))
+            rows = len(doc)
+            yield filled(schema, rows, block=np.full(rows, block), kind=np.zeros(rows, np.int32), doc_id=doc, held_out=held, n=counts, id=np.arange(rows, dtype=np.int32))
+            yield filled(schema, 1, block=[block], kind=np.full(1, 2, np.int32), packed=[pack_counts(each, pair % width, n)])
+            for x in range(0, len(words), 50_000):
+                part = words[x : x + 50_000]
+                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32), n=n_train[x : x + 50_000], id=np.arange(x, x + len(part), dtype=np.int32), word=part)
+            block += 1
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ddl)
+
+
+def filled(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch with these columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(ids, held_out, texts) of about so many bytes of text, over the bounds of batches."""
+    parts: list[tuple[pa.Array, np.ndarray, pa.Array]] = []
+    size = 0
+
+    def joined():
+        return pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+
+    for batch in batches:
+        name = batch.schema.get_field_index
+        for a, some in slices(text_column(batch)):
+            n = some.nbytes
+            if parts and size + n > most:
+                yield joined()
+                parts, size = [], 0
+            parts.append((batch.column(name("doc_id")).slice(a, len(some)), np.asarray(batch.column(name("held_out")).slice(a, len(some)), bool), some))
+            size += n
+    if parts:
+        yield joined()
+
+
+def pack_counts(each: np.ndarray, ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers of pairs by document, their ids as steps inside a document, and their counts, compressed."""
+    first = np.concatenate([[0], np.cumsum(each)[:-1]])[each > 0]
+    step = np.diff(ids, prepend=0)
+    step[first] = ids[first]
+    planes = [each.astype("<u4").tobytes(), np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), np.ascontiguousarray(n.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()]
+    head = np.array([len(each), len(ids)], "<u4").tobytes()
+    raw = head + b"".join(planes)
+    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], "<u8")[0]), codec="zstd", asbytes=True)
+    docs, pairs = np.frombuffer(raw[:8], "<u4").tolist()
+    each = np.frombuffer(raw, "<u4", docs, 8).astype(np.int64)
+    plane = lambda at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * pairs, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    step, n = plane(8 + 4 * docs), plane(8 + 4 * docs + 4 * pairs)
+    total = np.concatenate([[0], np.cumsum(step)])
+    start = np.cumsum(each) - each
+    return each, total[1:] - np.repeat(total[start], each), n
+
+
+def word_blocks(total: DataFrame) -> DataFrame:
+    """total(word, c) in blocks: kind 1: a word; kind 2: a key of the block's words and n, its count in training documents."""
+    ddl = "block long, kind int, n long, key long, word binary"
+    _, schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        waiting: list[tuple[list[bytes], np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words, c = [w for p in waiting for w in p[0]], np.concatenate([p[1] for p in waiting])
+            keys, first = word_keys(words)
+            keys, where = np.unique(keys, return_inverse=True)
+            weight = np.bincount(where, np.repeat(c, np.diff(first)), len(keys)).astype(np.int64)
+            for x in range(0, len(words), 50_000):
+                part = words[x : x + 50_000]
+                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32), n=c[x : x + 50_000], word=part)
+            for x in range(0, len(keys), 100_000):
+                part = keys[x : x + 100_000]
+                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.full(len(part), 2, np.int32), n=weight[x : x + 100_000], key=part)
+
         for batch in batches:
-            col, name = text_column(batch), batch.schema.get_field_index
-            for a, some in slices(col, BLOCK_BYTES):
-                doc, held = batch.column(name("doc_id")).slice(a, len(some)), batch.column(name("held_out")).slice(a, len(some))
-                t = Tokens(some, lower=True)
-                used = np.unique(t.at)
-                number = np.zeros(len(t.distinct), np.int64)
-                number[used] = np.arange(len(used))
-                at, words = number[t.at], [t.distinct[i] for i in used]
-                counts = t.counts()
-                train = ~np.asarray(held, bool)
-                n_train = np.bincount(at, np.repeat(train, counts), len(words)).astype(np.int64)
-                owner = t.owners()
-                pair = owner * max(1, len(words)) + at
-                pair, n = np.unique(pair, return_counts=True)
-                bounds = np.searchsorted(pair // max(1, len(words)), np.arange(len(some) + 1))
-                ids, n = (pair % max(1, len(words))).astype(np.int32), n.astype(np.int32)
-                rows = len(some)
-                yield made(rows, block=np.full(rows, block), kind=np.zeros(rows, np.int32), doc_id=doc, held_out=held, n=counts, ids=[ids[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], counts=[n[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-                for x in range(0, len(words), 50_000):
-                    part = words[x : x + 50_000]
-                    yield made(len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32), n=n_train[x : x + 50_000], id=np.arange(x, x + len(part), dtype=np.int32), word=part)
-                keys, first = word_keys(words)
-                keys, where = np.unique(keys, return_inverse=True)
-                weight = np.bincount(where, np.repeat(n_train, np.diff(first)), len(keys)).astype(np.int64)
-                keys, weight = np.append(keys, END_KEY), np.append(weight, int(train.sum()))
-                for x in range(0, len(keys), 100_000):
-                    part = keys[x : x + 100_000]
-                    yield made(len(part), block=np.full(len(part), block), kind=np.full(len(part), 2, np.int32), doc_id=part, n=weight[x : x + 100_000])
-                block += 1
+            waiting.append((batch.column(0).to_pylist(), batch.column(1).to_numpy()))
+            if sum(len(p[0]) for p in waiting) >= 100_000:
+                yield from told()
+                waiting, block = [], block + 1
+        if waiting:
+            yield from told()
+
+    return total.select("word", "c").mapInArrow(run, ddl)
+
+
+def word_codes(made: DataFrame, told: DataFrame) -> DataFrame:
+    """(word, c, code): log10 probability of each word and its end, from word_blocks() and the keys' scores."""
+    none = lambda kind: F.lit(None).cast(kind)
+    words = made.where("kind = 1").select("block", "word", F.col("n").alias("c"), none("long").alias("key"), none("double").alias("score"))
+    keys = made.where("kind = 2").select("block", "key").join(told, "key").select("block", none("binary").alias("word"), none("long").alias("c"), "key", "score")
+    ddl = "word binary, c long, code double"
+    _, schema = arrow_schema(ddl)
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ddl)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in streamed_groups(batches, ["block"]):
+            is_key = group["word"].is_null()
+            k, w = group.filter(is_key), group.filter(pc.invert(is_key))
+            key, score = k["key"].to_numpy(), k["score"].to_numpy()
+            by = np.argsort(key)
+            at, first = word_keys(w["word"].to_pylist())
+            each = np.concatenate([[0], np.cumsum(score[by][np.searchsorted(key[by], at)])]) if len(at) else np.zeros(1)
+            yield pa.RecordBatch.from_arrays([w["word"].combine_chunks(), w["c"].combine_chunks(), pa.array(each[first[1:]] - each[first[:-1]])], schema=schema)
+
+    return clustered(words.unionByName(keys), ["block"]).mapInArrow(run, ddl)
 
 
 def suffix(keys: np.ndarray, order: int) -> np.ndarray:
@@ -189,46 +278,37 @@ def scored(docs: DataFrame) -> DataFrame:
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     made = materialize(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out"))), "blocks")
     words = made.where("kind = 1").select("block", "id", "word", "n")
-    total = words.groupBy("word").agg(F.sum("n").alias("c"))
-    total = materialize(total, "words")
+    total = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     facts = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = made.where("kind = 0 and not held_out").count()
     n_all, v = facts["n"] + ends, facts["v"] + (1 if ends else 0)
-    keys = made.where("kind = 2").select("block", F.col("doc_id").alias("key"), "n")
-    told = model(keys.groupBy("key").agg(F.sum("n").alias("n")))
-
-    null = lambda kind: F.lit(None).cast(kind)
-    one = made.where("kind = 0").select("block", F.lit(3).alias("kind"), "doc_id", "held_out", "n", null("int").alias("id"), null("binary").alias("word"), null("double").alias("score"), "ids", "counts")
-    two = words.join(total, "word").select("block", F.lit(1).alias("kind"), null("long").alias("doc_id"), null("boolean").alias("held_out"), F.col("c").alias("n"), "id", "word", null("double").alias("score"), null("binary").alias("ids"), null("binary").alias("counts"))
-    three = keys.join(told, "key").select("block", F.lit(2).alias("kind"), F.col("key").alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("n"), null("int").alias("id"), null("binary").alias("word"), "score", null("binary").alias("ids"), null("binary").alias("counts"))
+    keyed = materialize(word_blocks(total), "keys")
+    end = docs.sparkSession.createDataFrame([(END_KEY, ends)], "key long, n long")
+    told = materialize(model(keyed.where("kind = 2").select("key", "n").unionByName(end).groupBy("key").agg(F.sum("n").alias("n"))), "scores")
+    end_code = told.where(F.col("key") == END_KEY).first()["score"]
+    codes = word_codes(keyed, told)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    one = made.where("kind = 0").select("block", "kind", "id", "doc_id", "held_out", "n", none("double").alias("code"), none("binary").alias("packed"))
+    two = words.select("block", "id", "word").join(codes, "word").select("block", F.lit(1).alias("kind"), "id", none("long").alias("doc_id"), none("boolean").alias("held_out"), F.col("c").alias("n"), "code", none("binary").alias("packed"))
+    three = made.where("kind = 2").select("block", "kind", none("int").alias("id"), none("long").alias("doc_id"), none("boolean").alias("held_out"), none("long").alias("n"), none("double").alias("code"), "packed")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     _, schema = arrow_schema(ddl)
+    scale = n_all + 0.5 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in streamed_groups(batches, ["block"]):
             kind = group["kind"].to_numpy()
-            w, k = group.filter(pa.array(kind == 1)), group.filter(pa.array(kind == 2))
+            w, d = group.filter(pa.array(kind == 1)), group.filter(pa.array(kind == 0)).sort_by("id")
             order = np.argsort(w["id"].to_numpy())
-            c = w["n"].to_numpy()[order].astype(np.float64)
-            texts = w["word"].to_pylist()
-            at, first = word_keys([texts[i] for i in order])
-            key, score = k["doc_id"].to_numpy(), k["score"].to_numpy()
-            by = np.argsort(key)
-            key, score = key[by], score[by]
-            each = np.concatenate([[0], np.cumsum(score[np.searchsorted(key, at)])]) if len(at) else np.zeros(1)
-            code = each[first[1:]] - each[first[:-1]]
-            end_code = score[np.searchsorted(key, END_KEY)]
-            base = np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
-            end_base = np.log10((ends + 0.5) / (n_all + 0.5 * (v + 1)))
-            d = group.filter(pa.array(kind == 3))
-            rows = d.num_rows
-            ids = np.frombuffer(b"".join(d["ids"].to_pylist()), np.int32)
-            n = np.frombuffer(b"".join(d["counts"].to_pylist()), np.int32).astype(np.float64)
-            owner = np.repeat(np.arange(rows), np.array([len(x) // 4 for x in d["ids"].to_pylist()], np.int64))
-            sums = lambda x: np.bincount(owner, x * n, rows)
-            known = sums((c > 0)[ids].astype(np.float64)).astype(np.int64) + (ends > 0)
-            cols = [d["doc_id"], d["held_out"], d["n"].to_numpy() + 1, known, np.full(rows, n_all), sums(base[ids]) + end_base, sums(code[ids]) + end_code]
-            yield pa.RecordBatch.from_arrays([(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x)).cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+            c, code = w["n"].to_numpy()[order].astype(np.float64), w["code"].to_numpy()[order]
+            base = np.log10((c + 0.5) / scale)
+            each, ids, n = unpack_counts(group.filter(pa.array(kind == 2))["packed"][0].as_py())
+            owner, rows = np.repeat(np.arange(len(each)), each), d.num_rows
+            sums = lambda x: np.bincount(owner, x[ids] * n, rows)
+            known = sums((c > 0).astype(np.float64)).astype(np.int64) + (ends > 0)
+            cols = [d["doc_id"].combine_chunks(), d["held_out"].combine_chunks(), pa.array(d["n"].to_numpy() + 1), pa.array(known), pa.array(np.full(rows, n_all)), pa.array(sums(base) + np.log10((ends + 0.5) / scale)), pa.array(sums(code) + end_code)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     return clustered(one.unionByName(two).unionByName(three), ["block"]).mapInArrow(run, ddl)
 
