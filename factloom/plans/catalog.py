@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from ..sources.facts import FACTS
-from . import graph_queries, memory_queries
+from . import graph_queries, memory_queries, slice_queries
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,6 @@ def with_parts(sql: str, parts: dict[str, str]) -> str:
     return f"WITH RECURSIVE {head}\n{sql}" if head else sql
 
 
-for module in (graph_queries, memory_queries):
+for module in (graph_queries, memory_queries, slice_queries):
     QUERIES |= module.QUERIES
     SQL |= {name: with_parts(sql, module.PARTS) for name, sql in module.ORACLE.items()}

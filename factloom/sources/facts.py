@@ -53,11 +53,20 @@ FACTS = {
     "thread_event": """
         SELECT user_id AS module, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS node,
                CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS k,
-               CASE event_type WHEN 'signup' THEN 'ENTRY' WHEN 'view' THEN 'FORK' WHEN 'purchase' THEN 'LOCK' WHEN 'error' THEN 'UNLOCK' ELSE 'GENERAL' END AS kind,
+               CASE event_type WHEN 'signup' THEN 'ENTRY' WHEN 'view' THEN 'FORK' WHEN 'purchase' THEN 'LOCK' WHEN 'error' THEN 'UNLOCK' ELSE CASE WHEN event_id % 4 = 0 THEN 'JOIN' ELSE 'GENERAL' END END AS kind,
                event_id % 3 AS mutex, event_id AS eid
         FROM events""",
+    "thread_edge": """
+        SELECT DISTINCT module, src, dst FROM (
+          SELECT module, node AS src, node + 1 AS dst FROM thread_event WHERE node < k
+          UNION ALL SELECT module, node AS src, 1 + (eid * 7 + module) % k AS dst FROM thread_event WHERE kind = 'FORK') e""",
+    "thread_access": """
+        SELECT module, node, CASE WHEN eid % 2 = 0 THEN 'store' ELSE 'load' END AS op, eid % 5 AS obj, CASE WHEN eid % 7 <> 0 THEN eid % 3 END AS off
+        FROM thread_event WHERE kind = 'GENERAL'""",
+    "source_stmt": """
+        SELECT fn, node, concat('f', CAST(fn % 3 AS VARCHAR(20)), '.c') AS file, concat('fun', CAST(fn AS VARCHAR(20))) AS fun, node AS line, concat('o', CAST(ok % 6 AS VARCHAR(20))) AS obj FROM node""",
     "vr_fact": """
-        SELECT DISTINCT l_orderkey % 200 AS loc, l_partkey % 12 AS lt, CAST(l_linenumber AS BIGINT) AS rel, l_suppkey % 12 AS rt
+        SELECT DISTINCT l_orderkey % 2000 AS loc, l_partkey % 12 AS lt, CAST(l_linenumber AS BIGINT) AS rel, l_suppkey % 12 AS rt
         FROM lineitem WHERE l_orderkey % 7 = 0""",
 }
 
