@@ -20,7 +20,7 @@ CHAINS = [(a, b, ("LT" if "LT" in (a[1:], b[1:]) else "LE") and p + ("LT" if "LT
 
 
 def mask(names: str) -> int:
-    return sum(BIT[n] for n in names.split())
+    return sum(BIT[n] for n in set(names.split()))
 
 
 def table_of(rels: Column, rows: tuple) -> Column:
@@ -46,11 +46,11 @@ def conflicting(rels: Column) -> Column:
 
 def implied(rels: Column) -> Column:
     """rels and all that they imply; less-or-equal with unequal is less."""
-    out = rels.bitwiseOR(table_of(rels, IMPLIED))
+    base = out = rels.bitwiseOR(table_of(rels, IMPLIED))
     for p in "SU":
         for le, lt in (("LE", "LT"), ("GE", "GT")):
             both = BIT["NE"] | BIT[p + le]
-            out = F.when(out.bitwiseAND(both) == both, out.bitwiseOR(BIT[p + lt])).otherwise(out)
+            out = out.bitwiseOR(F.when(base.bitwiseAND(both) == both, F.lit(BIT[p + lt])).otherwise(F.lit(0)))
     return out
 
 

@@ -201,7 +201,8 @@ def test_relation_laws(spark):
 
     one = spark.range(4096).select(F.col("id").cast("int").alias("r"))
     assert one.where(R.inverted(R.inverted(F.col("r"))) != F.col("r")).count() == 0
-    assert one.where(R.implied(R.implied(F.col("r"))) != R.implied(F.col("r"))).count() == 0
+    done = spark.createDataFrame(one.select(R.implied(F.col("r")).alias("r")).distinct().collect(), "r int")
+    assert done.where(R.implied(F.col("r")) != F.col("r")).count() == 0
     low = one.where("r < 1024")
     assert low.where(R.negated(R.negated(F.col("r"))) != F.col("r")).count() == 0
     vr = spark.createDataFrame([(1, 1, R.BIT["SLE"], 2), (1, 2, R.BIT["SLE"], 3), (1, 3, R.BIT["SLE"], 1), (1, 3, R.BIT["SLT"], 4)], "loc long, lt long, rels int, rt long")
