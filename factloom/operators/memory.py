@@ -118,12 +118,12 @@ def unknown_reads(sites: DataFrame, edges: DataFrame, reads: DataFrame) -> DataF
 
 
 def modref(sites: DataFrame, calls: DataFrame, escaping: DataFrame) -> DataFrame:
-    """(fn, role, obj, lo, hi, src_fn): what a function and those it calls may write and read of the objects that others can
-    see, escaping(obj); calls(caller, call, callee)."""
-    own = sites.join(escaping, "obj", "left_semi").select("fn", F.when(F.col("role") == "use", "ref").otherwise("mod").alias("role"), "obj", "lo", "hi", F.col("fn").alias("src_fn")).distinct()
+    """(fn, role, obj, lo, hi): what a function and those it calls may write and read of the objects that others can see,
+    escaping(obj); calls(caller, call, callee)."""
+    own = sites.join(escaping, "obj", "left_semi").select("fn", F.when(F.col("role") == "use", "ref").otherwise("mod").alias("role"), "obj", "lo", "hi").distinct()
     edge = calls.select(F.col("callee").alias("fn"), "caller").distinct()
 
     def step(front: DataFrame) -> DataFrame:
-        return front.join(edge, "fn").select(F.col("caller").alias("fn"), "role", "obj", "lo", "hi", "src_fn")
+        return front.join(edge, "fn").select(F.col("caller").alias("fn"), "role", "obj", "lo", "hi")
 
     return fixpoint(own, step, "modref", hops=1)

@@ -59,7 +59,7 @@ class Inputs(graph_queries.Inputs):
     @property
     def params(self) -> DataFrame:
         """Each call passes the node before it in and takes its own node out; a function's first node is its formal in, its last its formal out."""
-        c = self.calls.where("caller <= 200 AND callee <= 200")
+        c = self.calls
         last = self.nodes.groupBy(F.col("fn").alias("callee")).agg(F.max("node").alias("k"))
         c = c.join(last, "callee").withColumn("id", F.col("caller") * 1000 + F.col("call"))
         ins = c.where("call > 1").select("id", (F.col("callee") * 1000 + 1).alias("formal"), (F.col("id") - 1).alias("actual"), F.lit("in").alias("dir"))
@@ -103,7 +103,7 @@ QUERIES = {
     "s15_cutoff": q(lambda i: D.cutoff(i.nodes, i.edges, i.criteria)),
     "s16_unused_functions": q(lambda i: D.unused_functions(i.nodes, i.calls.select(F.col("caller").alias("user"), F.col("callee").alias("fn")).distinct(), 1)),
     "s18_lines": q(lambda i: D.lines(i.fact("source_stmt"), i.back)),
-    "s19_summary_edges": q(lambda i: D.summary_edges(i.use.where("fn <= 200").unionByName(i.edges.where("fn <= 200")).select((F.col("fn") * 1000 + F.col("src")).alias("src"), (F.col("fn") * 1000 + F.col("dst")).alias("dst")).distinct(), i.params)),
+    "s19_summary_edges": q(lambda i: D.summary_edges(i.use.unionByName(i.edges).select((F.col("fn") * 1000 + F.col("src")).alias("src"), (F.col("fn") * 1000 + F.col("dst")).alias("dst")).distinct(), i.params)),
     "k01_call_graph": q(lambda i: D.call_graph(*i.pairs_of_calls)),
     "k02_callers": q(lambda i: i.calls.groupBy("callee").agg(F.countDistinct("caller").alias("n_callers"), F.count("*").alias("n_calls"))),
     "k03_address_taken": q(lambda i: i.pairs_of_calls[3]),
