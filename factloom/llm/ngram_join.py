@@ -16,6 +16,8 @@ SHINGLE = 4
 SIMILARITY = (85, 100)
 #: Documents of a tile; a task that compares two tiles holds twice as many sets.
 TILE = 2048
+#: Tables of one row a large cluster, or a size band of one, are broadcast up to this number of rows (24 bytes each).
+BROADCAST_CLUSTERS = 50_000
 #: 64-bit words of a bitmap signature.
 SIGNATURE = 16
 
@@ -169,14 +171,18 @@ def tiles(members: DataFrame, tile: int, num: int, den: int) -> DataFrame:
     """
     step = math.log(den / num) if num < den else 1.0
     members = members.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step + 1e-9))
-    size = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    sized = members.join(size, "cluster")
-    whole = sized.where(F.col("size") <= tile).withColumn("t", F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    large = sized.where(F.col("size") > tile)
+    large_ones = materialize(members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > tile).select("cluster"), "large-clusters")
+    # one row for each tile of documents at most: broadcast while few, so that no cluster's rows meet in one task
+    few = large_ones.count() <= BROADCAST_CLUSTERS
+    large_ones = F.broadcast(large_ones) if few else large_ones
+    whole = members.join(large_ones, "cluster", "left_anti").withColumn("t", F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    large = members.join(large_ones, "cluster")
     per = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("here"))
     w = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f: F.when(F.abs(f("band", 1).over(w) - F.col("band")) == 1, f("here", 1).over(w)).otherwise(0)
     per = per.withColumn("above", beside(F.lead)).withColumn("below", beside(F.lag))
+    per = materialize(per, "bands")
+    per = F.broadcast(per) if few and per.count() <= BROADCAST_CLUSTERS else per
     dealt = large.join(per, ["cluster", "band"]).withColumn("s", F.pmod(F.xxhash64("doc"), F.col("here")).cast("int"))
     task = lambda lo, i, j: F.struct(lo.cast("long").alias("lo"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
