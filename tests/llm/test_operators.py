@@ -327,6 +327,23 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_substring_dedup_passage_whose_pieces_are_in_earlier_documents(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: ["u%d" % rnd.randrange(10**9) for _ in range(n)]
+    passage, inside = fresh(60), fresh(70)
+    pieces = [passage[a : a + 18] for a in range(0, 60, 14)]
+    scattered = [w for p in pieces for w in [*p, *fresh(60)]]
+    again = [w for a in range(0, 70, 14) for w in [*inside[a : a + 18], *fresh(60)]]
+    data = [(1, scattered), *((2 + i, fresh(40) + p + fresh(40)) for i, p in enumerate(pieces)), (20, fresh(30) + passage + fresh(50)), (21, fresh(70) + passage + fresh(10)), (30, again + inside + fresh(20)), (31, fresh(15) + inside + fresh(25))]
+    data += [(40, fresh(9) * 30), (41, fresh(60))]
+    data.append((42, data[-2][1]))
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.ref_doc_id): (r.start, r.end, r.ref_start, r.ref_end) for r in out}
+    assert got[21, 20] == (70, 130, 30, 90) and got[31, 30] == (15, 85, len(again), len(again) + 70)
+    held = {w for r in out if r.doc_id == 42 for w in range(r.start, r.end)}
+    assert {k for k in got} == {(21, 20), (31, 30), (42, 40)} and held == set(range(270))
+
+
 def test_chains_follow_the_order_of_both_sides():
     pos, ref = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 50, 130, 300])
     assert substring_dedup.chains(pos, ref)[0] == [0, 1, 3]
