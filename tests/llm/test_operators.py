@@ -344,6 +344,32 @@ def test_substring_dedup_passage_whose_pieces_are_in_earlier_documents(spark):
     assert {k for k in got} == {(21, 20), (31, 30), (42, 40)} and held == set(range(270))
 
 
+@pytest.mark.parametrize("size", [60, 100])
+def test_substring_dedup_finds_spread_edits(spark, size):
+    """Against brute force: the best ungapped alignment of every two documents."""
+    rnd = random.Random(size)
+    fresh = lambda n: ["u%d" % rnd.randrange(10**9) for _ in range(n)]
+    data = {}
+    for i in range(40):
+        passage = fresh(size)
+        every = 5 + i % 8  # one word of so many is another one: similarity 0.80 to 0.92
+        copy = [fresh(1)[0] if a % every == every - 1 else w for a, w in enumerate(passage)]
+        if i % 4 == 3:  # the same share at random places
+            at = set(rnd.sample(range(1, size - 1), size // every))
+            copy = [fresh(1)[0] if a in at else w for a, w in enumerate(passage)]
+        data[2 * i], data[2 * i + 1] = fresh(20 + i) + passage + fresh(30), fresh(35) + copy + fresh(15)
+    want = set()
+    for a in data:
+        for b in (x for x in data if x < a):
+            for shift in range(-60, 61):
+                same = np.array([x == y for x, y in zip(data[a][max(0, shift) :], data[b][max(0, -shift) :], strict=False)])
+                ends = np.concatenate([[0], np.cumsum(same)])
+                if same.sum() >= 40 and any((ends[n:] - ends[:-n] >= 0.8 * n).any() for n in range(50, len(same) + 1)):
+                    want.add((a, b))
+    got = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in data.items()], "doc_id long, text string")).collect()}
+    assert len(want) == 40 and got == want
+
+
 def test_chains_follow_the_order_of_both_sides():
     pos, ref = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 50, 130, 300])
     assert substring_dedup.chains(pos, ref)[0] == [0, 1, 3]
