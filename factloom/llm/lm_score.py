@@ -1,9 +1,8 @@
 """LM scoring: a byte-context model by partial matching (PPM), with escape estimation and symbol exclusion.
 
-A text is its lower-cased words, each followed by a space, then an end. At the start of each token the model predicts
-from the context "space": the first byte of a word, or the end symbol. Inside a word it predicts each byte, and the space
-that ends it, from up to ORDER bytes before it that belong to the token (the space before it included). So a token's code
-length depends on the token alone, and is worked out once for each distinct word of a block of documents.
+A text is a space, its lower-cased words, each followed by a space, then an end. The model predicts each byte behind the
+first space from the ORDER bytes before it, over the bounds of words; zero bytes stand before a document. scored()
+is the same model with contexts cut at the start of each token, whose code lengths depend on the token alone.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
 #: Bytes of text of a block of documents, whose words and keys are numbered together.
 BLOCK_BYTES = 16_000_000
+#: The same of the model over word bounds, whose blocks keep their texts and are read in slices.
+STREAM_BYTES = 32_000_000
 #: Context bytes by which the keys are dealt; the orders below it are small tables that every task has.
 DEALT_BY = 2
 
@@ -313,5 +314,94 @@ def scored(docs: DataFrame) -> DataFrame:
     return clustered(one.unionByName(two).unionByName(three), ["block"]).mapInArrow(run, ddl)
 
 
+def stream_keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, texts): the context and the symbol of each byte of each text's stream, and of its end, packed into a key."""
+    words = [t.distinct[i] for i in t.at.tolist()]
+    first = t.first.tolist()
+    streams = [b"\0" * ORDER + b" ".join([b"", *words[a:b], b"\n"]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    size = np.fromiter(map(len, streams), np.int64, len(streams))
+    flat = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(place > ORDER)
+    key = np.zeros(len(at), np.uint64)
+    for back in range(ORDER + 1):
+        key |= flat[at - back] << np.uint64(8 * back)
+    return key.view(np.int64), np.repeat(np.arange(len(size)), size - ORDER - 1)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of parts (keys, n), sorted, and the sums of n."""
+    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+
+def stream_blocks(docs: DataFrame) -> DataFrame:
+    """One pass over docs(doc_id, text, held_out). kind 1: a word's hash as key, and n, its count in the block's training
+    documents; kind 2: the same of a context and symbol; kind 3: a slice of the block's documents, packed."""
+    ddl = "block long, kind int, key long, n long, packed binary"
+    _, schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for doc, held, col in gathered(batches, STREAM_BYTES):
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+            for a, some in slices(col):
+                t, out = Tokens(some, lower=True), held[a : a + len(some)]
+                keys, owner = stream_keys(t)
+                for kind, x, of in ((1, t.hashes().view(np.int64), t.owners()), (2, keys, owner)):
+                    found[kind].append(summed([(x, (~out[of]).astype(np.float64))]))
+                part = pa.record_batch({"doc_id": doc.slice(a, len(some)), "held_out": pa.array(out), "text": some})
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_batch(part)
+                yield filled(schema, 1, block=[block], kind=np.full(1, 3, np.int32), packed=[sink.getvalue().to_pybytes()])
+            for kind, parts in found.items():
+                keys, n = summed(parts)
+                for x in range(0, len(keys), 100_000):
+                    part = keys[x : x + 100_000]
+                    yield filled(schema, len(part), block=np.full(len(part), block), kind=np.full(len(part), kind, np.int32), key=part, n=n[x : x + 100_000])
+            block += 1
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ddl)
+
+
+def stream_scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text).
+
+    Learns from documents whose crc32 of the id mod 5 isn't 1 (null ids: learn). Null or empty text: the end alone. Every
+    word and every byte with its context counts; what tasks exchange are each block's distinct words and keys.
+    """
+    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    made = materialize(stream_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out"))), "blocks")
+    total = materialize(made.where("kind < 3").groupBy("kind", "key").agg(F.sum("n").alias("n")), "keys")
+    fact = total.agg(*(F.coalesce(F.sum(F.when(F.expr(cond), F.expr(value))), F.lit(0)).alias(name) for name, cond, value in (("n", "kind = 1", "n"), ("v", "kind = 1 and n > 0", "1"), ("ends", f"kind = 2 and (key & 255) = {END}", "n")))).first()
+    ends, n_all = fact["ends"], fact["n"] + fact["ends"]
+    scale = n_all + 0.5 * (fact["v"] + (1 if ends else 0) + 1)
+    told = total.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("score")).unionByName(
+        model(total.where("kind = 2").select("key", "n")).select(F.lit(2).alias("kind"), "key", "score"))
+    facts = made.where("kind < 3").select("block", "kind", "key").join(told, ["kind", "key"]).select("block", "kind", "key", "score", F.lit(None).cast("binary").alias("packed"))
+    texts = made.where("kind = 3").select("block", "kind", "key", F.lit(None).cast("double").alias("score"), "packed")
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    _, schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in streamed_groups(batches, ["block"]):
+            kind = group["kind"].to_numpy()
+            a, b = np.searchsorted(kind, [2, 3]).tolist()
+            key, score = group["key"].slice(0, b).to_numpy(), group["score"].slice(0, b).to_numpy()
+            for packed in group["packed"].slice(b):
+                part = pa.ipc.open_stream(packed.as_py()).read_all().combine_chunks().to_batches()[0]
+                t, rows = Tokens(part["text"], lower=True), part.num_rows
+                c = score[:a][np.searchsorted(key[:a], t.hashes().view(np.int64))]
+                keys, owner = stream_keys(t)
+                code = np.bincount(owner, score[a:][np.searchsorted(key[a:], keys)], rows)
+                base = np.bincount(t.owners(), np.log10((c + 0.5) / scale), rows) + np.log10((ends + 0.5) / scale)
+                known = np.bincount(t.owners(), c > 0, rows).astype(np.int64) + (ends > 0)
+                cols = [part["doc_id"], part["held_out"], pa.array(t.counts() + 1), pa.array(known), pa.array(np.full(rows, n_all)), pa.array(base), pa.array(code)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return clustered(facts.unionByName(texts), ["block"], ["kind", "key"]).mapInArrow(run, ddl)
+
+
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    return stream_scored(table(spark, sf_dir, "documents"))

@@ -305,6 +305,48 @@ def test_lm_scoring(docs, empty):
     assert lm_score.scored(empty).count() == 0
 
 
+def test_lm_scoring_predicts_over_word_bounds(spark, docs, empty):
+    """The query's model against one by dictionaries over each document's byte stream."""
+    order = lm_score.ORDER
+    stream = lambda t: b"\0" * order + b" " + b"".join(w + b" " for w in words(t and t.translate({c: c + 32 for c in range(65, 91)}))) + b"\n"
+    data = [(r.doc_id, stream(r.text)) for r in docs.collect()]
+    model = {}
+    for i, s in data:
+        for at in range(order + 1, len(s)) if zlib.crc32(str(i).encode()) % 5 != 1 else []:
+            for k in range(order + 1):
+                model.setdefault(s[at - k : at], Counter())[s[at]] += 1
+    want = {}
+    for i, s in data:
+        want[i] = 0.0
+        for at in range(order + 1, len(s)):
+            gone = set()
+            for k in range(order, -1, -1):
+                seen = {x: c for x, c in model.get(s[at - k : at], {}).items() if x not in gone}
+                if s[at] in seen:
+                    want[i] += math.log10(seen[s[at]] / (sum(seen.values()) + len(seen)))
+                    break
+                if seen:
+                    want[i] += math.log10(len(seen) / (sum(seen.values()) + len(seen)))
+                gone |= set(seen)
+            else:
+                want[i] -= math.log10(lm_score.SYMBOLS - len(gone))
+    got = lm_score.stream_scored(docs).collect()
+    old = {r.doc_id: r for r in lm_score.scored(docs).collect()}
+    assert len(got) == len(data)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-6)
+        assert r[:5] == old[r.doc_id][:5] and r.base_score == pytest.approx(old[r.doc_id].base_score)
+    rnd = random.Random(3)
+    fluent = " ".join(["the quick brown fox jumps over the lazy dog"] * 20)
+    salad = fluent.split()
+    rnd.shuffle(salad)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    mixed = [(i, fluent) for i in range(5) if i not in held] + [(held[0], fluent), (held[1], " ".join(salad))]
+    score = {r.doc_id: r.score for r in lm_score.stream_scored(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
+    assert score[held[0]] > score[held[1]] + 10
+    assert lm_score.stream_scored(empty).count() == 0
+
+
 def test_packed_counts_round_trip():
     each, ids, n = np.array([3, 0, 2]), np.array([1, 5, 70000, 0, 9]), np.array([1, 300, 70000, 2, 1])
     for a, b in zip(lm_score.unpack_counts(lm_score.pack_counts(each, ids, n)), (each, ids, n), strict=True):
