@@ -32,7 +32,7 @@ FACTS = {
                CAST(l_linenumber AS BIGINT) AS kind, l_suppkey % 8 AS lhs, CAST(floor(l_suppkey / 8) AS BIGINT) % 8 AS rhs,
                l_partkey % 6 AS obj, l_suppkey AS sk, l_partkey AS pk, l_orderkey AS ok
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
-    "small_stmt": "SELECT * FROM stmt WHERE pos <= 16",
+    "small_stmt": "SELECT * FROM stmt",
     # memory accesses: byte ranges of objects, in the order of statements
     "rw_site": """
         SELECT module, pos, CASE WHEN kind IN (3) THEN 'kill' WHEN kind = 7 THEN 'def' ELSE 'use' END AS role, obj,
@@ -43,7 +43,7 @@ FACTS = {
         SELECT s.module AS fn, n.node, s.pos, CASE WHEN s.kind = 3 THEN 'kill' WHEN s.kind = 7 THEN 'def' ELSE 'use' END AS role, s.obj,
                s.sk % 16 AS lo, s.sk % 16 + s.pk % 8 AS hi
         FROM stmt s JOIN node n ON n.fn = s.module AND n.ok = s.ok WHERE s.kind IN (3, 4, 7)""",
-    # pointer constraints of the first statements of a module
+    # pointer constraints of a module
     "cons": """
         SELECT module, CASE kind WHEN 1 THEN 'alloc' WHEN 2 THEN 'copy' WHEN 3 THEN 'store' WHEN 4 THEN 'load' WHEN 5 THEN 'gep' WHEN 6 THEN 'copy' ELSE 'memcpy' END AS kind,
                lhs AS dst, CASE WHEN kind = 1 THEN obj ELSE rhs END AS src, CASE WHEN kind = 5 THEN 4 * (sk % 3) END AS off, CASE WHEN kind = 7 THEN CAST(8 AS BIGINT) END AS len

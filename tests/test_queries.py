@@ -15,6 +15,7 @@ from factloom.operators import pointer as P
 from factloom.operators import relations as R
 from factloom.operators import threads as T
 from factloom.plans import catalog
+from factloom.sources.facts import fact
 
 SMALL = "/root/testdata/sf0.001"
 CHECKED = ["g01_degrees", "g08_condensation", "g10_blocks", "c01_standard_cd", "c02_ntscd", "i03_update", "i07_uncovered", "m09_block_definitions", "p22_absorbed", "p30_alias", "s14_next_instruction", "k01_call_graph", "t04_regions", "v07_classes", "v01_algebra"]
@@ -213,3 +214,10 @@ def test_relation_laws(spark):
 def test_thread_library(spark):
     calls = spark.createDataFrame([(1, 1, "pthread_create"), (1, 2, "puts")], "module long, node long, name string")
     assert {(r.node, r.kind) for r in T.recognised(calls).collect()} == {(1, "FORK"), (2, "CALL")}
+
+
+def test_pointer_facts_hold_every_statement(spark, duck):
+    stmt = fact(spark, SMALL, "stmt")
+    assert stmt.agg({"pos": "max"}).first()[0] > 16 and fact(spark, SMALL, "cons").count() == stmt.count() == duck.execute("select count(*) from lineitem join orders on o_orderkey = l_orderkey").fetchone()[0]
+    for name in ("m01_accesses", "m05_library_effects", "m06_undefined_calls", "x07_statistics"):
+        assert rows(catalog.QUERIES[name](spark, SMALL)) == sql_rows(duck, catalog.SQL[name])
