@@ -221,3 +221,9 @@ def test_pointer_facts_hold_every_statement(spark, duck):
     assert stmt.agg({"pos": "max"}).first()[0] > 16 and fact(spark, SMALL, "cons").count() == stmt.count() == duck.execute("select count(*) from lineitem join orders on o_orderkey = l_orderkey").fetchone()[0]
     for name in ("m01_accesses", "m05_library_effects", "m06_undefined_calls", "x07_statistics"):
         assert rows(catalog.QUERIES[name](spark, SMALL)) == sql_rows(duck, catalog.SQL[name])
+
+
+def test_value_relations_hold_every_order(spark, duck):
+    want = duck.execute("select count(*) from (select distinct l_orderkey % 2000, l_partkey % 12, l_linenumber, l_suppkey % 12 from lineitem)").fetchone()[0]
+    assert fact(spark, SMALL, "vr_fact").count() == want
+    assert rows(catalog.QUERIES["v08_contradictions"](spark, SMALL)) == sql_rows(duck, catalog.SQL["v08_contradictions"])
