@@ -93,7 +93,7 @@ QUERIES = {
     "m06_undefined_calls": q(lambda i: M.undefined_effects(i.small_stmt.where("kind = 7").select(F.col("module").alias("fn"), "pos"), i.small_stmt.where("kind = 7").select(F.col("module").alias("fn"), "pos", (F.col("pk") % 3).cast("int").alias("arg")))),
     "m09_block_definitions": q(lambda i: M.block_definitions(i.seg)),
     "m10_reaching_definitions": q(lambda i: M.reaching(i.mem_site, i.cfg_edge)),
-    "m12_modref": q(lambda i: M.modref(i.mem_site, i.call_edge, i.spark.range(1).select(F.col("id").alias("obj")))),
+    "m12_modref": q(lambda i: M.modref(i.mem_site, i.call_edge, i.mem_site.select("obj").distinct())),
     "m14_unknown_reads": q(lambda i: M.unknown_reads(i.mem_site, i.cfg_edge, i.mem_site.where("role = 'use' AND pos % 10 = 0").select("fn", "node", "pos"))),
     "m16_query": q(lambda i: M.reaching(i.mem_site.where("role <> 'use'"), i.cfg_edge, i.node.where("node % 3 = 0").select("fn", "node", F.lit(100000).cast("long").alias("pos"), (F.col("ok") % 6).alias("obj"), F.lit(2).cast("long").alias("lo"), F.lit(5).cast("long").alias("hi")))),
     "p13_points_to": q(lambda i: i.points()[0]),

@@ -227,3 +227,21 @@ def test_value_relations_hold_every_order(spark, duck):
     want = duck.execute("select count(*) from (select distinct l_orderkey % 2000, l_partkey % 12, l_linenumber, l_suppkey % 12 from lineitem)").fetchone()[0]
     assert fact(spark, SMALL, "vr_fact").count() == want
     assert rows(catalog.QUERIES["v08_contradictions"](spark, SMALL)) == sql_rows(duck, catalog.SQL["v08_contradictions"])
+
+
+def test_modref_covers_every_object(spark):
+    sites, calls = fact(spark, SMALL, "mem_site").collect(), {(r.callee, r.caller) for r in fact(spark, SMALL, "call_edge").collect()}
+    own = {}
+    for r in sites:
+        own.setdefault(r.fn, set()).add(("ref" if r.role == "use" else "mod", r.obj, r.lo, r.hi))
+    callers = {}
+    for callee, caller in calls:
+        callers.setdefault(callee, set()).add(caller)
+    want, todo = {}, list(own.items())
+    while todo:
+        fn, facts = todo.pop()
+        new = facts - want.setdefault(fn, set())
+        want[fn] |= new
+        todo += [(c, new) for c in callers.get(fn, ()) if new]
+    got = {tuple(r) for r in catalog.QUERIES["m12_modref"](spark, SMALL).select("fn", "role", "obj", "lo", "hi").collect()}
+    assert got == {(fn, *x) for fn, facts in want.items() for x in facts} and len({x[2] for x in got}) == 6
