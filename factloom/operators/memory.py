@@ -100,7 +100,7 @@ def reaching(sites: DataFrame, edges: DataFrame, queries: DataFrame | None = Non
     uses, writes = seg.where("role = 'use'").alias("u"), seg.where("role <> 'use'").alias("w")
     here = uses.join(writes, F.expr("u.fn = w.fn AND u.node = w.node AND u.obj = w.obj AND u.seg = w.seg AND w.pos < u.pos"), "left")
     here = here.select("u.fn", "u.node", "u.obj", "u.seg", F.col("u.pos").alias("use"), F.col("w.pos").alias("def"), F.col("w.role").alias("role"))
-    last = F.max(F.when(F.col("role") == "kill", F.col("def"))).over(Window.partitionBy("fn", "use", "obj", "seg"))
+    last = F.max(F.when(F.col("role") == "kill", F.col("def"))).over(Window.partitionBy("fn", "node", "use", "obj", "seg"))
     here = here.withColumn("last", last)
     local = here.where("def is not null AND (last is null OR def >= last)").select("fn", "use", "def")
     open_ = here.where("last is null").select("fn", "node", "obj", "seg", "use").distinct()

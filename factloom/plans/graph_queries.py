@@ -18,13 +18,14 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
-        self.nodes, self.edges = fact(spark, sf, "node"), fact(spark, sf, "cfg_edge")
-        self.calls = fact(spark, sf, "call_edge")
-        self.roots = self.nodes.where("node = 1").select("fn", "node")
 
     def keep(self, name, make) -> DataFrame:
         return kept(self.spark, self.sf, name, make)
 
+    nodes = property(lambda s: fact(s.spark, s.sf, "node"))
+    edges = property(lambda s: fact(s.spark, s.sf, "cfg_edge"))
+    calls = property(lambda s: fact(s.spark, s.sf, "call_edge"))
+    roots = property(lambda s: s.nodes.where("node = 1").select("fn", "node"))
     paths = property(lambda s: s.keep("paths", lambda: closure(s.edges, FN, "paths")))
     av = property(lambda s: s.keep("av", lambda: C.av(s.nodes, s.edges)))
     avoid = property(lambda s: s.keep("avoid", lambda: C.avoid(s.nodes, s.edges, s.av)))
@@ -63,7 +64,7 @@ QUERIES = {
     "g03_dfs_numbers": q(lambda i: G.dfs(i.edges, i.nodes)),
     "g04_walk": q(lambda i: G.walk(i.typed, i.nodes.where("ok % 11 = 0").select("fn", "node"), ("use", "rev_cfg"))),
     "g05_reach": q(lambda i: i.reached),
-    "g06_icfg_reach": q(lambda i: G.icfg_reach(i.flow, i.roots.where("fn <= 3"))),
+    "g06_icfg_reach": q(lambda i: G.icfg_reach(i.flow, i.roots)),
     "g07_scc": q(lambda i: i.scc),
     "g08_condensation": q(lambda i: G.condensation(i.edges, i.scc)),
     "g09_loops": q(lambda i: G.loops(i.edges, i.scc)),
@@ -140,7 +141,7 @@ PARTS = {
     "flow": """SELECT e.fn AS src_fn, e.src, e.fn AS dst_fn, e.dst FROM cfg_edge e ANTI JOIN site s ON s.fn = e.fn AND s.src = e.src
         UNION SELECT caller, call, callee, 1 FROM call_edge
         UNION SELECT s.fn, s.node, e.fn, e.dst FROM call_edge c JOIN sink s ON s.fn = c.callee JOIN cfg_edge e ON e.fn = c.caller AND e.src = c.call""",
-    "flowed": "SELECT fn, node FROM node WHERE node = 1 AND fn <= 3 UNION SELECT f.dst_fn, f.dst FROM flowed x JOIN flow f ON f.src_fn = x.fn AND f.src = x.node",
+    "flowed": "SELECT fn, node FROM node WHERE node = 1 UNION SELECT f.dst_fn, f.dst FROM flowed x JOIN flow f ON f.src_fn = x.fn AND f.src = x.node",
 }
 
 ORACLE = {

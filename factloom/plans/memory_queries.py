@@ -94,7 +94,7 @@ QUERIES = {
     "m09_block_definitions": q(lambda i: M.block_definitions(i.seg)),
     "m10_reaching_definitions": q(lambda i: M.reaching(i.mem_site, i.cfg_edge)),
     "m12_modref": q(lambda i: M.modref(i.mem_site, i.call_edge, i.mem_site.select("obj").distinct())),
-    "m14_unknown_reads": q(lambda i: M.unknown_reads(i.mem_site, i.cfg_edge, i.mem_site.where("role = 'use' AND pos % 10 = 0").select("fn", "node", "pos"))),
+    "m14_unknown_reads": q(lambda i: M.unknown_reads(i.mem_site, i.cfg_edge, i.mem_site.where("role = 'use'").select("fn", "node", "pos"))),
     "m16_query": q(lambda i: M.reaching(i.mem_site.where("role <> 'use'"), i.cfg_edge, i.node.where("node % 3 = 0").select("fn", "node", F.lit(100000).cast("long").alias("pos"), (F.col("ok") % 6).alias("obj"), F.lit(2).cast("long").alias("lo"), F.lit(5).cast("long").alias("hi")))),
     "p13_points_to": q(lambda i: i.points()[0]),
     "p13_memory": q(lambda i: i.points()[1]),
@@ -162,7 +162,7 @@ PARTS = {
     "inflow": """SELECT b.fn, e.dst AS node, b.obj, b.seg, b.def FROM bdef b JOIN cfg_edge e ON e.fn = b.fn AND e.src = b.node
         UNION SELECT i.fn, e.dst, i.obj, i.seg, i.def FROM inflow i ANTI JOIN skill k ON k.fn = i.fn AND k.node = i.node AND k.obj = i.obj AND k.seg = i.seg JOIN cfg_edge e ON e.fn = i.fn AND e.src = i.node""",
     "uses": "SELECT u.*, (SELECT max(k.pos) FROM sseg k WHERE k.fn = u.fn AND k.node = u.node AND k.obj = u.obj AND k.seg = u.seg AND k.role = 'kill' AND k.pos < u.pos) AS last FROM sseg u WHERE u.role = 'use'",
-    "mref": """SELECT DISTINCT fn, CASE WHEN role = 'use' THEN 'ref' ELSE 'mod' END AS role, obj, lo, hi FROM mem_site WHERE obj = 0
+    "mref": """SELECT DISTINCT fn, CASE WHEN role = 'use' THEN 'ref' ELSE 'mod' END AS role, obj, lo, hi FROM mem_site
         UNION SELECT c.caller, m.role, m.obj, m.lo, m.hi FROM mref m JOIN call_edge c ON c.callee = m.fn""",
     "asked": "SELECT fn, node, ok % 6 AS obj FROM node WHERE node % 3 = 0",
     "fewer": "SELECT * FROM cons WHERE NOT (kind = 'copy' AND dst % 2 = 1)",
@@ -197,8 +197,8 @@ ORACLE = {
     "m10_reaching_definitions": """SELECT u.fn, u.pos AS use, d.pos AS def FROM uses u JOIN sseg d ON d.fn = u.fn AND d.node = u.node AND d.obj = u.obj AND d.seg = u.seg AND d.role <> 'use' AND d.pos < u.pos AND (u.last IS NULL OR d.pos >= u.last)
         UNION SELECT u.fn, u.pos, i.def FROM uses u JOIN inflow i ON i.fn = u.fn AND i.node = u.node AND i.obj = u.obj AND i.seg = u.seg WHERE u.last IS NULL""",
     "m12_modref": "SELECT fn, role, obj, lo, hi FROM mref",
-    "m14_unknown_reads": """SELECT r.fn, r.pos AS use, i.def FROM mem_site r JOIN inflow i ON i.fn = r.fn AND i.node = r.node WHERE r.role = 'use' AND r.pos % 10 = 0
-        UNION SELECT r.fn, r.pos, s.pos FROM mem_site r JOIN mem_site s ON s.fn = r.fn AND s.node = r.node AND s.pos < r.pos AND s.role <> 'use' WHERE r.role = 'use' AND r.pos % 10 = 0""",
+    "m14_unknown_reads": """SELECT r.fn, r.pos AS use, i.def FROM mem_site r JOIN inflow i ON i.fn = r.fn AND i.node = r.node WHERE r.role = 'use'
+        UNION SELECT r.fn, r.pos, s.pos FROM mem_site r JOIN mem_site s ON s.fn = r.fn AND s.node = r.node AND s.pos < r.pos AND s.role <> 'use' WHERE r.role = 'use'""",
     "m16_query": """SELECT a.fn, 100000::BIGINT AS use, d.pos AS def FROM asked a JOIN sseg d ON d.fn = a.fn AND d.node = a.node AND d.obj = a.obj AND d.role <> 'use' AND d.seg <= 5
           AND EXISTS (SELECT 1 FROM selem e WHERE e.fn = d.fn AND e.obj = d.obj AND e.lo = d.seg AND e.hi >= 2) AND NOT EXISTS (SELECT 1 FROM sseg k WHERE k.fn = d.fn AND k.node = d.node AND k.obj = d.obj AND k.seg = d.seg AND k.role = 'kill' AND k.pos > d.pos)
         UNION SELECT a.fn, 100000, i.def FROM asked a JOIN inflow i ON i.fn = a.fn AND i.node = a.node AND i.obj = a.obj AND i.seg <= 5 AND EXISTS (SELECT 1 FROM selem e WHERE e.fn = i.fn AND e.obj = i.obj AND e.lo = i.seg AND e.hi >= 2)

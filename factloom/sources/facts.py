@@ -24,8 +24,8 @@ FACTS = {
           UNION ALL SELECT fn, node AS src, 1 + (ok * 7 + fn) % k AS dst FROM node WHERE st = 'F') e""",
     "call_edge": """
         SELECT n.fn AS caller, n.node AS call, c.fn AS callee
-        FROM node n JOIN (SELECT DISTINCT fn FROM node) c ON c.fn = 1 + (n.ok * 13) % (SELECT count(*) FROM customer)
-        WHERE n.pr LIKE '1%'""",
+        FROM node n JOIN (SELECT count(*) AS m FROM customer) z ON n.pr LIKE '1%'
+        JOIN (SELECT DISTINCT fn FROM node) c ON c.fn = 1 + (n.ok * 13) % z.m""",
     # statements of a module (a customer): its lineitems
     "stmt": """
         SELECT o_custkey AS module, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS pos,
