@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -84,7 +85,11 @@ class Tokens:
             first = np.concatenate([[0], np.cumsum(keep)])[first]
             at = at[keep]
         self.at, self.first = at, first
-        self.distinct: list[bytes] = encoded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(encoded.dictionary.type) else pa.binary()).to_pylist()
+        self.names: pa.Array = encoded.dictionary
+
+    @functools.cached_property
+    def distinct(self) -> list[bytes]:
+        return self.names.cast(pa.large_binary() if pa.types.is_large_string(self.names.type) else pa.binary()).to_pylist()
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

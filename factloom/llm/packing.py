@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ BLOCK = 1536
 #: A remainder is cut into equal pieces of at most this length: windows of many small pieces come out nearly equal, those
 #: of three or four large ones don't (padding 0.5 % against 7 %).
 PIECE = 512
-#: Words whose ids a worker remembers. A cache only: it starts afresh when full.
-CACHE_WORDS = 400_000
+#: Runs of letters, digits or marks whose ids a worker remembers. A cache only: when full, it forgets those met once.
+CACHE = 600_000
+#: Bytes of text that are split at once.
+SLICE_BYTES = 8_000_000
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -34,69 +37,132 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """The ids of whole texts, by the words between white space.
+#: Characters whose words are split here, as the tokenizer's pattern does: printable ASCII and the letters of
+#: Latin-1, which its normaliser only lower-cases; and that pattern for them. A word with other characters, or with what
+#: may be a special token, is encoded whole.
+PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+SPECIAL = "<|"
 
-    This tokenizer's pieces never reach over white space (its pattern excludes it and its normaliser works within a
-    character and its marks), so a text's ids are those of its words in order, and each distinct word is encoded once.
+
+def byte_signs() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+class Pieces(dict):
+    """The ids of whole texts, by the words between white space and the runs of letters, digits or marks in those.
+
+    This tokenizer's runs never reach over white space (its pattern excludes it and its normaliser works within a
+    character and its marks), so a text's ids are those of its words in order, and a word's those of its runs. A slice's
+    distinct words are split at once, and each distinct run is encoded once.
     """
 
-    made: dict[str, Words] = {}
+    made: dict[str, Pieces] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.reset()
+        self.signs = byte_signs()
+        self.fresh: list[bytes] = []
+        self.used = 0
+        self.flat, self.start, self.size, self.met = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
-    def at(cls, path: str) -> Words:
+    def at(cls, path: str) -> Pieces:
         if path not in cls.made:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def reset(self):
+    def forget(self) -> None:
+        """Keeps the runs that more than one slice had."""
+        kept = np.flatnonzero(self.met > 1)
+        names = list(self)
+        where = np.arange(self.size[kept].sum()) + np.repeat(self.start[kept] - (np.cumsum(self.size[kept]) - self.size[kept]), self.size[kept])
+        flat = self.flat[where]
         self.clear()
-        self.fresh: list[bytes] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
+        for i in kept.tolist():
+            self[names[i]] = len(self)
+        self.size, self.met, self.used = self.size[kept], np.zeros(len(kept), np.int64), len(flat)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([flat, np.zeros(1 << 16, np.uint32)])
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
         return n
 
     def learn(self) -> None:
-        """Ids of the words met since, encoded together: joined by spaces, dealt back by their places in the text."""
+        """Ids of the runs and words met since: runs by the model alone, whole words together, dealt back by their places."""
         if not self.fresh:
             return
-        flat, sizes = [self.flat], []
-        for part in itertools.batched(self.fresh, 20_000):
-            texts = [w.decode("utf-8", "replace") for w in part]
+        got: list[list[int]] = [[]] * len(self.fresh)
+        whole: list[int] = []
+        model, signs = self.encoder.model, self.signs
+        for i, piece in enumerate(self.fresh):
+            if piece[0] == 0x20:
+                whole.append(i)
+            else:
+                got[i] = [t.id for t in model.tokenize(piece.decode("latin-1") if piece.isascii() else piece.decode("latin-1").translate(signs))]
+        for part in itertools.batched(whole, 20_000):
+            texts = [self.fresh[i][1:].decode("utf-8", "replace") for i in part]
             e = self.encoder.encode(" ".join(texts), add_special_tokens=False)
             ends = np.cumsum(np.array([len(t) + 1 for t in texts]))
             owner = np.searchsorted(ends, np.array([o[0] for o in e.offsets], np.int64), side="right")
-            sizes.append(np.bincount(owner, minlength=len(texts)))
-            flat.append(np.array(e.ids, np.uint32))
-        self.flat = np.concatenate(flat)
-        self.size = np.concatenate([self.size, *sizes])
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+            for i, x in zip(part, np.split(np.array(e.ids, np.int64), np.searchsorted(owner, np.arange(1, len(texts)))), strict=True):
+                got[i] = x.tolist()
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        more = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
+        if self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(more), np.uint32)])
+        self.flat[self.used : self.used + len(more)] = more
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(size), np.int64)])
+        self.used += len(more)
         self.fresh = []
 
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of distinct words."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, SPECIAL)))
+        split = pc.replace_substring_regex(pc.utf8_lower(words), PIECES, "\\0 ")
+        kind = words.type
+        text = pc.if_else(plain, split, pa.nulls(len(words), kind))
+        lists = pc.ascii_split_whitespace(text.fill_null(""))
+        pieces = lists.flatten().dictionary_encode()
+        names = pieces.dictionary.cast(pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).to_pylist()
+        known = np.fromiter((self[x] if x else -1 for x in names), np.int64, len(names))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        of_odd = np.fromiter((self[b" " + w.encode()] for w in words.take(pa.array(odd)).to_pylist()), np.int64, len(odd))
+        self.learn()
+        at, first = known[pieces.indices.to_numpy(zero_copy_only=False)], lists.offsets.to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), np.diff(first))
+        owner, at = np.concatenate([owner[at >= 0], odd]), np.concatenate([at[at >= 0], of_odd])
+        self.met[known[known >= 0]] += 1
+        self.met[of_odd] += 1
+        by = np.argsort(owner, kind="stable")
+        owner, at = owner[by], at[by]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, self.size[at], len(words)).astype(np.int64))])
+        return self.flat[spread(self.start[at], self.size[at])], bounds
+
     def ids(self, col: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column, as in encode(text, add_special_tokens=False)."""
-        for _, part in slices(col):
-            if len(self) > CACHE_WORDS:
-                self.reset()
+        for _, part in slices(col, SLICE_BYTES):
+            if len(self) > CACHE:
+                self.forget()
             tokens = Tokens(part)
-            known = np.fromiter(map(self.__getitem__, tokens.distinct), np.int64, len(tokens.distinct))
-            self.learn()
-            at = known[tokens.at]
-            n = self.size[at]
-            end = np.cumsum(n)
-            where = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[at] - (end - n), n)
-            ids = self.flat[where]
-            yield from (ids[a:b] for a, b in itertools.pairwise(np.concatenate([[0], end])[tokens.first]))
+            flat, bounds = self.of_words(tokens.names)
+            n = np.diff(bounds)[tokens.at]
+            ids = flat[spread(bounds[tokens.at], n)]
+            yield from (ids[a:b] for a, b in itertools.pairwise(np.concatenate([[0], np.cumsum(n)])[tokens.first]))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of each run, in order."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -165,7 +231,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.at(path)
+        words = Pieces.at(path)
         sequence = itertools.count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
         rows: list[tuple] = []
         rest: list[tuple] = []
