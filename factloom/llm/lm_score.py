@@ -1,8 +1,12 @@
 """LM scoring: a byte-context model by partial matching (PPM), with escape estimation and symbol exclusion.
 
 A text is a space, its lower-cased words, each followed by a space, then an end. The model predicts each byte behind the
-first space from the ORDER bytes before it, over the bounds of words; zero bytes stand before a document. scored()
-is the same model with contexts cut at the start of each token, whose code lengths depend on the token alone.
+first space from the ORDER bytes before it, over the bounds of words; zero bytes stand before a document.
+
+Documents are read once, in blocks. What tasks exchange are each block's distinct contexts with their symbols, sorted and
+compressed, dealt into buckets by the last DEALT_BY bytes of the context: a bucket has every order from there up complete,
+and the orders below it are one table of at most 256^DEALT_BY rows. Each block gets the code lengths of its own contexts
+back, and meets its texts again.
 """
 
 from __future__ import annotations
@@ -16,190 +20,220 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_schema, clustered, materialize, slices, streamed_groups, table, text_column
+from .common import MIX, arrow_schema, materialize, mixed, slices, table, text_column
 
-#: Bytes of context; a context and its symbol are one 64-bit key, a byte each.
+#: Bytes of context; a context and its symbol are one 64-bit key, a byte each: the nearest byte of context highest, the
+#: symbol lowest, so that sorted keys are a trie in order.
 ORDER = 6
 #: The symbols that aren't bytes of a word. Words hold no white space.
 SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
-#: Bytes of text of a block of documents, whose words and keys are numbered together.
-BLOCK_BYTES = 16_000_000
-#: The same of the model over word bounds, whose blocks keep their texts and are read in slices.
-STREAM_BYTES = 32_000_000
-#: Context bytes by which the keys are dealt; the orders below it are small tables that every task has.
-DEALT_BY = 2
+#: Bytes of text of a block of documents, one at least, and positions that are counted at once.
+BLOCK_BYTES = 20_000_000
+STEP = 16_000_000
+#: Context bytes by which keys are dealt, and the buckets they are dealt into, by hash.
+DEALT_BY = 3
+BUCKETS = 256
+#: Keys of a row of the model, and keys that a task gathers before it sums them.
+MODEL_ROW, GATHERED = 500_000, 4_000_000
+#: Marks of a document's head and end while its text is cleaned: bytes that UTF-8 doesn't have.
+HEAD_MARK, END_MARK = 0xFE, 0xFF
+#: Kinds of rows: the counts of the low orders, of words, of contexts, and a block's texts.
+LOW, WORDS, KEYS, TEXTS = range(4)
+
+
+def cleaning() -> bytes:
+    """A byte's successor: A-Z lower-cased, white space as a space, marks as what they stand for."""
+    out = np.arange(256, dtype=np.uint8)
+    out[0x41:0x5B] += 32
+    out[0x09:0x0E] = SPACE
+    out[HEAD_MARK], out[END_MARK] = 0, END
+    return out.tobytes()
+
+
+CLEANED = cleaning()
+HEAD, TAIL = bytes([HEAD_MARK] * ORDER) + b" ", b" " + bytes([END_MARK])
+
+
+def stream(texts: list[bytes]) -> np.ndarray:
+    """The texts' bytes as the model reads them, one after the other; only a document's end is a line feed."""
+    x = np.frombuffer(b"".join([HEAD, *(part for t in texts for part in (t, TAIL, HEAD))][: -1 if texts else None]).translate(CLEANED), np.uint8) if texts else np.zeros(0, np.uint8)
+    space = x == SPACE
+    again = np.zeros(len(x), bool)
+    again[1:] = space[1:] & space[:-1]
+    return x[~again]
+
+
+def keys_of(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The keys of places a to b (a is ORDER at least)."""
+    out = np.empty(b - a, np.uint64)
+    for i in range(a, b, 1 << 16):
+        j = min(b, i + (1 << 16))
+        key = x[i:j].astype(np.uint64)
+        for back in range(1, ORDER + 1):
+            key |= x[i - back : j - back].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - back))
+        out[i - a : j - a] = key
+    return out
 
 
-def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first): for each byte of each word, and its final space, the context and the symbol packed into a key."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    first = np.concatenate([[0], np.cumsum(size + 1)])
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64) if words else np.zeros(0, np.uint64)
-    place = np.arange(len(flat)) - np.repeat(first[:-1], size + 1)
-    key = flat.copy()
-    for back in range(1, ORDER + 1):  # the byte so far back; the space before the token; nothing before that
-        before = np.zeros(len(flat), np.uint64)
-        inside = place >= back
-        before[inside] = flat[np.flatnonzero(inside) - back]
-        before[place == back - 1] = SPACE
-        key |= before << np.uint64(8 * back)
-    return key.view(np.int64), first
+def predicted(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Which of the places a to b are symbols: all but a document's head."""
+    end = np.flatnonzero(x[max(0, a - ORDER - 1) : b] == END) + max(0, a - ORDER - 1)
+    out = np.ones(b - a, bool)
+    for back in range(1, ORDER + 2):
+        at = end + back
+        out[at[(at >= a) & (at < b)] - a] = False
+    if a <= ORDER:
+        out[: ORDER + 1 - a] = False
+    return out
 
 
-END_KEY = int(np.array([SPACE << 8 | END], np.uint64).view(np.int64)[0])
+def word_keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the stream's words: 63 bits each, from sums of the bytes' own numbers times powers."""
+    space = np.flatnonzero(x == SPACE)
+    start = space[x[space + 1] != END] + 1 if len(space) else space
+    stop = space[np.searchsorted(space, start)] if len(start) else start
+    out = np.zeros(len(start), np.uint64)
+    size = stop - start
+    with np.errstate(over="ignore"):
+        sign = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
+        live = np.arange(len(start))
+        for i in range(32):
+            live = live[size[live] > i]
+            out[live] = mixed(out[live] * MIX + sign[x[start[live] + i]])
+        for w in live[size[live] > 32].tolist():  # the rest of a long word as sums of pieces
+            tail = sign[x[start[w] + 32 : stop[w]]]
+            for v in np.split(tail, range(1 << 16, len(tail), 1 << 16)):
+                out[w] = mixed(out[w] * MIX + (v * np.power(MIX, np.arange(len(v), dtype=np.uint64))).sum(dtype=np.uint64))
+        return mixed(out + size.astype(np.uint64)) >> np.uint64(1), start
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """One pass over docs(doc_id, text, held_out): blocks of documents with their own numbering of words.
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of n."""
+    if not len(keys):
+        return keys, n
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[by], first)
 
-    kind 0: a document and its number of words n. kind 1: a word, its number id, and n, its count in training documents.
-    kind 2: the block's documents as word numbers and counts, packed, by document. Blocks hold about BLOCK_BYTES of text
-    (one document at least).
-    """
-    ddl = "block long, kind int, doc_id long, held_out boolean, n long, id int, word binary, packed binary"
-    _, schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for doc, held, col in gathered(batches, BLOCK_BYTES):
-            t = Tokens(col, lower=True)
-            often = np.bincount(t.at, minlength=len(t.distinct))
-            used = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]  # frequent words get small numbers
-            number = np.zeros(len(t.distinct), np.int64)
-            number[used] = np.arange(len(used))
-            at, words, counts = number[t.at], [t.distinct[i] for i in used], t.counts()
-            train = ~held
-            n_train = np.bincount(at, np.repeat(train, counts), len(words)).astype(np.int64)
-            width = max(1, len(words))
-            pair, n = np.unique(t.owners() * width + at, return_counts=True)
-            each = np.bincount(pair // width, minlength=len(doc))
-            rows = len(doc)
-            yield filled(schema, rows, block=np.full(rows, block), kind=np.zeros(rows, np.int32), doc_id=doc, held_out=held, n=counts, id=np.arange(rows, dtype=np.int32))
-            yield filled(schema, 1, block=[block], kind=np.full(1, 2, np.int32), packed=[pack_counts(each, pair % width, n)])
-            for x in range(0, len(words), 50_000):
-                part = words[x : x + 50_000]
-                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32), n=n_train[x : x + 50_000], id=np.arange(x, x + len(part), dtype=np.int32), word=part)
-            block += 1
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs; sorts keys in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ddl)
 
+def stream_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = []
+    for a in range(ORDER, len(x), STEP):
+        b = min(len(x), a + STEP)
+        keys = keys_of(x, a, b)
+        parts.append(counted(keys[predicted(x, a, b)]))
+    if len(parts) == 1:
+        return parts[0]
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else counted(np.zeros(0, np.uint64))
 
-def filled(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
-    """A batch with these columns, the others null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed; sorted 64-bit ones as steps."""
+    if x.dtype == np.uint64:
+        x = np.diff(x, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, -1)
+    out = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(out, dtype=np.uint64) if kind is np.uint64 else out
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
-    """(ids, held_out, texts) of about so many bytes of text, over the bounds of batches."""
-    parts: list[tuple[pa.Array, np.ndarray, pa.Array]] = []
-    size = 0
 
-    def joined():
-        return pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+def bucket_of(keys: np.ndarray, kind: int) -> np.ndarray:
+    """Keys by the nearest DEALT_BY bytes of their context, words by their hash."""
+    of = keys if kind == WORDS else keys >> np.uint64(8 * (ORDER + 1 - DEALT_BY))
+    return (mixed(of * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
 
+
+ROW = "block long, kind int, bucket int, part int, rows long, total long, seen long, keys binary, told binary"
+_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("rows", pa.int64()), ("total", pa.int64()), ("seen", pa.int64()), ("keys", pa.binary()), ("told", pa.binary())])
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, list[bytes]]]:
+    """(ids, held_out, texts) of about so many bytes of text, over the bounds of batches."""
+    ids: list = []
+    held: list = []
+    texts: list[bytes] = []
+    size = 0
     for batch in batches:
         name = batch.schema.get_field_index
-        for a, some in slices(text_column(batch)):
-            n = some.nbytes
-            if parts and size + n > most:
-                yield joined()
-                parts, size = [], 0
-            parts.append((batch.column(name("doc_id")).slice(a, len(some)), np.asarray(batch.column(name("held_out")).slice(a, len(some)), bool), some))
+        for a, some in slices(text_column(batch), most // 4):
+            some = some.cast(pa.large_binary() if pa.types.is_large_string(some.type) else pa.binary())
+            n = pc.sum(pc.binary_length(some)).as_py() or 0
+            if texts and size + n > most:
+                yield ids, np.array(held, bool), texts
+                ids, held, texts, size = [], [], [], 0
+            ids += batch.column(name("doc_id")).slice(a, len(some)).to_pylist()
+            held += batch.column(name("held_out")).slice(a, len(some)).to_pylist()
+            texts += some.to_pylist()
             size += n
-    if parts:
-        yield joined()
-
-
-def pack_counts(each: np.ndarray, ids: np.ndarray, n: np.ndarray) -> bytes:
-    """Numbers of pairs by document, their ids as steps inside a document, and their counts, compressed."""
-    first = np.concatenate([[0], np.cumsum(each)[:-1]])[each > 0]
-    step = np.diff(ids, prepend=0)
-    step[first] = ids[first]
-    planes = [each.astype("<u4").tobytes(), np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), np.ascontiguousarray(n.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()]
-    head = np.array([len(each), len(ids)], "<u4").tobytes()
-    raw = head + b"".join(planes)
-    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], "<u8")[0]), codec="zstd", asbytes=True)
-    docs, pairs = np.frombuffer(raw[:8], "<u4").tolist()
-    each = np.frombuffer(raw, "<u4", docs, 8).astype(np.int64)
-    plane = lambda at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * pairs, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    step, n = plane(8 + 4 * docs), plane(8 + 4 * docs + 4 * pairs)
-    total = np.concatenate([[0], np.cumsum(step)])
-    start = np.cumsum(each) - each
-    return each, total[1:] - np.repeat(total[start], each), n
-
-
-def word_blocks(total: DataFrame) -> DataFrame:
-    """total(word, c) in blocks: kind 1: a word; kind 2: a key of the block's words and n, its count in training documents."""
-    ddl = "block long, kind int, n long, key long, word binary"
-    _, schema = arrow_schema(ddl)
+    if texts:
+        yield ids, np.array(held, bool), texts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        waiting: list[tuple[list[bytes], np.ndarray]] = []
-
-        def told() -> Iterator[pa.RecordBatch]:
-            words, c = [w for p in waiting for w in p[0]], np.concatenate([p[1] for p in waiting])
-            keys, first = word_keys(words)
-            keys, where = np.unique(keys, return_inverse=True)
-            weight = np.bincount(where, np.repeat(c, np.diff(first)), len(keys)).astype(np.int64)
-            for x in range(0, len(words), 50_000):
-                part = words[x : x + 50_000]
-                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.ones(len(part), np.int32), n=c[x : x + 50_000], word=part)
-            for x in range(0, len(keys), 100_000):
-                part = keys[x : x + 100_000]
-                yield filled(schema, len(part), block=np.full(len(part), block), kind=np.full(len(part), 2, np.int32), n=weight[x : x + 100_000], key=part)
 
-        for batch in batches:
-            waiting.append((batch.column(0).to_pylist(), batch.column(1).to_numpy()))
-            if sum(len(p[0]) for p in waiting) >= 100_000:
-                yield from told()
-                waiting, block = [], block + 1
-        if waiting:
-            yield from told()
-
-    return total.select("word", "c").mapInArrow(run, ddl)
-
-
-def word_codes(made: DataFrame, told: DataFrame) -> DataFrame:
-    """(word, c, code): log10 probability of each word and its end, from word_blocks() and the keys' scores."""
-    none = lambda kind: F.lit(None).cast(kind)
-    words = made.where("kind = 1").select("block", "word", F.col("n").alias("c"), none("long").alias("key"), none("double").alias("score"))
-    keys = made.where("kind = 2").select("block", "key").join(told, "key").select("block", none("binary").alias("word"), none("long").alias("c"), "key", "score")
-    ddl = "word binary, c long, code double"
-    _, schema = arrow_schema(ddl)
+def blocks(docs: DataFrame) -> DataFrame:
+    """One pass over docs(doc_id, text, held_out): rows of all four kinds, as ROW says. Counts are of training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in streamed_groups(batches, ["block"]):
-            is_key = group["word"].is_null()
-            k, w = group.filter(is_key), group.filter(pc.invert(is_key))
-            key, score = k["key"].to_numpy(), k["score"].to_numpy()
-            by = np.argsort(key)
-            at, first = word_keys(w["word"].to_pylist())
-            each = np.concatenate([[0], np.cumsum(score[by][np.searchsorted(key[by], at)])]) if len(at) else np.zeros(1)
-            yield pa.RecordBatch.from_arrays([w["word"].combine_chunks(), w["c"].combine_chunks(), pa.array(each[first[1:]] - each[first[:-1]])], schema=schema)
+        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for ids, held, texts in gathered(batches, BLOCK_BYTES):
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORDS: [], KEYS: []}
+            streams = []
+            for out in (False, True):
+                x = stream([t for t, h in zip(texts, held.tolist(), strict=True) if h == out])
+                for kind, (k, n) in ((KEYS, stream_counts(x)), (WORDS, counted(word_keys(x)[0]))):
+                    found[kind].append((k, np.zeros(len(k), np.int64) if out else n.astype(np.int64)))
+                streams.append(x.tobytes())
+            of_doc = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held)})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, of_doc.schema) as to:
+                to.write_batch(of_doc)
+            sizes = np.array([len(streams[0]), len(streams[1])], "<u8").tobytes()
+            yield rows_of([(block, TEXTS, 0, 0, len(ids), int((~held).sum()), 0, sink.getvalue().to_pybytes(), sizes + pa.compress(b"".join(streams), codec="zstd", asbytes=True))])
+            del streams, texts
+            for kind, ((k0, n0), (k1, n1)) in found.items():
+                keys, n = summed(np.concatenate([k0, k1]), np.concatenate([n0, n1]))
+                if kind == KEYS:
+                    low, low_n = summed(suffix(keys, DEALT_BY - 1), n)
+                    yield rows_of([(block, LOW, 0, 0, len(low), 0, 0, packed(low), packed(low_n.astype(np.uint32)))])
+                bucket = bucket_of(keys, kind)
+                by = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[by], np.arange(BUCKETS + 1)).tolist()
+                keys, n = keys[by], n[by].astype(np.uint32)
+                yield rows_of([(block, kind, i, 0, b - a, 0, 0, packed(keys[a:b]), packed(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a] or [(block, kind, 0, 0, 0, 0, 0, b"", b"")])
+            block += 1
 
-    return clustered(words.unionByName(keys), ["block"]).mapInArrow(run, ddl)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ROW)
 
 
-def suffix(keys: np.ndarray, order: int) -> np.ndarray:
-    """Keys cut to their symbol and that many bytes of context."""
-    bits = 8 * (order + 1)
-    return keys if bits >= 64 else keys & np.uint64((1 << bits) - 1)
+def suffix(keys: np.ndarray, order: int, of: int = ORDER) -> np.ndarray:
+    """The symbol and the nearest bytes of its context, so many of as many as the keys have, in the lowest bits."""
+    return (keys >> np.uint64(8 * (of + 1 - order))) << np.uint64(8) | keys & np.uint64(0xFF)
 
 
 class Level:
     """Counts of one order: n of (context, symbol), and of each context its total and number of symbols."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, of: int = ORDER):
         seen = n > 0
         self.order = order
-        self.key, where = np.unique(suffix(keys[seen], order), return_inverse=True)
-        self.n = np.bincount(where, n[seen], len(self.key))
+        self.key, self.n = summed(suffix(keys[seen], order, of), n[seen])
         self.context, of = np.unique(self.key >> np.uint64(8), return_inverse=True)
         self.total, self.kinds = np.bincount(of, self.n, len(self.context)), np.bincount(of, minlength=len(self.context))
 
@@ -212,7 +246,7 @@ class Level:
 
     def excluded_by(self, longer: Level) -> np.ndarray:
         """For each context of the longer order, the total here of the symbols that were seen there."""
-        at = self.find(self.key, suffix(longer.key, self.order))
+        at = self.find(self.key, suffix(longer.key, self.order, longer.order))
         of = np.searchsorted(longer.context, longer.key >> np.uint64(8))
         return np.bincount(of, np.where(at >= 0, self.n[at], 0), len(longer.context))
 
@@ -247,161 +281,201 @@ def code_lengths(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def model(keys: DataFrame) -> DataFrame:
-    """(key, score): log10 probability of every key of keys(key, n), n its count in training documents.
+def low_counts(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the orders below DEALT_BY over all documents, summed by tasks first: at most 256^DEALT_BY keys."""
+    ddl = "key long, n long"
+    _, schema = arrow_schema(ddl)
 
-    Keys are dealt by the last DEALT_BY bytes of their context, so that every order from there up is complete in its
-    task; the totals of the lower orders are one small aggregate (at most 256^DEALT_BY * 256 rows, a few thousand in
-    text) that goes to the tasks. A dealt group is streamed in key order within its task.
-    """
-    low = keys.groupBy(F.col("key").bitwiseAND((1 << 8 * DEALT_BY) - 1).alias("key")).agg(F.sum("n").alias("n")).where("n > 0")
-    low = low.toArrow()
-    low_keys, low_n = low["key"].to_numpy().astype(np.int64).view(np.uint64), low["n"].to_numpy()
-    lower = [Level(low_keys, low_n, order) for order in range(DEALT_BY - 1, -1, -1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, n = summed(np.concatenate([keys, unpacked(r["keys"], r["rows"], np.uint64)]), np.concatenate([n, unpacked(r["told"], r["rows"], np.uint32).astype(np.int64)]))
+        for a in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], schema=schema)
+
+    low = made.where(F.col("kind") == LOW).select("rows", "keys", "told").mapInArrow(run, ddl).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    keys, n = low["key"].to_numpy().astype(np.int64).view(np.uint64), low["n"].to_numpy()
+    by = np.argsort(keys)
+    return keys[by], n[by]
+
+
+def dealt(rows: DataFrame, keys: list[str], then: list[str]) -> DataFrame:
+    """Rows of a key together and in order; the number of tasks is the session's, since small compressed rows are much work."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *map(F.col, keys)).sortWithinPartitions(*keys, *then)
+
+
+def model(made: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """What is told of each bucket's keys, in rows as ROW says: of words their counts, of contexts the code lengths. A task
+    holds one bucket's distinct keys; blocks are summed as they come."""
+    low_keys, low_n = packed(low[0]), packed(low[1].astype(np.uint64))
+    n_low = len(low[0])
+
+    def told(kind: int, bucket: int, keys: np.ndarray, n: np.ndarray, lower: list) -> Iterator[pa.RecordBatch]:
+        if kind == WORDS:
+            value = n.astype(np.float64)
+        else:
+            upper = [Level(keys, n, order) for order in range(ORDER, DEALT_BY - 1, -1)]
+            value = code_lengths(keys, [*upper, *lower])
+        for part, a in enumerate(range(0, len(keys), MODEL_ROW)):
+            k, m = keys[a : a + MODEL_ROW], n[a : a + MODEL_ROW]
+            yield rows_of([(-1, kind, bucket, part, len(k), int(m.sum()), int((m > 0).sum()), packed(k), packed(value[a : a + MODEL_ROW].astype(np.float64 if kind == WORDS else np.float32)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in streamed_groups(batches, ["dealt"]):
-            k, n = group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()
-            upper = [Level(k, n, order) for order in range(ORDER, DEALT_BY - 1, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(code_lengths(k, [*upper, *lower]))], names=["key", "score"])
+        low = unpacked(low_keys, n_low, np.uint64), unpacked(low_n, n_low, np.uint64).astype(np.int64)
+        lower = [Level(*low, order, DEALT_BY - 1) for order in range(DEALT_BY - 1, -1, -1)]
+        at, waiting, size = None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind, bucket, rows, keys, n = (batch.column(c)[i].as_py() for c in range(5))
+                if (kind, bucket) != at and at is not None:
+                    yield from told(*at, *summed(*map(np.concatenate, zip(*waiting, strict=True))), lower)
+                    waiting, size = [], 0
+                at = kind, bucket
+                if rows:
+                    waiting.append((unpacked(keys, rows, np.uint64), unpacked(n, rows, np.uint32).astype(np.int64)))
+                    size += rows
+                else:
+                    waiting.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                if size > GATHERED:
+                    waiting = [summed(*map(np.concatenate, zip(*waiting, strict=True)))]
+                    size = 0
+        if at is not None:
+            yield from told(*at, *summed(*map(np.concatenate, zip(*waiting, strict=True))), lower)
+
+    rows = made.where(F.col("kind").isin(WORDS, KEYS)).select("kind", "bucket", "rows", "keys", "told")
+    return dealt(rows, ["kind", "bucket"], []).mapInArrow(run, ROW)
+
+
+def answered(made: DataFrame, told: DataFrame) -> DataFrame:
+    """Each block's keys with what the model tells of them: the model's rows of a bucket come first, then blocks one by one."""
 
-    dealt = keys.withColumn("dealt", F.shiftright(F.col("key"), 8).bitwiseAND((1 << 8 * DEALT_BY) - 1))
-    return clustered(dealt.select("dealt", "key", "n"), ["dealt"]).mapInArrow(run, "key long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, known, value = None, [], None, None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                block, kind, bucket, part, rows, _, _, keys, n = (c[i].as_py() for c in batch.columns)
+                if (kind, bucket) != at:
+                    at, parts, known = (kind, bucket), [], None
+                kinds = np.float64 if kind == WORDS else np.float32
+                if not rows:
+                    continue
+                k = unpacked(keys, rows, np.uint64)
+                if block < 0:
+                    parts.append((k, unpacked(n, rows, kinds)))
+                    continue
+                if known is None:
+                    known, value = map(np.concatenate, zip(*parts, strict=True))
+                    parts = []
+                out.append((block, kind, bucket, part, rows, 0, 0, keys, packed(value[np.searchsorted(known, k)])))
+            if out:
+                yield rows_of(out)
+
+    asked = made.where(F.col("kind").isin(WORDS, KEYS)).withColumn("told", F.lit(None).cast("binary"))
+    return dealt(asked.unionByName(told), ["kind", "bucket"], ["block", "part"]).mapInArrow(run, ROW)
+
+
+class Lookup:
+    """Values by 64-bit keys, of which none is all ones: a table of at most one key in three places, with linear steps."""
+
+    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(8, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.value = np.full(1 << bits, self.FREE), np.zeros(1 << bits, values.dtype)
+        rest, step = np.arange(len(keys)), 0
+        place = self.places(keys)
+        while len(rest):
+            at = (place[rest] + step) & self.mask
+            free = self.key[at] == self.FREE
+            self.key[at[free]] = keys[rest[free]]
+            got = self.key[at] == keys[rest]
+            self.value[at[got]] = values[rest[got]]
+            rest, step = rest[~got], step + 1
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * MIX) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; every key must be there."""
+        out = np.empty(len(keys), self.value.dtype)
+        for a in range(0, len(keys), 1 << 16):
+            k = keys[a : a + (1 << 16)]
+            at = self.places(k)
+            part = self.value[at]
+            rest = np.flatnonzero(self.key[at] != k)
+            while len(rest):
+                at[rest] = (at[rest] + 1) & self.mask
+                part[rest] = self.value[at[rest]]
+                rest = rest[self.key[at[rest]] != k[rest]]
+            out[a : a + (1 << 16)] = part
+        return out
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text).
 
     Learns from documents whose crc32 of the id mod 5 isn't 1 (null ids: learn). Null or empty text: the end alone. Every
-    word and key of every document counts; what tasks exchange are each block's distinct words and keys, so it grows with
-    the corpus and no word of all documents meets in one task more than once a block.
+    word and every byte with its context counts. Repeated rows count and are returned each; other columns are ignored; an
+    empty table has no rows. A text longer than a block is a block of its own, read by STEP places at a time.
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     made = materialize(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out"))), "blocks")
-    words = made.where("kind = 1").select("block", "id", "word", "n")
-    total = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    facts = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    ends = made.where("kind = 0 and not held_out").count()
-    n_all, v = facts["n"] + ends, facts["v"] + (1 if ends else 0)
-    keyed = materialize(word_blocks(total), "keys")
-    end = docs.sparkSession.createDataFrame([(END_KEY, ends)], "key long, n long")
-    told = materialize(model(keyed.where("kind = 2").select("key", "n").unionByName(end).groupBy("key").agg(F.sum("n").alias("n"))), "scores")
-    end_code = told.where(F.col("key") == END_KEY).first()["score"]
-    codes = word_codes(keyed, told)
-
-    none = lambda kind: F.lit(None).cast(kind)
-    one = made.where("kind = 0").select("block", "kind", "id", "doc_id", "held_out", "n", none("double").alias("code"), none("binary").alias("packed"))
-    two = words.select("block", "id", "word").join(codes, "word").select("block", F.lit(1).alias("kind"), "id", none("long").alias("doc_id"), none("boolean").alias("held_out"), F.col("c").alias("n"), "code", none("binary").alias("packed"))
-    three = made.where("kind = 2").select("block", "kind", none("int").alias("id"), none("long").alias("doc_id"), none("boolean").alias("held_out"), none("long").alias("n"), none("double").alias("code"), "packed")
+    told = materialize(model(made, low_counts(made)), "model")
+    facts = told.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
+    ends = made.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    n_all = facts["n"] + ends
+    scale = n_all + 0.5 * (facts["v"] + (1 if ends else 0) + 1)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     _, schema = arrow_schema(ddl)
-    scale = n_all + 0.5 * (v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in streamed_groups(batches, ["block"]):
-            kind = group["kind"].to_numpy()
-            w, d = group.filter(pa.array(kind == 1)), group.filter(pa.array(kind == 0)).sort_by("id")
-            order = np.argsort(w["id"].to_numpy())
-            c, code = w["n"].to_numpy()[order].astype(np.float64), w["code"].to_numpy()[order]
-            base = np.log10((c + 0.5) / scale)
-            each, ids, n = unpack_counts(group.filter(pa.array(kind == 2))["packed"][0].as_py())
-            owner, rows = np.repeat(np.arange(len(each)), each), d.num_rows
-            sums = lambda x: np.bincount(owner, x[ids] * n, rows)
-            known = sums((c > 0).astype(np.float64)).astype(np.int64) + (ends > 0)
-            cols = [d["doc_id"].combine_chunks(), d["held_out"].combine_chunks(), pa.array(d["n"].to_numpy() + 1), pa.array(known), pa.array(np.full(rows, n_all)), pa.array(sums(base) + np.log10((ends + 0.5) / scale)), pa.array(sums(code) + end_code)]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
-
-    return clustered(one.unionByName(two).unionByName(three), ["block"]).mapInArrow(run, ddl)
-
-
-def stream_keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, texts): the context and the symbol of each byte of each text's stream, and of its end, packed into a key."""
-    words = [t.distinct[i] for i in t.at.tolist()]
-    first = t.first.tolist()
-    streams = [b"\0" * ORDER + b" ".join([b"", *words[a:b], b"\n"]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    size = np.fromiter(map(len, streams), np.int64, len(streams))
-    flat = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(place > ORDER)
-    key = np.zeros(len(at), np.uint64)
-    for back in range(ORDER + 1):
-        key |= flat[at - back] << np.uint64(8 * back)
-    return key.view(np.int64), np.repeat(np.arange(len(size)), size - ORDER - 1)
-
-
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of parts (keys, n), sorted, and the sums of n."""
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-
-
-def stream_blocks(docs: DataFrame) -> DataFrame:
-    """One pass over docs(doc_id, text, held_out). kind 1: a word's hash as key, and n, its count in the block's training
-    documents; kind 2: the same of a context and symbol; kind 3: a slice of the block's documents, packed."""
-    ddl = "block long, kind int, key long, n long, packed binary"
-    _, schema = arrow_schema(ddl)
+    def score(ids: bytes, data: bytes, parts: dict[int, list]) -> pa.RecordBatch:
+        of_doc = pa.ipc.open_stream(ids).read_all().combine_chunks().to_batches()[0]
+        held = of_doc.column(1).to_numpy(zero_copy_only=False)
+        sizes = np.frombuffer(data[:16], "<u8").astype(np.int64)
+        raw = np.frombuffer(pa.decompress(data[16:], int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
+        words, keys = (Lookup(*(map(np.concatenate, zip(*parts[kind], strict=True)))) if parts[kind] else None for kind in (WORDS, KEYS))
+        n_tokens, n_known, base, code = (np.zeros(len(held)) for _ in range(4))
+        for out, x in ((False, raw[: sizes[0]]), (True, raw[sizes[0] :])):
+            who = np.flatnonzero(held == out)
+            if not len(who):
+                continue
+            end = np.flatnonzero(x == END)
+            h, start = word_keys(x)
+            owner = np.searchsorted(end, start)
+            c = words.get(h) if len(h) else np.zeros(0)
+            n_tokens[who] = np.bincount(owner, minlength=len(who)) + 1
+            n_known[who] = np.bincount(owner, c > 0, len(who)) + (ends > 0)
+            base[who] = np.bincount(owner, np.log10((c + 0.5) / scale), len(who)) + np.log10((ends + 0.5) / scale)
+            total = np.zeros(len(who))
+            for a in range(ORDER, len(x), STEP // 4):
+                b = min(len(x), a + STEP // 4)
+                at = np.flatnonzero(predicted(x, a, b))
+                value = keys.get(keys_of(x, a, b)[at]).astype(np.float64)
+                total += np.bincount(np.searchsorted(end, at + a), value, len(who))
+            code[who] = total
+        cols = [of_doc.column(0), of_doc.column(1), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(held), n_all)), pa.array(base), pa.array(code)]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for doc, held, col in gathered(batches, STREAM_BYTES):
-            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-            for a, some in slices(col):
-                t, out = Tokens(some, lower=True), held[a : a + len(some)]
-                keys, owner = stream_keys(t)
-                for kind, x, of in ((1, t.hashes().view(np.int64), t.owners()), (2, keys, owner)):
-                    found[kind].append(summed([(x, (~out[of]).astype(np.float64))]))
-                part = pa.record_batch({"doc_id": doc.slice(a, len(some)), "held_out": pa.array(out), "text": some})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                    to.write_batch(part)
-                yield filled(schema, 1, block=[block], kind=np.full(1, 3, np.int32), packed=[sink.getvalue().to_pybytes()])
-            for kind, parts in found.items():
-                keys, n = summed(parts)
-                for x in range(0, len(keys), 100_000):
-                    part = keys[x : x + 100_000]
-                    yield filled(schema, len(part), block=np.full(len(part), block), kind=np.full(len(part), kind, np.int32), key=part, n=n[x : x + 100_000])
-            block += 1
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ddl)
-
-
-def stream_scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text).
-
-    Learns from documents whose crc32 of the id mod 5 isn't 1 (null ids: learn). Null or empty text: the end alone. Every
-    word and every byte with its context counts; what tasks exchange are each block's distinct words and keys.
-    """
-    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    made = materialize(stream_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out"))), "blocks")
-    total = materialize(made.where("kind < 3").groupBy("kind", "key").agg(F.sum("n").alias("n")), "keys")
-    fact = total.agg(*(F.coalesce(F.sum(F.when(F.expr(cond), F.expr(value))), F.lit(0)).alias(name) for name, cond, value in (("n", "kind = 1", "n"), ("v", "kind = 1 and n > 0", "1"), ("ends", f"kind = 2 and (key & 255) = {END}", "n")))).first()
-    ends, n_all = fact["ends"], fact["n"] + fact["ends"]
-    scale = n_all + 0.5 * (fact["v"] + (1 if ends else 0) + 1)
-    told = total.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("score")).unionByName(
-        model(total.where("kind = 2").select("key", "n")).select(F.lit(2).alias("kind"), "key", "score"))
-    facts = made.where("kind < 3").select("block", "kind", "key").join(told, ["kind", "key"]).select("block", "kind", "key", "score", F.lit(None).cast("binary").alias("packed"))
-    texts = made.where("kind = 3").select("block", "kind", "key", F.lit(None).cast("double").alias("score"), "packed")
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    _, schema = arrow_schema(ddl)
+        now, parts = None, {WORDS: [], KEYS: []}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kind, _, _, rows, _, _, keys, told = (c[i].as_py() for c in batch.columns)
+                if block != now:
+                    now, parts = block, {WORDS: [], KEYS: []}
+                if kind == TEXTS:  # the last of a block
+                    yield score(keys, told, parts)
+                else:
+                    parts[kind].append((unpacked(keys, rows, np.uint64), unpacked(told, rows, np.float64 if kind == WORDS else np.float32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in streamed_groups(batches, ["block"]):
-            kind = group["kind"].to_numpy()
-            a, b = np.searchsorted(kind, [2, 3]).tolist()
-            key, score = group["key"].slice(0, b).to_numpy(), group["score"].slice(0, b).to_numpy()
-            for packed in group["packed"].slice(b):
-                part = pa.ipc.open_stream(packed.as_py()).read_all().combine_chunks().to_batches()[0]
-                t, rows = Tokens(part["text"], lower=True), part.num_rows
-                c = score[:a][np.searchsorted(key[:a], t.hashes().view(np.int64))]
-                keys, owner = stream_keys(t)
-                code = np.bincount(owner, score[a:][np.searchsorted(key[a:], keys)], rows)
-                base = np.bincount(t.owners(), np.log10((c + 0.5) / scale), rows) + np.log10((ends + 0.5) / scale)
-                known = np.bincount(t.owners(), c > 0, rows).astype(np.int64) + (ends > 0)
-                cols = [part["doc_id"], part["held_out"], pa.array(t.counts() + 1), pa.array(known), pa.array(np.full(rows, n_all)), pa.array(base), pa.array(code)]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
-
-    return clustered(facts.unionByName(texts), ["block"], ["kind", "key"]).mapInArrow(run, ddl)
+    both = answered(made, told).unionByName(made.where(F.col("kind") == TEXTS))
+    return dealt(both, ["block"], ["kind"]).mapInArrow(run, ddl)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_scored(table(spark, sf_dir, "documents"))
+    return scored(table(spark, sf_dir, "documents"))
