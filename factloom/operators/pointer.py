@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import NotConverged
+from ..functions.grouped import LARGE, per_group, split_by_size
 from ..functions.store import materialize
 
 UNKNOWN, NULL_, INVALIDATED = -1, -2, -3
@@ -29,9 +30,99 @@ def without_loop_offsets(cons: DataFrame, loops: DataFrame) -> DataFrame:
     return cons.join(hit, ["module", "dst"], "left").withColumn("off", F.when(F.col("on_loop") & (F.col("kind") == "gep"), F.lit(None)).otherwise(F.col("off"))).drop("on_loop")
 
 
-def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(pt, mem), flow-insensitive, before absorption. Semi-naive: a rule joins what a round has added with everything known.
-    A load of an object that is zero-initialised always may give null."""
+STATE = "module long, r int, a long, b long, tgt long, off long"
+
+
+def moved_offset(at: int | None, by: int | None, size: int, limit: int) -> int:
+    """An offset after a gep, as shifted() says."""
+    if at is None or by is None or at < 0 or by < 0:
+        return UNKNOWN
+    return at + by if (at + by == 0 or at + by < size) and at + by < limit else UNKNOWN
+
+
+def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
+    """(pt, mem) of one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null):
+    pt[n] and mem[obj][off] are sets of (target, offset). Every rule is applied until none adds anything."""
+    size, zero, rules, pt, mem = {}, [], [], {}, {}
+    for kind, dst, src, off, length in rows:
+        if kind == "object":
+            size[dst] = off or 0
+            if src:
+                mem[dst] = {UNKNOWN: {(NULL_, 0)}}
+        elif kind == "alloc":
+            pt.setdefault(dst, set()).add((src, 0))
+        elif kind == "null":
+            pt.setdefault(dst, set()).add((NULL_, 0))
+        else:
+            rules.append((kind, dst, src, off, length))
+    nothing: set = set()
+
+    def cells(obj: int, off: int):
+        held = mem.get(obj, {})
+        return list(held.items()) if off < 0 else [(o, held[o]) for o in ((off, UNKNOWN) if off in held else (UNKNOWN,)) if o in held]
+
+    def put(table: dict, key, more) -> bool:
+        have = table.setdefault(key, set())
+        n = len(have)
+        have |= more
+        return len(have) > n
+
+    going = True
+    while going:
+        going = False
+        for kind, dst, src, off, length in rules:
+            from_ = pt.get(src, nothing)
+            if kind == "copy":
+                going |= bool(from_) and put(pt, dst, from_)
+            elif kind == "gep":
+                got = {(t, o) if t < 0 else (t, moved_offset(o, off, size.get(t, 0), field_limit)) for t, o in from_}
+                going |= bool(got) and put(pt, dst, got)
+            elif kind == "load":
+                got = {x for t, o in from_ if t >= 0 for _, held in cells(t, o) for x in held}
+                going |= bool(got) and put(pt, dst, got)
+            elif kind == "store":
+                for t, o in list(pt.get(dst, nothing)):
+                    if t >= 0 and from_:
+                        going |= put(mem.setdefault(t, {}), o, from_)
+            elif kind == "memcpy":
+                for t, o in list(pt.get(dst, nothing)):
+                    for st, so in list(from_) if t >= 0 else ():
+                        for at, held in list(mem.get(st, {}).items()) if st >= 0 else ():
+                            if so < 0 or at < 0 or length is None or so <= at < so + length:
+                                to = UNKNOWN if so < 0 or at < 0 or o < 0 else moved_offset(o + at - so, 0, size.get(t, 0), field_limit)
+                                going |= bool(held) and put(mem.setdefault(t, {}), to, set(held))
+    return pt, mem
+
+
+def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """(pt, mem), flow-insensitive, before absorption.
+
+    Modules are independent: each of up to large constraints is solved in one pass where its rows meet; larger ones are
+    solved together by rounds over relations, analyse_large(). A load of an object that is zero-initialised always may give
+    null.
+    """
+    few, many = split_by_size(cons, ["module"], large)
+    parts = []
+    if few is not None:
+        rows = cons.select("module", "kind", "dst", "src", "off", "len").unionByName(objects.select("module", F.lit("object").alias("kind"), F.col("obj").alias("dst"), F.col("zero").cast("long").alias("src"), F.col("size").alias("off"), F.lit(None).cast("long").alias("len")))
+        rows = rows if many is None else rows.join(few, "module", "left_semi")
+
+        def solve(_, group):
+            pt, mem = solve_module(group, field_limit)
+            yield from ((0, n, 0, t, o) for n, held in pt.items() for t, o in held)
+            yield from ((1, obj, at, t, o) for obj, by_off in mem.items() for at, held in by_off.items() for t, o in held)
+
+        told = materialize(per_group(rows, ["module"], solve, STATE), "points-to")
+        parts.append((told.where("r = 0").select("module", F.col("a").alias("n"), "tgt", "off"), told.where("r = 1").select("module", F.col("a").alias("obj"), F.col("b").alias("off"), "tgt", F.col("off").alias("toff"))))
+    if many is not None or not parts:
+        mine = (lambda df: df.join(many, "module", "left_semi")) if many is not None else (lambda df: df)
+        parts.append(analyse_large(mine(cons), mine(objects), field_limit))
+    pt, mem = parts[0]
+    return (pt.unionByName(parts[1][0]), mem.unionByName(parts[1][1])) if parts[1:] else (pt, mem)
+
+
+def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """analyse() for modules of any size, all at once. Semi-naive: a rule joins what a round has added with everything known."""
     c = lambda *kinds: cons.where(F.col("kind").isin(*kinds))
     size = objects.select("module", F.col("obj").alias("tgt"), "size")
     copy, gep, store, load, move = (c(k).select("module", "dst", "src", "off", "len") for k in ("copy", "gep", "store", "load", "memcpy"))
@@ -67,7 +158,7 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, max
         return s.select("module", F.col("dst_tgt").alias("obj"), F.expr(off).alias("off"), "tgt", "toff")
 
     has_moves = not move.isEmpty()
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds):
         copied = copy.join(of(dpt, "src"), ["module", "src"]).select("module", F.col("dst").alias("n"), F.col("src_tgt").alias("tgt"), F.col("src_off").alias("off"))
         moved = gep.join(of(dpt, "src"), ["module", "src"]).join(size.withColumnRenamed("tgt", "src_tgt"), ["module", "src_tgt"], "left")
         moved = moved.select("module", F.col("dst").alias("n"), F.col("src_tgt").alias("tgt"), F.expr(f"CASE WHEN src_tgt < 0 THEN src_off ELSE {shifted('src_off', 'off', 'size', field_limit)} END").alias("off"))
@@ -79,7 +170,9 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, max
         dmem = materialize(cells.distinct().join(mem, MEM, "left_anti"), "mem")
         if dpt.isEmpty() and dmem.isEmpty():
             return pt, mem
-        pt, mem = materialize(pt.unionByName(dpt), "pt"), materialize(mem.unionByName(dmem), "mem")
+        pt, mem = pt.unionByName(dpt), mem.unionByName(dmem)
+        if round_ % 8 == 7:
+            pt, mem = materialize(pt, "pt"), materialize(mem, "mem")
     raise NotConverged(f"pointer analysis: {max_rounds} rounds")
 
 
