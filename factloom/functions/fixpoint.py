@@ -14,7 +14,7 @@ class NotConverged(RuntimeError):
     pass
 
 
-def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], name: str = "fix", hops: int = 2, max_rounds: int = 200) -> DataFrame:
+def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], name: str = "fix", hops: int = 2, max_rounds: int = 10_000) -> DataFrame:
     """The least relation that holds anchor and is closed under step, a linear rule over the rows added last.
 
     A round applies step hops times before it compares with what is known, which divides the number of rounds. Only new

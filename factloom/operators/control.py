@@ -66,11 +66,11 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> Dat
     return pairs.join(escapes.unionByName(own).distinct(), ["fn", "node", "pdom"], "left_anti").select("fn", "node", "pdom")
 
 
-def scd(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+def scd(nodes: DataFrame, edges: DataFrame, paths: DataFrame | None = None, pdom: DataFrame | None = None) -> DataFrame:
     """(fn, node, depends_on): standard control dependence by post-dominance frontiers: node post-dominates a successor of
     depends_on and doesn't strictly post-dominate depends_on. In functions without exit every branch controls its
-    successors."""
-    pd_ = materialize(post_dominators(nodes, edges, paths), "pdom")
+    successors. Of paths (av) or of pdom, post_dominators() already made, one is needed."""
+    pd_ = pdom if pdom is not None else materialize(post_dominators(nodes, edges, paths), "pdom")
     cand = edges.join(pd_.select("fn", F.col("node").alias("dst"), F.col("pdom").alias("b")), ["fn", "dst"]).select("fn", "b", "src").distinct()
     strict = pd_.where("node <> pdom").select("fn", F.col("pdom").alias("b"), F.col("node").alias("src"))
     main = cand.join(strict, ["fn", "b", "src"], "left_anti")
@@ -110,15 +110,14 @@ def dod(nodes: DataFrame, edges: DataFrame, paths: DataFrame, avoids: DataFrame)
     return first.alias("x").join(first.alias("y"), F.expr("x.fn = y.fn AND x.p = y.p AND x.a = y.b AND x.b = y.a AND x.a < x.b"), "left_semi")
 
 
-def dod_ntscd(nodes: DataFrame, edges: DataFrame, paths: DataFrame, avoids: DataFrame) -> DataFrame:
+def dod_ntscd(nodes: DataFrame, edges: DataFrame, order: DataFrame, avoids: DataFrame) -> DataFrame:
     """(fn, node, depends_on): nodes on all maximal paths of one successor of a branch and not of another, and both nodes of
-    each pair whose order the branch decides."""
-    order = dod(nodes, edges, paths, avoids)
+    each pair whose order the branch decides, order being dod()'s rows."""
     both = order.select("fn", F.explode(F.array("a", "b")).alias("node"), F.col("p").alias("depends_on"))
     return ntscd(nodes, edges, avoids, reflexive=True).unionByName(both).distinct()
 
 
-def strong_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_rounds: int = 50) -> DataFrame:
+def strong_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(fn, node): least strongly control-closed set with the seeds. Each round adds every p that has an edge to r, where p is
     reachable from the set, r meets exactly one first member of the set and can't avoid the set, and p either meets two
     or can avoid it. Members found are rechecked with the larger set, as both conditions depend on it."""

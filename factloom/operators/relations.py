@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import fixpoint
+from ..functions.grouped import LARGE, per_group, split_by_size
+from ..functions.store import materialize
 
 #: The relations in the order of their bits, then for each its inverse, its negation (none for the last two),
 #: those that exclude it, and those that it implies.
@@ -81,9 +85,54 @@ def both_ways(vr: DataFrame) -> DataFrame:
     return rows.groupBy("loc", "lt", "rt").agg(F.bit_or("rels").alias("r")).select("loc", "lt", implied(F.col("r")).alias("rels"), "rt")
 
 
-def classes(vr: DataFrame) -> DataFrame:
-    """(loc, val, cls): values that must be equal, named by the smallest: by EQ, and by cycles of signed or of unsigned <=."""
-    pairs = both_ways(vr)
+def reached_bits(onto: list[int], i: int) -> int:
+    """What paths of an edge or more lead to, as bits."""
+    seen = new = onto[i]
+    while new:
+        step, left = 0, new
+        while left:
+            low = left & -left
+            step |= onto[low.bit_length() - 1]
+            left ^= low
+        new = step & ~seen
+        seen |= new
+    return seen
+
+
+def solve_classes(rows: list[tuple]) -> Iterator[tuple]:
+    """(val, cls) of one location, rows (lt, rels, rt) both ways."""
+    names = sorted({v for lt, _, rt in rows for v in (lt, rt)})
+    number = {v: i for i, v in enumerate(names)}
+    same = [0] * len(names)
+    for r in ("EQ", "SLE", "ULE"):
+        onto = [0] * len(names)
+        for lt, rels, rt in rows:
+            if rels & mask(f"EQ {r}") and lt != rt:
+                onto[number[lt]] |= 1 << number[rt]
+        far = [reached_bits(onto, i) for i in range(len(names))]
+        for i in range(len(names)):
+            for j in range(len(names)):
+                if far[i] >> j & 1 and far[j] >> i & 1:
+                    same[i] |= 1 << j
+    for i, v in enumerate(names):
+        met = reached_bits(same, i) | 1 << i
+        yield v, names[(met & -met).bit_length() - 1]
+
+
+def classes(vr: DataFrame, large: int = LARGE) -> DataFrame:
+    """(loc, val, cls): values that must be equal, named by the smallest: by EQ, and by cycles of signed or of unsigned <=.
+    Locations of up to large pairs are solved one by one where their rows meet, larger ones by rounds."""
+    pairs = materialize(both_ways(vr), "pairs")
+    few, many = split_by_size(pairs, ["loc"], large)
+    one = lambda df: per_group(df, ["loc"], lambda _, rows: solve_classes(rows), "loc long, val long, cls long")
+    if many is None:
+        return one(pairs)
+    out = classes_large(pairs.join(many, "loc", "left_semi"))
+    return out if few is None else out.unionByName(one(pairs.join(few, "loc", "left_semi")))
+
+
+def classes_large(pairs: DataFrame) -> DataFrame:
+    """classes() of pairs, both ways, by rounds over all locations at once."""
     reach_rows = None
     for r in ("EQ", "SLE", "ULE"):
         e = pairs.where((F.col("rels").bitwiseAND(mask(f"EQ {r}")) != 0) & (F.col("lt") != F.col("rt"))).select("loc", F.lit(r).alias("k"), "lt", "rt")
@@ -105,10 +154,56 @@ def classes(vr: DataFrame) -> DataFrame:
     return values.join(least, ["loc", "val"], "left").select("loc", "val", F.least("val", F.coalesce("m", "val")).alias("cls"))
 
 
-def closed(vr: DataFrame) -> DataFrame:
+def chain_rules() -> list[tuple[str, str, str]]:
+    """(rel, rel2, out): what a chain of two relations gives, EQ before and after the others among them."""
+    return [*CHAINS, *[(n, "EQ", n) for n in NAMES if n not in ("NE", "PT", "PF")], *[("EQ", n, n) for n in NAMES[2:10]]]
+
+
+CHAINED = [n for n in NAMES[:10] if n != "NE"]
+
+
+def solve_location(rows: list[tuple]) -> Iterator[tuple]:
+    """(lt, rel, rt) of one location, rows (lt, rels, rt) both ways: a search from each value, sets of values as bits."""
+    names = sorted({v for lt, _, rt in rows for v in (lt, rt)})
+    number = {v: i for i, v in enumerate(names)}
+    onto = {r: [0] * len(names) for r in CHAINED}
+    for lt, rels, rt in rows:
+        for r in CHAINED:
+            if rels & BIT[r]:
+                onto[r][number[lt]] |= 1 << number[rt]
+    rules = [(a, b, out) for a, b, out in chain_rules() if a in onto and b in onto and out in onto and any(onto[b])]
+    for i in range(len(names)):
+        known = {r: onto[r][i] for r in CHAINED}
+        new = dict(known)
+        while any(new.values()):
+            found = dict.fromkeys(CHAINED, 0)
+            for a, b, out in rules:
+                left = new[a]
+                while left:
+                    low = left & -left
+                    found[out] |= onto[b][low.bit_length() - 1]
+                    left ^= low
+            new = {r: found[r] & ~known[r] for r in CHAINED}
+            for r in CHAINED:
+                known[r] |= new[r]
+        for r in CHAINED:
+            yield from ((names[i], r, names[j]) for j in range(len(names)) if known[r] >> j & 1)
+
+
+def closed(vr: DataFrame, large: int = LARGE) -> DataFrame:
     """(loc, lt, rel, rt): everything that follows by chaining one kind of relation: EQ with itself, and <= and < of one
-    signedness with EQ; strict if a step is. rel is a relation's name."""
-    pairs = both_ways(vr)
+    signedness with EQ; strict if a step is. rel is a relation's name. Locations of up to large pairs are solved one by one
+    where their rows meet, larger ones by rounds."""
+    pairs = materialize(both_ways(vr), "pairs")
+    few, many = split_by_size(pairs, ["loc"], large)
+    if many is None:
+        return per_group(pairs, ["loc"], lambda _, rows: solve_location(rows), "loc long, lt long, rel string, rt long")
+    out = closed_large(pairs.join(many, "loc", "left_semi"))
+    return out if few is None else out.unionByName(per_group(pairs.join(few, "loc", "left_semi"), ["loc"], lambda _, rows: solve_location(rows), "loc long, lt long, rel string, rt long"))
+
+
+def closed_large(pairs: DataFrame) -> DataFrame:
+    """closed() of pairs, both ways, by rounds over all locations at once."""
     kinds = []
     for i, n in enumerate(NAMES[:10]):
         if n != "NE":
@@ -117,7 +212,7 @@ def closed(vr: DataFrame) -> DataFrame:
     for k in kinds[1:]:
         base = base.unionByName(k)
     base = base.distinct()
-    rules = base.sparkSession.createDataFrame([*CHAINS, *[(n, "EQ", n) for n in NAMES if n not in ("NE", "PT", "PF")], *[("EQ", n, n) for n in NAMES[2:10]]], "rel string, rel2 string, out string")
+    rules = base.sparkSession.createDataFrame(chain_rules(), "rel string, rel2 string, out string")
     edge = base.select("loc", F.col("lt").alias("mid"), F.col("rel").alias("rel2"), "rt")
 
     def step(front: DataFrame) -> DataFrame:

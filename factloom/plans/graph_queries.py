@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixpoint import closure, reach
+from ..functions.fixpoint import reach
 from ..operators import control as C
+from ..operators import flow as W
 from ..operators import graph as G
 from ..sources.facts import fact, kept
 
@@ -26,16 +27,27 @@ class Inputs:
     edges = property(lambda s: fact(s.spark, s.sf, "cfg_edge"))
     calls = property(lambda s: fact(s.spark, s.sf, "call_edge"))
     roots = property(lambda s: s.nodes.where("node = 1").select("fn", "node"))
-    paths = property(lambda s: s.keep("paths", lambda: closure(s.edges, FN, "paths")))
-    av = property(lambda s: s.keep("av", lambda: C.av(s.nodes, s.edges)))
-    avoid = property(lambda s: s.keep("avoid", lambda: C.avoid(s.nodes, s.edges, s.av)))
+    def flow_fact(self, kind: str) -> DataFrame:
+        made: dict = {}
+
+        def one(k: str) -> DataFrame:
+            if not made:
+                made.update(W.facts(self.nodes, self.edges))
+            return made[k]
+
+        return {k: self.keep(f"flow-{k}", lambda k=k: one(k)) for k in W.KINDS}[kind]
+
+    paths = property(lambda s: s.flow_fact("path"))
+    avoid = property(lambda s: s.flow_fact("avoid"))
+    pdom = property(lambda s: s.flow_fact("pdom"))
+    dod = property(lambda s: s.flow_fact("dod"))
     scc = property(lambda s: s.keep("scc", lambda: G.scc(s.nodes, s.paths)))
     blocks = property(lambda s: s.keep("blocks", lambda: G.blocks(s.nodes, s.edges)))
     reached = property(lambda s: s.keep("reached", lambda: reach(s.edges, s.roots, FN)))
-    scd = property(lambda s: s.keep("scd", lambda: C.scd(s.nodes, s.edges, s.av)))
+    scd = property(lambda s: s.keep("scd", lambda: C.scd(s.nodes, s.edges, pdom=s.pdom)))
     ntscd = property(lambda s: s.keep("ntscd", lambda: C.ntscd(s.nodes, s.edges, s.avoid)))
     sinks = property(lambda s: C.sinks(s.nodes, s.edges))
-    dom = property(lambda s: s.keep("dom", lambda: C.dominators(s.nodes, s.edges, s.av)))
+    dom = property(lambda s: s.flow_fact("dom"))
 
     @property
     def typed(self) -> DataFrame:
@@ -83,14 +95,14 @@ QUERIES = {
     "c03_ntscd2": q(lambda i: C.ntscd(i.nodes, i.edges, i.avoid, reflexive=True)),
     "c04_ntscd_fixpoint": q(lambda i: C.ntscd(i.nodes, i.edges, i.avoid, reflexive=True)),
     "c06_all_max_paths": q(lambda i: C.all_max_paths(i.nodes, i.avoid)),
-    "c07_dod": q(lambda i: C.dod(i.nodes, i.edges, i.av, i.avoid)),
-    "c09_dod_ntscd": q(lambda i: C.dod_ntscd(i.nodes, i.edges, i.av, i.avoid)),
-    "c10_strong_closure": q(lambda i: C.strong_closure(i.nodes, i.edges, i.nodes.where("ok % 4 = 0"))),
+    "c07_dod": q(lambda i: i.dod),
+    "c09_dod_ntscd": q(lambda i: C.dod_ntscd(i.nodes, i.edges, i.dod, i.avoid)),
+    "c10_strong_closure": q(lambda i: W.strong_closure(i.nodes, i.edges, i.nodes.where("ok % 4 = 0"))),
     "c11_no_return": q(lambda i: C.no_return(i.nodes, i.edges, i.calls, i.returns)),
     "c11_interprocedural": q(lambda i: C.interprocedural(i.edges, C.no_return(i.nodes, i.edges, i.calls, i.returns))),
     "c14_dependent": q(lambda i: i.ntscd.select("fn", F.col("depends_on").alias("node"), F.col("node").alias("dependent"))),
     "c16_difference": q(lambda i: C.difference(i.scd, i.ntscd)),
-    "g12_post_dominators": q(lambda i: C.post_dominators(i.nodes, i.edges, i.av)),
+    "g12_post_dominators": q(lambda i: i.pdom),
 }
 
 #: Relations that the SQL below shares, by name, in order.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SMALL = "/root/testdata/sf0.001"
+SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -19,11 +19,20 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def views(folder):
     import duckdb
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return views(SMALL)
+
+
+@pytest.fixture(scope="session")
+def duck_mid():
+    return views(MID)
