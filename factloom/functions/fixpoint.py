@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import drop_table, materialize
 
 
 class NotConverged(RuntimeError):
@@ -22,6 +22,7 @@ def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], name: st
     """
     cols = anchor.columns
     known = delta = materialize(anchor.distinct(), name)
+    tables = [delta]
     for round_ in range(1, max_rounds + 1):
         front, found = delta, None
         for _ in range(hops):
@@ -33,8 +34,12 @@ def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], name: st
         if delta.isEmpty():
             return known
         known = known.unionByName(delta)
+        tables.append(delta)
         if round_ % 8 == 0:
             known = materialize(known, name)
+            for table in tables[:-1]:  # the last one is still joined
+                drop_table(table)
+            tables = [delta, known]
     raise NotConverged(f"{name}: {max_rounds} rounds")
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the session names in spark.checkpoint.dir, or a folder of our own where it names none."""
+    """What the session names in spark.checkpoint.dir. Where it names none, a local session gets a folder of our own; on a
+    cluster no folder of one machine will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "/tmp/factloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

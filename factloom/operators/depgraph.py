@@ -160,3 +160,80 @@ def dot(dep: DataFrame) -> DataFrame:
     body = dep.select("fn", F.format_string('  "%s" -> "%s" [color=%s];', "src", "dst", style).alias("line"), F.lit(1).alias("o"))
     ends = dep.select("fn").distinct().select("fn", F.explode(F.array(F.struct(F.format_string('digraph "%s" {', "fn").alias("line"), F.lit(0).alias("o")), F.struct(F.lit("}").alias("line"), F.lit(2).alias("o")))).alias("e")).select("fn", "e.line", "e.o")
     return body.unionByName(ends).select("fn", "o", "line")
+
+
+#: Kinds of edges of a system dependence graph that go into a called function, and out of one.
+INTO, OUT_OF = ("call", "param_in"), ("param_out",)
+GLOBAL = ["src_fn", "src", "dst_fn", "dst", "etype"]
+
+
+def system_graph(dep: DataFrame, calls: DataFrame, params: DataFrame, stops: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+    """(src_fn, src, dst_fn, dst, etype): the functions' dependence graphs dep(fn, src, dst, etype) and what joins them.
+
+    A called function's entry depends on the call: calls(caller, call, callee, entry). params(caller, call, callee, formal,
+    actual, dir): a formal in depends on the actual in, an actual out on the formal out. stops(fn, node, depends_on): what
+    runs only if a call returns. summary(caller, actual_in, actual_out): a call's outs by its ins. dst depends on src.
+    """
+    lit = lambda name: F.lit(name).alias("etype")
+    out = dep.select(F.col("fn").alias("src_fn"), "src", F.col("fn").alias("dst_fn"), "dst", "etype")
+    out = out.unionByName(calls.select(F.col("caller").alias("src_fn"), F.col("call").alias("src"), F.col("callee").alias("dst_fn"), F.col("entry").alias("dst"), lit("call")))
+    out = out.unionByName(params.where("dir = 'in'").select(F.col("caller").alias("src_fn"), F.col("actual").alias("src"), F.col("callee").alias("dst_fn"), F.col("formal").alias("dst"), lit("param_in")))
+    out = out.unionByName(params.where("dir = 'out'").select(F.col("callee").alias("src_fn"), F.col("formal").alias("src"), F.col("caller").alias("dst_fn"), F.col("actual").alias("dst"), lit("param_out")))
+    if stops is not None:
+        out = out.unionByName(stops.select(F.col("fn").alias("src_fn"), F.col("depends_on").alias("src"), F.col("fn").alias("dst_fn"), F.col("node").alias("dst"), lit("noret")))
+    if summary is not None:
+        out = out.unionByName(summary.select(F.col("caller").alias("src_fn"), F.col("actual_in").alias("src"), F.col("caller").alias("dst_fn"), F.col("actual_out").alias("dst"), lit("summary")))
+    return out.distinct()
+
+
+def reach_over_calls(graph: DataFrame, seeds: DataFrame, backward: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
+    """(fn, node) that seeds(fn, node) depend on, or with backward false what depends on them, without some kinds of edges."""
+    near, far = ("dst", "src") if backward else ("src", "dst")
+    e = graph.where(~F.col("etype").isin(*without)) if without else graph
+    e = e.select(F.col(f"{near}_fn").alias("fn"), F.col(near).alias("node"), F.col(f"{far}_fn").alias("to_fn"), F.col(far).alias("to")).distinct()
+
+    def step(front: DataFrame) -> DataFrame:
+        return front.join(e, ["fn", "node"]).select(F.col("to_fn").alias("fn"), F.col("to").alias("node"))
+
+    return fixpoint(seeds.select("fn", "node"), step, "slice", hops=3)
+
+
+def backward_slice_over_calls(graph: DataFrame, criteria: DataFrame, by_context: bool = False) -> DataFrame:
+    """(fn, node) that criteria(fn, node) depend on, over calls in both directions.
+
+    by_context: in two phases, so that a call is left by the same call that it was entered by; needs summary edges in
+    graph. First up to callers, not into called functions; then from all that, into called functions, not up again.
+    """
+    if not by_context:
+        return reach_over_calls(graph, criteria)
+    up = reach_over_calls(graph, criteria, without=OUT_OF)
+    return reach_over_calls(graph, up, without=INTO)
+
+
+def forward_slice_over_calls(graph: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(fn, node): what depends on criteria, over calls, and what all of that needs to run."""
+    return reach_over_calls(graph, reach_over_calls(graph, criteria, backward=False))
+
+
+def invalid_dependences(nodes: DataFrame, dep: DataFrame, control: DataFrame) -> DataFrame:
+    """(fn, node, error): edges with an end that isn't a node, control edges that the control dependences control(fn, node,
+    depends_on) lack, control dependences without an edge, nodes on no edge."""
+    ids = nodes.select("fn", "node")
+    ends = dep.select("fn", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    is_ = dep.where("etype = 'control'").select("fn", F.col("dst").alias("node"), F.col("src").alias("depends_on"))
+    told = control.select("fn", "node", "depends_on")
+    error = lambda df, name: df.select("fn", "node").distinct().withColumn("error", F.lit(name))
+    return error(ends.join(ids, ["fn", "node"], "left_anti"), "no node").unionByName(error(is_.join(told, ["fn", "node", "depends_on"], "left_anti"), "unknown control")).unionByName(
+        error(told.join(is_, ["fn", "node", "depends_on"], "left_anti"), "missing control")).unionByName(error(ids.join(ends, ["fn", "node"], "left_anti"), "isolated"))
+
+
+def module_statistics(nodes: DataFrame, edges: DataFrame, calls: DataFrame, entry: int) -> DataFrame:
+    """(functions, called, nodes, edges, calls, reachable): sizes of a program; reachable: functions that entry calls, directly
+    or over others."""
+    near = calls.select(F.col("caller").alias("fn"), F.col("callee").alias("to")).distinct()
+    start = nodes.where(F.col("fn") == entry).select("fn").distinct()
+    met = fixpoint(start, lambda front: front.join(near, "fn").select(F.col("to").alias("fn")), "reachable", hops=2)
+    n = nodes.agg(F.countDistinct("fn").alias("functions"), F.count("*").alias("nodes"))
+    c = calls.agg(F.countDistinct("callee").alias("called"), F.count("*").alias("calls"))
+    rows = n.join(c, F.lit(True)).join(edges.agg(F.count("*").alias("edges")), F.lit(True)).join(met.agg(F.count("*").alias("reachable")), F.lit(True))  # one row each
+    return rows.select("functions", "called", "nodes", "edges", "calls", "reachable")

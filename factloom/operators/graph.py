@@ -188,6 +188,7 @@ def edge_kinds(edges: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def random_graph(spark, n_fn: int, n_nodes: int, n_edges: int, seed: int = 1) -> DataFrame:
     """(fn, src, dst): n_edges draws a function of edges with at most two successors a node, by hashes of the draw's number."""
-    draws = spark.range(n_fn * n_edges).select((F.col("id") / n_edges).cast("long").alias("fn"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_nodes)) + 1).alias("src"), (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n_nodes)) + 1).alias("dst"))
+    draw = lambda n: F.pmod(F.conv(F.left(F.md5(F.concat_ws(":", "id", F.lit(seed + n))), F.lit(12)), 16, 10).cast("long"), F.lit(n_nodes)) + 1
+    draws = spark.range(n_fn * n_edges).select(F.expr(f"id div {n_edges}").alias("fn"), draw(0).alias("src"), draw(1).alias("dst"))
     w = Window.partitionBy("fn", "src").orderBy("dst")
     return draws.distinct().withColumn("i", F.row_number().over(w)).where("i <= 2").drop("i")

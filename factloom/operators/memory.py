@@ -127,3 +127,43 @@ def modref(sites: DataFrame, calls: DataFrame, escaping: DataFrame) -> DataFrame
         return front.join(edge, "fn").select(F.col("caller").alias("fn"), "role", "obj", "lo", "hi")
 
     return fixpoint(own, step, "modref", hops=1)
+
+
+def call_effects(effects: DataFrame, calls: DataFrame, after: int) -> DataFrame:
+    """(fn, node, pos, role, obj, lo, hi): what calls(caller, call, callee) may do where they stand, from modref()'s rows: one
+    may-write and one use an object, over all its bytes that the called function touches. pos is after plus the node, so
+    a call comes behind the statements of its block."""
+    hull = effects.groupBy("fn", "role", "obj").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    at = hull.withColumnRenamed("fn", "callee").join(calls.select("caller", "call", "callee").distinct(), "callee")
+    role = F.when(F.col("role") == "mod", "def").otherwise("use")
+    merged = at.groupBy(F.col("caller").alias("fn"), F.col("call").alias("node"), role.alias("role"), "obj").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.select("fn", "node", (F.col("node") + after).alias("pos"), "role", "obj", "lo", "hi")
+
+
+def reaching_over_calls(sites: DataFrame, edges: DataFrame, calls: DataFrame, escaping: DataFrame, after: int) -> DataFrame:
+    """reaching() of a program whose calls write and read what the functions they call do: (fn, use, def), positions of at
+    least after being calls."""
+    done = call_effects(modref(sites, calls, escaping), calls, after)
+    return reaching(sites.select(done.columns).unionByName(done), edges)
+
+
+def unknown_writes(sites: DataFrame, edges: DataFrame, writes: DataFrame) -> DataFrame:
+    """(fn, use, def): writes(fn, node, pos) of unknown memory may define every use that comes after them."""
+    e = edges.select("fn", F.col("src").alias("node"), "dst")
+    after = fixpoint(writes.join(e, ["fn", "node"]).select("fn", F.col("dst").alias("node"), F.col("pos").alias("def")), lambda front: front.join(e, ["fn", "node"]).select("fn", F.col("dst").alias("node"), "def"), "unknown-writes")
+    uses = sites.where("role = 'use'").select("fn", "node", F.col("pos").alias("use")).distinct()
+    far = uses.join(after, ["fn", "node"]).select("fn", "use", "def")
+    near = uses.join(writes.select("fn", "node", F.col("pos").alias("def")), ["fn", "node"]).where("def < use").select("fn", "use", "def")
+    return far.unionByName(near).distinct()
+
+
+def escaping_objects(cells: DataFrame, visible: DataFrame) -> DataFrame:
+    """(module, obj) that code outside may reach: visible(module, obj), and what their cells(module, obj, off, tgt, toff) and
+    those of objects found so point to."""
+    near = cells.where("tgt >= 0").select("module", "obj", "tgt").distinct()
+    return fixpoint(visible.select("module", "obj"), lambda front: front.join(near, ["module", "obj"]).select("module", F.col("tgt").alias("obj")), "escaping")
+
+
+def summary(sites: DataFrame) -> DataFrame:
+    """(fn, node, is_use, is_def): whether a node reads memory, and whether it writes any."""
+    return sites.groupBy("fn", "node").agg(F.bool_or(F.col("role") == "use").alias("is_use"), F.bool_or(F.col("role") != "use").alias("is_def"))

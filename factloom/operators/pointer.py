@@ -41,14 +41,17 @@ def moved_offset(at: int | None, by: int | None, size: int, limit: int) -> int:
 
 
 def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
-    """(pt, mem) of one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null):
-    pt[n] and mem[obj][off] are sets of (target, offset). Every rule is applied until none adds anything."""
-    size, zero, rules, pt, mem = {}, [], [], {}, {}
+    """(pt, mem) of one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null) and
+    functions as (function, obj, parameter, result, null): pt[n] and mem[obj][off] are sets of (target, offset). Every rule is
+    applied until none adds anything."""
+    size, rules, pt, mem, functions = {}, [], {}, {}, {}
     for kind, dst, src, off, length in rows:
         if kind == "object":
             size[dst] = off or 0
             if src:
                 mem[dst] = {UNKNOWN: {(NULL_, 0)}}
+        elif kind == "function":
+            functions[dst] = (src, off)
         elif kind == "alloc":
             pt.setdefault(dst, set()).add((src, 0))
         elif kind == "null":
@@ -80,6 +83,12 @@ def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
             elif kind == "load":
                 got = {x for t, o in from_ if t >= 0 for _, held in cells(t, o) for x in held}
                 going |= bool(got) and put(pt, dst, got)
+            elif kind in CALLS:
+                for param, result in [functions[t] for t, _ in from_ if t in functions]:
+                    if kind != "join" and pt.get(off):
+                        going |= put(pt, param, pt[off])
+                    if kind != "fork" and pt.get(result):
+                        going |= put(pt, dst, pt[result])
             elif kind == "store":
                 for t, o in list(pt.get(dst, nothing)):
                     if t >= 0 and from_:
@@ -94,8 +103,13 @@ def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
     return pt, mem
 
 
-def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(pt, mem), flow-insensitive, before absorption.
+#: A call by pointer passes node off to the parameter and takes the result; a fork does the first, a join the second.
+CALLS = ("call", "fork", "join")
+
+
+def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, large: int = LARGE, functions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pt, mem), flow-insensitive, before absorption. functions(module, obj, param, result): what calls, forks and joins by
+    a pointer to obj are wired to, as soon as it is found to point there.
 
     Modules are independent: each of up to large constraints is solved in one pass where its rows meet; larger ones are
     solved together by rounds over relations, analyse_large(). A load of an object that is zero-initialised always may give
@@ -105,6 +119,8 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, lar
     parts = []
     if few is not None:
         rows = cons.select("module", "kind", "dst", "src", "off", "len").unionByName(objects.select("module", F.lit("object").alias("kind"), F.col("obj").alias("dst"), F.col("zero").cast("long").alias("src"), F.col("size").alias("off"), F.lit(None).cast("long").alias("len")))
+        if functions is not None:
+            rows = rows.unionByName(functions.select("module", F.lit("function").alias("kind"), F.col("obj").alias("dst"), F.col("param").alias("src"), F.col("result").alias("off"), F.lit(None).cast("long").alias("len")))
         rows = rows if many is None else rows.join(few, "module", "left_semi")
 
         def solve(_, group):
@@ -116,12 +132,12 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, lar
         parts.append((told.where("r = 0").select("module", F.col("a").alias("n"), "tgt", "off"), told.where("r = 1").select("module", F.col("a").alias("obj"), F.col("b").alias("off"), "tgt", F.col("off").alias("toff"))))
     if many is not None or not parts:
         mine = (lambda df: df.join(many, "module", "left_semi")) if many is not None else (lambda df: df)
-        parts.append(analyse_large(mine(cons), mine(objects), field_limit))
+        parts.append(analyse_large(mine(cons), mine(objects), field_limit, None if functions is None else mine(functions)))
     pt, mem = parts[0]
     return (pt.unionByName(parts[1][0]), mem.unionByName(parts[1][1])) if parts[1:] else (pt, mem)
 
 
-def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, functions: DataFrame | None = None, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """analyse() for modules of any size, all at once. Semi-naive: a rule joins what a round has added with everything known."""
     c = lambda *kinds: cons.where(F.col("kind").isin(*kinds))
     size = objects.select("module", F.col("obj").alias("tgt"), "size")
@@ -158,11 +174,20 @@ def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 6
         return s.select("module", F.col("dst_tgt").alias("obj"), F.expr(off).alias("off"), "tgt", "toff")
 
     has_moves = not move.isEmpty()
+    called = c(*CALLS).select("module", "kind", "dst", "src", F.col("off").alias("arg"))
+    wired = None if functions is None else materialize(copy.select("module", "dst", "src").limit(0), "wired")
     for round_ in range(max_rounds):
         copied = copy.join(of(dpt, "src"), ["module", "src"]).select("module", F.col("dst").alias("n"), F.col("src_tgt").alias("tgt"), F.col("src_off").alias("off"))
         moved = gep.join(of(dpt, "src"), ["module", "src"]).join(size.withColumnRenamed("tgt", "src_tgt"), ["module", "src_tgt"], "left")
         moved = moved.select("module", F.col("dst").alias("n"), F.col("src_tgt").alias("tgt"), F.expr(f"CASE WHEN src_tgt < 0 THEN src_off ELSE {shifted('src_off', 'off', 'size', field_limit)} END").alias("off"))
         found = copied.unionByName(moved).unionByName(loads(dpt, mem)).unionByName(loads(pt, dmem))
+        if wired is not None:  # what points to a function now copies arguments and results, old ones too
+            hit = called.join(of(dpt, "src"), ["module", "src"]).join(functions.select("module", F.col("obj").alias("src_tgt"), "param", "result"), ["module", "src_tgt"])
+            one = hit.where("kind <> 'join'").select("module", F.col("param").alias("dst"), F.col("arg").alias("src")).unionByName(hit.where("kind <> 'fork'").select("module", "dst", F.col("result").alias("src")))
+            fresh = materialize(one.distinct(), "wired")
+            copies = lambda by, points: by.join(of(points, "src"), ["module", "src"]).select("module", F.col("dst").alias("n"), F.col("src_tgt").alias("tgt"), F.col("src_off").alias("off"))
+            found = found.unionByName(copies(fresh, pt)).unionByName(copies(wired, dpt))
+            wired = wired.unionByName(fresh)
         cells = stores(dpt, pt).unionByName(stores(pt, dpt))
         if has_moves:
             cells = cells.unionByName(moves(pt, mem))
@@ -176,6 +201,128 @@ def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 6
     raise NotConverged(f"pointer analysis: {max_rounds} rounds")
 
 
+def solve_flow(rows: list[tuple], field_limit: int, invalidate: bool) -> dict:
+    """pt of one module, flow-sensitive: rows (kind, dst, src, off, len, pos) in program order by pos, edges between positions
+    as (edge, from, to, null, null, null) and objects as in solve_module().
+
+    Memory is told apart by position: a store through a pointer with one known place in an object that is allocated once
+    replaces what the place held, any other store adds; where paths join, sets join. free drops an object; with invalidate
+    what pointed to it is INVALIDATED, and so is, at a join, a place that only some paths have written.
+    """
+    size, zero, pt = {}, set(), {}
+    steps: dict[int, tuple] = {}
+    before: dict[int, list[int]] = {}
+    after: dict[int, list[int]] = {}
+    made: dict[int, int] = {}
+    for kind, dst, src, off, length, pos in rows:
+        if kind == "object":
+            size[dst] = off or 0
+            if src:
+                zero.add(dst)
+        elif kind == "edge":
+            before.setdefault(src, []).append(dst)
+            after.setdefault(dst, []).append(src)
+        else:
+            steps[pos] = (kind, dst, src, off, length)
+            if kind == "alloc":
+                made[src] = made.get(src, 0) + 1
+    out: dict[int, dict] = {pos: {} for pos in steps}
+
+    def cells(mem: dict, t: int, o: int):
+        return [(at, held) for (obj, at), held in mem.items() if obj == t and (o < 0 or at in (o, UNKNOWN))]
+
+    waiting = sorted(steps)
+    while waiting:
+        again: set[int] = set()
+        for pos in waiting:
+            kind, dst, src, off, length = steps[pos]
+            joined = [out[p] for p in before.get(pos, ()) if p in out]
+            mem: dict = {}
+            for m in joined:
+                for at, held in m.items():
+                    mem[at] = mem.get(at, frozenset()) | held
+            if invalidate and len(joined) > 1:
+                for at in mem:
+                    if any(at not in m for m in joined):
+                        mem[at] |= {(INVALIDATED, 0)}
+            from_, got = pt.get(src, frozenset()), frozenset()
+            if kind == "alloc":
+                got = frozenset({(src, 0)})
+                if src in zero:
+                    mem[src, UNKNOWN] = mem.get((src, UNKNOWN), frozenset()) | {(NULL_, 0)}
+            elif kind == "null":
+                got = frozenset({(NULL_, 0)})
+            elif kind == "copy":
+                got = from_
+            elif kind == "gep":
+                got = frozenset((t, o) if t < 0 else (t, moved_offset(o, off, size.get(t, 0), field_limit)) for t, o in from_)
+            elif kind == "load":
+                got = frozenset(x for t, o in from_ if t >= 0 for _, held in cells(mem, t, o) for x in held)
+            elif kind == "store":
+                to = pt.get(dst, frozenset())
+                only = next(iter(to)) if len(to) == 1 else None
+                if only and only[0] >= 0 and only[1] >= 0 and made.get(only[0], 0) <= 1:
+                    mem[only] = from_
+                else:
+                    for t, o in to:
+                        if t >= 0:
+                            mem[t, o] = mem.get((t, o), frozenset()) | from_
+            elif kind == "memcpy":
+                for t, o in pt.get(dst, frozenset()):
+                    for st, so in from_ if t >= 0 else ():
+                        for at, held in cells(mem, st, UNKNOWN) if st >= 0 else ():
+                            if so < 0 or at < 0 or length is None or so <= at < so + length:
+                                where = (t, UNKNOWN if so < 0 or at < 0 or o < 0 else moved_offset(o + at - so, 0, size.get(t, 0), field_limit))
+                                mem[where] = mem.get(where, frozenset()) | held
+            elif kind == "free":
+                dead = {t for t, _ in from_ if t >= 0}
+                for at, held in list(mem.items()):
+                    if invalidate and any(t in dead for t, _ in held):
+                        mem[at] = frozenset(x for x in held if len(dead) > 1 or x[0] not in dead) | {(INVALIDATED, 0)}
+            have = pt.get(dst, frozenset())
+            if got - have:
+                pt[dst] = have | got
+                again.update(steps)
+            grown = {at: out[pos].get(at, frozenset()) | held for at, held in mem.items()}
+            if any(grown[at] != out[pos].get(at) for at in grown):
+                out[pos].update(grown)
+                again.update(after.get(pos, ()))
+        waiting = sorted(again & set(steps))
+    return pt
+
+
+def analyse_flow(cons: DataFrame, edges: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, invalidate: bool = False) -> DataFrame:
+    """pt, flow-sensitive, of cons(module, pos, kind, dst, src, off, len) along edges(module, src, dst) of positions; each
+    module is solved where its rows meet, as solve_flow() says. Only the least pos is entered from outside."""
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    cols = ["module", "kind", "dst", "src", "off", "len", "pos"]
+    rows = cons.select(cols).unionByName(edges.select("module", F.lit("edge").alias("kind"), F.col("src").alias("dst"), F.col("dst").alias("src"), none("off"), none("len"), none("pos")))
+    rows = rows.unionByName(objects.select("module", F.lit("object").alias("kind"), F.col("obj").alias("dst"), F.col("zero").cast("long").alias("src"), F.col("size").alias("off"), none("len"), none("pos")))
+
+    def solve(_, group):
+        yield from ((n, t, o) for n, held in solve_flow(group, field_limit, invalidate).items() for t, o in held)
+
+    return per_group(rows, ["module"], solve, "module long, n long, tgt long, off long")
+
+
+def covers(pt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(module, n, obj, lo, hi): regions of nodes(module, n, len) with those inside others of the node left out; an unknown
+    offset is the whole object, lo 0 and hi null."""
+    all_ = accessed(pt, nodes).where("obj IS NOT NULL").select("module", "n", "obj", F.coalesce("off", F.lit(0)).alias("lo"), (F.col("off") + F.col("len") - 1).alias("hi")).distinct()
+    end = F.coalesce("hi", F.lit((1 << 62) - 1))
+    w = Window.partitionBy("module", "n", "obj").orderBy("lo", end.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    top = all_.withColumn("top", F.max(end).over(w))
+    return top.where(F.col("top").isNull() | (end > F.col("top"))).select("module", "n", "obj", "lo", "hi")
+
+
+def without_unknown(cons: DataFrame, pt: DataFrame) -> DataFrame:
+    """cons without loads and stores whose pointer points to nothing known in pt: they can't add anything."""
+    known = pt.where("tgt >= 0").select("module", F.col("n").alias("through")).distinct()
+    through = F.when(F.col("kind") == "load", F.col("src")).when(F.col("kind") == "store", F.col("dst"))
+    marked = cons.withColumn("through", through)
+    return marked.where("through IS NULL").unionByName(marked.where("through IS NOT NULL").join(known, ["module", "through"], "left_semi").select(marked.columns)).select(cons.columns)
+
+
 def absorbed(pt: DataFrame) -> DataFrame:
     """Concrete offsets go where a set has the same target with an unknown one."""
     known = pt.where("off < 0").select("module", "n", "tgt").distinct()

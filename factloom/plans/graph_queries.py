@@ -179,6 +179,8 @@ ORACLE = {
         FROM (SELECT fn, count(*) AS n_nodes FROM node GROUP BY fn) n
         LEFT JOIN (SELECT fn, CAST(sum(c) AS BIGINT) AS n_edges, count(*) AS n_flow, count(*) FILTER (c > 1) AS n_branches FROM (SELECT fn, src, count(*) AS c FROM cfg_edge GROUP BY fn, src) GROUP BY fn) e ON e.fn = n.fn
         JOIN (SELECT fn, count(DISTINCT bb) AS n_blocks FROM bbs GROUP BY fn) b ON b.fn = n.fn""",
+    "g18_random_graph": """SELECT fn, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY fn, src ORDER BY dst) AS i FROM (
+        SELECT DISTINCT id // 30 AS fn, ('0x' || left(md5(id || ':1'), 12))::BIGINT % 20 + 1 AS src, ('0x' || left(md5(id || ':2'), 12))::BIGINT % 20 + 1 AS dst FROM range(1500) t(id))) WHERE i <= 2""",
     "c00_avoid": "SELECT fn, n, t FROM avoid",
     "c01_standard_cd": "SELECT fn, node, depends_on FROM scd",
     "c02_ntscd": "SELECT fn, node, depends_on FROM ntscd",

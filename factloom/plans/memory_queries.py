@@ -106,6 +106,12 @@ QUERIES = {
     "p28_accessed": q(lambda i: P.accessed(i.pt, i.cons.where("kind = 'load'").select("module", F.col("src").alias("n"), F.lit(4).cast("long").alias("len")).distinct())),
     "p30_alias": q(lambda i: P.alias(i.pt, i.pairs)),
     "p31_difference": q(lambda i: P.difference(i.pt, no_copies(i))),
+    "p10_calls_by_pointer": q(lambda i: P.analyse(i.call_cons, i.object, FIELD_LIMIT, functions=i.function)[0]),
+    "p15_flow_sensitive": q(lambda i: P.absorbed(P.analyse_flow(i.flow_cons, i.flow_edge, i.object, FIELD_LIMIT))),
+    "p19_invalidated": q(lambda i: P.absorbed(P.analyse_flow(i.flow_cons, i.flow_edge, i.object, FIELD_LIMIT, invalidate=True))),
+    "p25_without_unknown": q(lambda i: P.without_unknown(i.cons, i.pt)),
+    "p29_covers": q(lambda i: P.covers(i.pt, i.cons.where("kind = 'load'").select("module", F.col("src").alias("n"), F.lit(4).cast("long").alias("len")).distinct())),
+    "m08_escaping": q(lambda i: M.escaping_objects(i.points()[1], i.object.where("zero").select("module", "obj"))),
     "x07_statistics": q(lambda i: P.statistics(i.pt)),
 }
 
@@ -129,12 +135,17 @@ def pointer_round(at: str) -> str:
         JOIN {mem} m ON m.module = s.module AND m.a = s.tgt AND (s.off < 0 OR m.b < 0 OR (m.b >= s.off AND m.b < s.off + c.len)) LEFT JOIN object o ON o.module = d.module AND o.obj = d.tgt WHERE c.kind = 'memcpy' AND d.tgt >= 0 AND s.tgt >= 0"""
 
 
-def pointer_parts(name: str, cons: str) -> dict[str, str]:
+def pointer_parts(name: str, cons: str, calls: bool = False) -> dict[str, str]:
     start = f"""SELECT module, 0 AS r, dst AS a, CAST(0 AS BIGINT) AS b, src AS tgt, CAST(0 AS BIGINT) AS off FROM {cons} WHERE kind = 'alloc'
       UNION SELECT module, 1, obj, -1, -2, 0 FROM object WHERE zero"""
     out = {f"{name}0": start}
     for n in range(ROUNDS):
         out[f"{name}{n + 1}"] = pointer_round(f"{name}{n}").replace("FROM cons ", f"FROM {cons} ")
+        if calls:
+            pt = f"(SELECT * FROM {name}{n} WHERE r = 0)"
+            out[f"{name}{n + 1}"] += f"""
+              UNION SELECT c.module, 0, f.param, 0, v.tgt, v.off FROM {cons} c JOIN {pt} p ON p.module = c.module AND p.a = c.src JOIN function f ON f.module = c.module AND f.obj = p.tgt JOIN {pt} v ON v.module = c.module AND v.a = c.off WHERE c.kind = 'call'
+              UNION SELECT c.module, 0, c.dst, 0, v.tgt, v.off FROM {cons} c JOIN {pt} p ON p.module = c.module AND p.a = c.src JOIN function f ON f.module = c.module AND f.obj = p.tgt JOIN {pt} v ON v.module = c.module AND v.a = f.result WHERE c.kind = 'call'"""
     last = f"{name}{ROUNDS}"
     out[f"{name}_raw"] = f"SELECT module, a AS n, tgt, off FROM {last} WHERE r = 0"
     out[f"{name}_mem"] = f"SELECT module, a AS obj, b AS off, tgt, off AS toff FROM {last} WHERE r = 1"
@@ -165,9 +176,11 @@ PARTS = {
     "mref": """SELECT DISTINCT fn, CASE WHEN role = 'use' THEN 'ref' ELSE 'mod' END AS role, obj, lo, hi FROM mem_site
         UNION SELECT c.caller, m.role, m.obj, m.lo, m.hi FROM mref m JOIN call_edge c ON c.callee = m.fn""",
     "asked": "SELECT fn, node, ok % 6 AS obj FROM node WHERE node % 3 = 0",
+    "esc": "SELECT module, obj FROM object WHERE zero UNION SELECT m.module, m.tgt FROM esc e JOIN (SELECT DISTINCT module, obj, tgt FROM pts_mem WHERE tgt >= 0) m ON m.module = e.module AND m.obj = e.obj",
     "fewer": "SELECT * FROM cons WHERE NOT (kind = 'copy' AND dst % 2 = 1)",
     **pointer_parts("pts", "cons"),
     **pointer_parts("less", "fewer"),
+    **pointer_parts("fp", "call_cons", calls=True),
     "lib": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, '{r}', {o}, {'NULL' if la is None else la})" for n, a, r, o, _, la in M.LIBRARY) + ") t(name, arg, role, off, len_arg)",
 }
 
@@ -217,6 +230,11 @@ ORACLE = {
         WHEN a.c = 1 AND b.c = 1 AND a.t = b.t AND a.o = b.o AND a.o >= 0 AND a.t >= 0 THEN 'MustAlias'
         WHEN EXISTS (SELECT 1 FROM pts_abs x JOIN pts_abs y ON y.module = x.module AND y.tgt = x.tgt AND (x.off = y.off OR x.off < 0 OR y.off < 0) WHERE x.module = a.module AND x.n = a.n AND y.n = b.n AND x.tgt >= 0) THEN 'MayAlias' ELSE 'NoAlias' END AS verdict
         FROM (SELECT module, n, count(*) AS c, max(tgt) AS t, max(off) AS o FROM pts_abs GROUP BY ALL) a JOIN (SELECT module, n, count(*) AS c, max(tgt) AS t, max(off) AS o FROM pts_abs GROUP BY ALL) b ON b.module = a.module AND a.n < b.n""",
+    "m08_escaping": "SELECT module, obj FROM esc",
+    "p10_calls_by_pointer": "SELECT module, n, tgt, off FROM fp_raw",
+    "p25_without_unknown": "SELECT c.* FROM cons c WHERE kind NOT IN ('load', 'store') OR EXISTS (SELECT 1 FROM pts_abs p WHERE p.module = c.module AND p.n = CASE WHEN c.kind = 'load' THEN c.src ELSE c.dst END AND p.tgt >= 0)",
+    "p29_covers": """WITH a AS (SELECT DISTINCT c.module, c.src AS n, p.tgt AS obj, CASE WHEN p.off >= 0 THEN p.off ELSE 0 END AS lo, CASE WHEN p.off >= 0 THEN p.off + 3 END AS hi FROM cons c JOIN pts_abs p ON p.module = c.module AND p.n = c.src WHERE c.kind = 'load' AND p.tgt >= 0)
+        SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.module = a.module AND x.n = a.n AND x.obj = a.obj AND x.lo <= a.lo AND (x.hi IS NULL OR x.hi >= a.hi) AND (x.lo < a.lo OR x.hi IS DISTINCT FROM a.hi))""",
     "p31_difference": "SELECT module, n, tgt, off FROM pts_abs p WHERE NOT EXISTS (SELECT 1 FROM less_abs x WHERE x.module = p.module AND x.n = p.n AND ((x.tgt = p.tgt AND (x.off = p.off OR x.off < 0)) OR x.tgt = -1))",
     "x07_statistics": "SELECT module, count(*) AS n_sets, sum(c)::BIGINT AS n_pointers, max(c) AS max_size, count(*) FILTER (c = 1) AS n_singletons, sum(u)::BIGINT AS n_unknown_offsets, sum(z)::BIGINT AS n_null FROM (SELECT module, n, count(*) AS c, count(*) FILTER (off < 0) AS u, count(*) FILTER (tgt = -2) AS z FROM pts_abs GROUP BY module, n) GROUP BY module",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import closure
+from ..operators import control as C
 from ..operators import depgraph as D
 from ..operators import memory as M
 from ..operators import relations as R
@@ -14,12 +17,16 @@ from ..sources.facts import fact
 from . import graph_queries, memory_queries
 
 CRITERIA = "ok % 10 = 0"
+#: Positions from here on are calls.
+AFTER = 1_000_000
 
 
 class Inputs(graph_queries.Inputs):
     criteria = property(lambda s: s.nodes.where(CRITERIA).select("fn", "node"))
     use = property(lambda s: s.typed.where("etype = 'use'").select("fn", "src", "dst"))
 
+    effects = property(lambda s: s.keep("effects", lambda: M.modref(s.fact("mem_site"), s.calls, s.fact("mem_site").select("obj").distinct())))
+
     def fact(self, name: str) -> DataFrame:
         return fact(self.spark, self.sf, name)
 
@@ -61,10 +68,25 @@ class Inputs(graph_queries.Inputs):
         """Each call passes the node before it in and takes its own node out; a function's first node is its formal in, its last its formal out."""
         c = self.calls
         last = self.nodes.groupBy(F.col("fn").alias("callee")).agg(F.max("node").alias("k"))
-        c = c.join(last, "callee").withColumn("id", F.col("caller") * 1000 + F.col("call"))
-        ins = c.where("call > 1").select("id", (F.col("callee") * 1000 + 1).alias("formal"), (F.col("id") - 1).alias("actual"), F.lit("in").alias("dir"))
-        outs = c.select("id", (F.col("callee") * 1000 + F.col("k")).alias("formal"), F.col("id").alias("actual"), F.lit("out").alias("dir"))
-        return ins.unionByName(outs).withColumnRenamed("id", "call")
+        c = c.join(last, "callee")
+        ins = c.where("call > 1").select("caller", "call", "callee", F.lit(1).cast("long").alias("formal"), (F.col("call") - 1).alias("actual"), F.lit("in").alias("dir"))
+        return ins.unionByName(c.select("caller", "call", "callee", F.col("k").alias("formal"), F.col("call").alias("actual"), F.lit("out").alias("dir")))
+
+    @property
+    def summary(self) -> DataFrame:
+        """(call, actual_in, actual_out), nodes of all functions in one number: the function above 32 bits, the node below."""
+        one = lambda fn, node: F.shiftleft(fn, 32) + F.col(node)
+        p = self.params.select(one("caller", "call").alias("call"), one("callee", "formal").alias("formal"), one("caller", "actual").alias("actual"), "dir")
+        dep = self.use.unionByName(self.edges).select(one("fn", "src").alias("src"), one("fn", "dst").alias("dst")).distinct()
+        return self.keep("summary", lambda: D.summary_edges(dep, p))
+
+    @property
+    def system(self) -> DataFrame:
+        entries = self.calls.withColumn("entry", F.lit(1).cast("long"))
+        stops = C.interprocedural(self.edges, C.no_return(self.nodes, self.edges, self.calls, self.returns))
+        return self.keep("system", lambda: D.system_graph(self.dep, entries, self.params, stops))
+
+    started = property(lambda s: s.nodes.where("ok % 50 = 0").select("fn", "node"))
 
 
 def q(f):
@@ -103,7 +125,17 @@ QUERIES = {
     "s15_cutoff": q(lambda i: D.cutoff(i.nodes, i.edges, i.criteria)),
     "s16_unused_functions": q(lambda i: D.unused_functions(i.nodes, i.calls.select(F.col("caller").alias("user"), F.col("callee").alias("fn")).distinct(), 1)),
     "s18_lines": q(lambda i: D.lines(i.fact("source_stmt"), i.back)),
-    "s19_summary_edges": q(lambda i: D.summary_edges(i.use.unionByName(i.edges).select((F.col("fn") * 1000 + F.col("src")).alias("src"), (F.col("fn") * 1000 + F.col("dst")).alias("dst")).distinct(), i.params)),
+    "s19_summary_edges": q(lambda i: i.summary),
+    "s05_parameters": q(lambda i: i.params),
+    "s08_slice_over_calls": q(lambda i: D.backward_slice_over_calls(i.system, i.started)),
+    "s09_forward_over_calls": q(lambda i: D.forward_slice_over_calls(i.system, i.started)),
+    "s20_system_graph": q(lambda i: i.system),
+    "s17_module_statistics": q(lambda i: D.module_statistics(i.nodes, i.edges, i.calls, 1)),
+    "g16_invalid_dependences": q(lambda i: D.invalid_dependences(i.nodes, i.dep, i.scd)),
+    "m07_call_effects": q(lambda i: M.call_effects(i.effects, i.calls, AFTER)),
+    "m13_reaching_over_calls": q(lambda i: M.reaching_over_calls(i.fact("mem_site"), i.edges, i.calls, i.fact("mem_site").select("obj").distinct(), AFTER)),
+    "m15_unknown_writes": q(lambda i: M.unknown_writes(i.fact("mem_site"), i.edges, i.fact("mem_site").where("role = 'def'").select("fn", "node", "pos").distinct())),
+    "m18_summary": q(lambda i: M.summary(i.fact("mem_site"))),
     "k01_call_graph": q(lambda i: D.call_graph(*i.pairs_of_calls)),
     "k02_callers": q(lambda i: i.calls.groupBy("callee").agg(F.countDistinct("caller").alias("n_callers"), F.count("*").alias("n_calls"))),
     "k03_address_taken": q(lambda i: i.pairs_of_calls[3]),
@@ -184,7 +216,47 @@ PARTS = graph_queries.PARTS | {k: v for k, v in memory_queries.PARTS.items() if
         UNION SELECT b.fn, c.dst, b.area FROM abad b ANTI JOIN (SELECT * FROM amade ANTI JOIN aend USING (fn, loc, area)) m ON m.fn = b.fn AND m.loc = b.loc AND m.area = b.area JOIN cfg_edge c ON c.fn = b.fn AND c.src = b.loc""",
 }
 
+def over_calls(text: str) -> str:
+    """The SQL of reaching definitions over the sites with the effects of calls among them."""
+    for name in ("mem_site", "spoint", "selem", "sseg", "bdef", "skill", "inflow", "uses"):
+        text = re.sub(rf"\b{name}\b", f"c_{name}", text)
+    return text
+
+
+PARTS |= {"mref": memory_queries.PARTS["mref"]} | {
+    "ceff": f"""SELECT c.caller AS fn, c.call AS node, {AFTER} + c.call AS pos, CASE WHEN h.role = 'mod' THEN 'def' ELSE 'use' END AS role, h.obj, min(h.lo) AS lo, max(h.hi) AS hi
+        FROM mref h JOIN (SELECT DISTINCT caller, call, callee FROM call_edge) c ON c.callee = h.fn GROUP BY ALL""",
+    "c_mem_site": "SELECT fn, node, pos, role, obj, lo, hi FROM mem_site UNION ALL SELECT fn, node, pos, role, obj, lo, hi FROM ceff",
+    **{f"c_{n}": over_calls(memory_queries.PARTS[n]) for n in ("spoint", "selem", "sseg", "bdef", "skill", "inflow", "uses")},
+    "par_in": "SELECT caller, call, callee, CAST(1 AS BIGINT) AS formal, call - 1 AS actual, 'in' AS dir FROM call_edge WHERE call > 1",
+    "par_out": "SELECT c.caller, c.call, c.callee, k.k AS formal, c.call AS actual, 'out' AS dir FROM call_edge c JOIN (SELECT fn, max(node) AS k FROM node GROUP BY fn) k ON k.fn = c.callee",
+    "sys": """SELECT fn AS src_fn, src, fn AS dst_fn, dst, etype FROM dep UNION SELECT caller, call, callee, 1, 'call' FROM call_edge
+        UNION SELECT caller, actual, callee, formal, 'param_in' FROM par_in UNION SELECT callee, formal, caller, actual, 'param_out' FROM par_out
+        UNION SELECT r.fn, r.node, r.fn, p.dst, 'noret' FROM noret r JOIN paths p ON p.fn = r.fn AND p.src = r.node WHERE p.dst <> r.node""",
+    "sstart": "SELECT fn, node FROM node WHERE ok % 50 = 0",
+    "sback": "SELECT fn, node FROM sstart UNION SELECT s.src_fn, s.src FROM sback b JOIN sys s ON s.dst_fn = b.fn AND s.dst = b.node",
+    "sfwd": "SELECT fn, node FROM sstart UNION SELECT s.dst_fn, s.dst FROM sfwd b JOIN sys s ON s.src_fn = b.fn AND s.src = b.node",
+    "sneed": "SELECT fn, node FROM sfwd UNION SELECT s.src_fn, s.src FROM sneed b JOIN sys s ON s.dst_fn = b.fn AND s.dst = b.node",
+    "use_fn": "SELECT DISTINCT caller AS user_fn, callee AS fn FROM call_edge",
+    "use_path": "SELECT user_fn AS a, fn AS b FROM use_fn UNION SELECT p.a, u.fn FROM use_path p JOIN use_fn u ON u.user_fn = p.b",
+    "wild": "SELECT DISTINCT w.fn, w.pos AS def, e.dst AS node FROM mem_site w JOIN cfg_edge e ON e.fn = w.fn AND e.src = w.node WHERE w.role = 'def' UNION SELECT w.fn, w.def, e.dst FROM wild w JOIN cfg_edge e ON e.fn = w.fn AND e.src = w.node",
+    "dep_end": "SELECT fn, src AS node FROM dep UNION SELECT fn, dst FROM dep",
+}
+
 ORACLE = {
+    "s16_unused_functions": "SELECT DISTINCT fn FROM node WHERE fn <> 1 AND fn NOT IN (SELECT b FROM use_path WHERE a = 1 OR a IN (SELECT a FROM use_path WHERE a = b))",
+    "s05_parameters": "SELECT caller, call, callee, formal, actual, dir FROM par_in UNION ALL SELECT caller, call, callee, formal, actual, dir FROM par_out",
+    "s08_slice_over_calls": "SELECT fn, node FROM sback",
+    "s09_forward_over_calls": "SELECT fn, node FROM sneed",
+    "s20_system_graph": "SELECT src_fn, src, dst_fn, dst, etype FROM sys",
+    "s17_module_statistics": """SELECT (SELECT count(DISTINCT fn) FROM node) AS functions, (SELECT count(DISTINCT callee) FROM call_edge) AS called, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM cfg_edge) AS edges, (SELECT count(*) FROM call_edge) AS calls,
+        (SELECT count(*) FROM (SELECT b FROM use_path WHERE a = 1 UNION SELECT fn FROM node WHERE fn = 1)) AS reachable""",
+    "g16_invalid_dependences": "SELECT n.fn, n.node, 'isolated' AS error FROM node n ANTI JOIN dep_end d ON d.fn = n.fn AND d.node = n.node",
+    "m07_call_effects": "SELECT fn, node, pos, role, obj, lo, hi FROM ceff",
+    "m13_reaching_over_calls": over_calls(memory_queries.ORACLE["m10_reaching_definitions"]),
+    "m15_unknown_writes": """SELECT u.fn, u.pos AS use, w.def FROM mem_site u JOIN wild w ON w.fn = u.fn AND w.node = u.node WHERE u.role = 'use'
+        UNION SELECT u.fn, u.pos, d.pos FROM mem_site u JOIN mem_site d ON d.fn = u.fn AND d.node = u.node AND d.role = 'def' AND d.pos < u.pos WHERE u.role = 'use'""",
+    "m18_summary": "SELECT fn, node, bool_or(role = 'use') AS is_use, bool_or(role <> 'use') AS is_def FROM mem_site GROUP BY fn, node",
     "s01_use_edges": "SELECT fn, src, dst FROM use_edge",
     "s02_data_edges": "SELECT fn, src, dst FROM data_edge",
     "s06_dependence_graph": "SELECT fn, src, dst, etype FROM dep",

@@ -48,6 +48,20 @@ FACTS = {
         SELECT module, CASE kind WHEN 1 THEN 'alloc' WHEN 2 THEN 'copy' WHEN 3 THEN 'store' WHEN 4 THEN 'load' WHEN 5 THEN 'gep' WHEN 6 THEN 'copy' ELSE 'memcpy' END AS kind,
                lhs AS dst, CASE WHEN kind = 1 THEN obj ELSE rhs END AS src, CASE WHEN kind = 5 THEN 4 * (sk % 3) END AS off, CASE WHEN kind = 7 THEN CAST(8 AS BIGINT) END AS len
         FROM small_stmt""",
+    # the same statements in their order, and a control flow over them
+    "flow_cons": """
+        SELECT module, pos, CASE kind WHEN 1 THEN 'alloc' WHEN 2 THEN 'copy' WHEN 3 THEN 'store' WHEN 4 THEN 'load' WHEN 5 THEN 'gep' WHEN 6 THEN 'free' ELSE 'memcpy' END AS kind,
+               lhs AS dst, CASE WHEN kind = 1 THEN obj ELSE rhs END AS src, CASE WHEN kind = 5 THEN 4 * (sk % 3) END AS off, CASE WHEN kind = 7 THEN CAST(8 AS BIGINT) END AS len
+        FROM stmt""",
+    "flow_edge": """
+        SELECT DISTINCT module, src, dst FROM (
+          SELECT s.module, s.pos AS src, s.pos + 1 AS dst FROM stmt s JOIN (SELECT module, max(pos) AS k FROM stmt GROUP BY module) n ON n.module = s.module WHERE s.pos < n.k
+          UNION ALL SELECT s.module, s.pos AS src, 1 + (s.ok * 7 + s.pk) % n.k AS dst FROM stmt s JOIN (SELECT module, max(pos) AS k FROM stmt GROUP BY module) n ON n.module = s.module WHERE s.pk % 9 = 0) e""",
+    # functions are objects 1, 3 and 5: node 8 + obj is the parameter, 16 + obj the result, which is the parameter
+    "function": "SELECT DISTINCT module, obj, 8 + obj AS param, 16 + obj AS result FROM stmt WHERE kind = 1 AND obj % 2 = 1",
+    "call_cons": """
+        SELECT module, CASE WHEN kind = 'memcpy' THEN 'call' ELSE kind END AS kind, dst, src, CASE WHEN kind = 'memcpy' THEN (dst + src) % 8 ELSE off END AS off, CASE WHEN kind <> 'memcpy' THEN len END AS len FROM cons
+        UNION ALL SELECT module, 'copy' AS kind, result AS dst, param AS src, CAST(NULL AS BIGINT) AS off, CAST(NULL AS BIGINT) AS len FROM function""",
     "object": """
         SELECT module, obj, max(pk % 50) AS size, obj % 3 = 0 AS zero FROM small_stmt WHERE kind = 1 GROUP BY module, obj""",
     "thread_event": """
