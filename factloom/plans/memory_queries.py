@@ -177,6 +177,7 @@ PARTS = {
         UNION SELECT c.caller, m.role, m.obj, m.lo, m.hi FROM mref m JOIN call_edge c ON c.callee = m.fn""",
     "asked": "SELECT fn, node, ok % 6 AS obj FROM node WHERE node % 3 = 0",
     "esc": "SELECT module, obj FROM object WHERE zero UNION SELECT m.module, m.tgt FROM esc e JOIN (SELECT DISTINCT module, obj, tgt FROM pts_mem WHERE tgt >= 0) m ON m.module = e.module AND m.obj = e.obj",
+    "accessed_at": "SELECT DISTINCT c.module, c.src AS n, p.tgt AS obj, CASE WHEN p.off >= 0 THEN p.off ELSE 0 END AS lo, CASE WHEN p.off >= 0 THEN p.off + 3 END AS hi FROM cons c JOIN pts_abs p ON p.module = c.module AND p.n = c.src WHERE c.kind = 'load' AND p.tgt >= 0",
     "fewer": "SELECT * FROM cons WHERE NOT (kind = 'copy' AND dst % 2 = 1)",
     **pointer_parts("pts", "cons"),
     **pointer_parts("less", "fewer"),
@@ -233,8 +234,7 @@ ORACLE = {
     "m08_escaping": "SELECT module, obj FROM esc",
     "p10_calls_by_pointer": "SELECT module, n, tgt, off FROM fp_raw",
     "p25_without_unknown": "SELECT c.* FROM cons c WHERE kind NOT IN ('load', 'store') OR EXISTS (SELECT 1 FROM pts_abs p WHERE p.module = c.module AND p.n = CASE WHEN c.kind = 'load' THEN c.src ELSE c.dst END AND p.tgt >= 0)",
-    "p29_covers": """WITH a AS (SELECT DISTINCT c.module, c.src AS n, p.tgt AS obj, CASE WHEN p.off >= 0 THEN p.off ELSE 0 END AS lo, CASE WHEN p.off >= 0 THEN p.off + 3 END AS hi FROM cons c JOIN pts_abs p ON p.module = c.module AND p.n = c.src WHERE c.kind = 'load' AND p.tgt >= 0)
-        SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.module = a.module AND x.n = a.n AND x.obj = a.obj AND x.lo <= a.lo AND (x.hi IS NULL OR x.hi >= a.hi) AND (x.lo < a.lo OR x.hi IS DISTINCT FROM a.hi))""",
+    "p29_covers": """SELECT * FROM accessed_at a WHERE NOT EXISTS (SELECT 1 FROM accessed_at x WHERE x.module = a.module AND x.n = a.n AND x.obj = a.obj AND x.lo <= a.lo AND (x.hi IS NULL OR x.hi >= a.hi) AND (x.lo < a.lo OR x.hi IS DISTINCT FROM a.hi))""",
     "p31_difference": "SELECT module, n, tgt, off FROM pts_abs p WHERE NOT EXISTS (SELECT 1 FROM less_abs x WHERE x.module = p.module AND x.n = p.n AND ((x.tgt = p.tgt AND (x.off = p.off OR x.off < 0)) OR x.tgt = -1))",
     "x07_statistics": "SELECT module, count(*) AS n_sets, sum(c)::BIGINT AS n_pointers, max(c) AS max_size, count(*) FILTER (c = 1) AS n_singletons, sum(u)::BIGINT AS n_unknown_offsets, sum(z)::BIGINT AS n_null FROM (SELECT module, n, count(*) AS c, count(*) FILTER (off < 0) AS u, count(*) FILTER (tgt = -2) AS z FROM pts_abs GROUP BY module, n) GROUP BY module",
 }

@@ -169,6 +169,92 @@ def test_dfs_and_edge_kinds(random_graphs):
     assert all(a == b for (_, a, b), v in kinds.items() if a == b and v == "back" or a == b)
 
 
+def test_dfs_numbers_and_kinds_by_brute_force(random_graphs):
+    nodes, edges, n, e = random_graphs
+    numbers = G.dfs(e, n)
+    got = {(r.fn, r.node): (r.pre, r.post) for r in numbers.collect()}
+    want, kinds = {}, {}
+    for f in nodes:
+        clock, pre, post, tree = [0], {}, {}, set()
+
+        def visit(v):
+            pre[v] = clock[0]
+            clock[0] += 1
+            for w in sorted(succ(edges[f], v)):
+                if w not in pre:
+                    tree.add((v, w))
+                    visit(w)
+            post[v] = clock[0]
+            clock[0] += 1
+
+        visit(1)
+        want |= {(f, v): (pre[v], post[v]) for v in pre}
+        for a, b in edges[f]:
+            if a in pre and b in pre:
+                down, up = pre[a] <= pre[b] and post[b] <= post[a], pre[b] <= pre[a] and post[a] <= post[b]
+                kinds[f, a, b] = "back" if up else "tree" if (a, b) in tree else "forward" if down else "cross"
+    assert got == want
+    assert {(r.fn, r.src, r.dst): r.kind for r in G.edge_kinds(e, numbers).collect()} == kinds
+
+
+FLOW = [
+    # p = &a; *p = &x; y = *p; *p = &z; w = *p: the second load sees the second store alone
+    ("straight", [("alloc", 1, 10), ("alloc", 2, 11), ("store", 1, 2), ("load", 3, 1), ("alloc", 4, 12), ("store", 1, 4), ("load", 5, 1)], None, {3: {11}, 5: {12}}, {3: {11, 12}, 5: {11, 12}}),
+    # the two arms of a diamond store different things: both reach its end, each load in an arm sees its own
+    ("diamond", [("alloc", 1, 10), ("alloc", 2, 11), ("alloc", 4, 12), ("store", 1, 2), ("load", 3, 1), ("store", 1, 4), ("load", 5, 1), ("load", 6, 1)],
+     [(1, 2), (2, 3), (3, 4), (4, 5), (3, 6), (6, 7), (5, 8), (7, 8)], {3: {11}, 5: {12}, 6: {11, 12}}, {3: {11, 12}, 5: {11, 12}, 6: {11, 12}}),
+    # a loop: what the body stores reaches the load before it
+    ("loop", [("alloc", 1, 10), ("alloc", 2, 11), ("alloc", 4, 12), ("store", 1, 2), ("load", 3, 1), ("store", 1, 4)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 5)], {3: {11, 12}}, {3: {11, 12}}),
+    # two objects behind one pointer: no store through it replaces anything
+    ("weak", [("alloc", 1, 10), ("alloc", 1, 20), ("alloc", 2, 11), ("alloc", 4, 12), ("store", 1, 2), ("store", 1, 4), ("load", 3, 1)], None, {3: {11, 12}}, {3: {11, 12}}),
+]
+
+
+@pytest.mark.parametrize("name,steps,flow,by_flow,at_all", FLOW, ids=[f[0] for f in FLOW])
+def test_flow_sensitive_shapes(name, steps, flow, by_flow, at_all):
+    rows_ = [(k, d, s, None, None, i) for i, (k, d, s) in enumerate(steps, 1)]
+    objs = [("object", o, 0, 8, None, None) for o in (10, 11, 12, 20)]
+    edge = flow or [(i, i + 1) for i in range(1, len(steps))]
+    pt = P.solve_flow(rows_ + objs + [("edge", a, b, None, None, None) for a, b in edge], 64, False)
+    assert {n: {t for t, _ in pt[n]} for n in by_flow} == by_flow
+    pt, _ = P.solve_module([r[:5] for r in rows_ + objs], 64)
+    assert {n: {t for t, _ in pt[n]} for n in at_all} == at_all
+
+
+def test_freed_objects_are_invalidated():
+    steps = [("alloc", 1, 10), ("alloc", 2, 11), ("store", 1, 2), ("free", 9, 2), ("load", 3, 1)]
+    rows_ = [(k, d, s, None, None, i) for i, (k, d, s) in enumerate(steps, 1)] + [("edge", i, i + 1, None, None, None) for i in range(1, 5)] + [("object", 10, 0, 8, None, None)]
+    assert P.solve_flow(rows_, 64, False)[3] == {(11, 0)} and P.solve_flow(rows_, 64, True)[3] == {(P.INVALIDATED, 0)}
+
+
+def test_calls_forks_and_joins_by_pointer(spark):
+    cons = spark.createDataFrame([
+        (1, "alloc", 1, 50, None, None), (1, "alloc", 2, 60, None, None), (1, "copy", 7, 6, None, None),  # function 50 returns its parameter
+        (1, "call", 3, 1, 2, None), (1, "alloc", 4, 61, None, None), (1, "fork", 8, 1, 4, None), (1, "join", 9, 1, None, None),
+    ], "module long, kind string, dst long, src long, off long, len long")
+    objects = spark.createDataFrame([(1, 50, 0, False)], "module long, obj long, size long, zero boolean")
+    functions = spark.createDataFrame([(1, 50, 6, 7)], "module long, obj long, param long, result long")
+    small, large = (P.analyse(cons, objects, 64, large, functions)[0] for large in (100, 1))
+    assert rows(small) == rows(large)
+    got = {(r.n, r.tgt) for r in small.collect()}
+    assert {(3, 60), (3, 61), (9, 60), (9, 61), (6, 60), (6, 61)} <= got and (8, 60) not in got
+
+
+def test_slices_over_calls(spark):
+    # functions 1 and 2 call 3, which gives back what it takes: 1's result is 12, from 11; 2's is 22, from 21
+    dep = spark.createDataFrame([(3, 1, 2, "data"), (1, 2, 13, "data"), (2, 2, 23, "data")], "fn long, src long, dst long, etype string")
+    calls = spark.createDataFrame([(1, 2, 3, 1), (2, 2, 3, 1)], "caller long, call long, callee long, entry long")
+    params = spark.createDataFrame([(1, 2, 3, 1, 11, "in"), (1, 2, 3, 2, 2, "out"), (2, 2, 3, 1, 21, "in"), (2, 2, 3, 2, 2, "out")], "caller long, call long, callee long, formal long, actual long, dir string")
+    summary = spark.createDataFrame([(1, 11, 2), (2, 21, 2)], "caller long, actual_in long, actual_out long")
+    g = D.system_graph(dep, calls, params, summary=summary)
+    start = spark.createDataFrame([(1, 13)], "fn long, node long")
+    any_ = {(r.fn, r.node) for r in D.backward_slice_over_calls(g, start).collect()}
+    exact = {(r.fn, r.node) for r in D.backward_slice_over_calls(g, start, by_context=True).collect()}
+    assert any_ == {(1, 13), (1, 2), (1, 11), (3, 1), (3, 2), (2, 21), (2, 2)}
+    assert exact == {(1, 13), (1, 2), (1, 11), (3, 1), (3, 2)}
+    assert (2, 23) in {(r.fn, r.node) for r in D.forward_slice_over_calls(g, spark.createDataFrame([(1, 11)], "fn long, node long")).collect()}
+
+
 def test_empty_tables(spark):
     n, e = spark.createDataFrame([], "fn long, node long"), spark.createDataFrame([], "fn long, src long, dst long")
     assert closure(e, ("fn",)).count() == 0 and reach(e, n, ("fn",)).count() == 0
