@@ -28,9 +28,9 @@ ORDER = 6
 #: The symbols that aren't bytes of a word. Words hold no white space.
 SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
-#: Bytes of text of a block of documents, one at least, and positions that are counted at once.
+#: Bytes of text of a block of documents, one at least, and of the parts of it that are counted, or scored, at once.
 BLOCK_BYTES = 20_000_000
-STEP = 16_000_000
+STEP, SCORED_STEP = 4_000_000, 500_000
 #: Context bytes by which keys are dealt, and the buckets they are dealt into, by hash.
 DEALT_BY = 3
 BUCKETS = 256
@@ -125,15 +125,32 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def stream_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = []
-    for a in range(ORDER, len(x), STEP):
-        b = min(len(x), a + STEP)
-        keys = keys_of(x, a, b)
-        parts.append(counted(keys[predicted(x, a, b)]))
-    if len(parts) == 1:
-        return parts[0]
-    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else counted(np.zeros(0, np.uint64))
+def portions(x: np.ndarray, most: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
+    """(documents before, stream) of whole documents of about so many bytes, one at least."""
+    end = np.flatnonzero(x == END)
+    a = done = 0
+    while done < len(end):
+        n = max(done + 1, int(np.searchsorted(end, a + most)))
+        yield done, x[a : end[n - 1] + 1]
+        a, done = int(end[n - 1]) + 1, n
+
+
+def symbol_keys(x: np.ndarray, most: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, keys) of the symbols of a stream, so many places at a time."""
+    for a in range(ORDER, len(x), most):
+        b = min(len(x), a + most)
+        at = np.flatnonzero(predicted(x, a, b))
+        yield at + a, keys_of(x, a, b)[at]
+
+
+def stream_counts(x: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and their counts of a stream, of contexts and of words."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {KEYS: [], WORDS: []}
+    for _, part in portions(x):
+        found[KEYS] += [counted(keys) for _, keys in symbol_keys(part)]
+        found[WORDS].append(counted(word_keys(part)[0]))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return {kind: summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else none for kind, parts in found.items()}
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -197,7 +214,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             streams = []
             for out in (False, True):
                 x = stream([t for t, h in zip(texts, held.tolist(), strict=True) if h == out])
-                for kind, (k, n) in ((KEYS, stream_counts(x)), (WORDS, counted(word_keys(x)[0]))):
+                for kind, (k, n) in stream_counts(x).items():
                     found[kind].append((k, np.zeros(len(k), np.int64) if out else n.astype(np.int64)))
                 streams.append(x.tobytes())
             of_doc = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held)})
@@ -378,23 +395,24 @@ def answered(made: DataFrame, told: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Values by 64-bit keys, of which none is all ones: a table of at most one key in three places, with linear steps."""
+    """Values by 64-bit keys, of which none is all ones: a table with at most two keys in three places, with linear steps."""
 
     FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(8, int(3 * len(keys)).bit_length())
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        bits = max(8, int(1.5 * sum(len(k) for k, _ in parts)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key, self.value = np.full(1 << bits, self.FREE), np.zeros(1 << bits, values.dtype)
-        rest, step = np.arange(len(keys)), 0
-        place = self.places(keys)
-        while len(rest):
-            at = (place[rest] + step) & self.mask
-            free = self.key[at] == self.FREE
-            self.key[at[free]] = keys[rest[free]]
-            got = self.key[at] == keys[rest]
-            self.value[at[got]] = values[rest[got]]
-            rest, step = rest[~got], step + 1
+        self.key, self.value = np.full(1 << bits, self.FREE), np.zeros(1 << bits, parts[0][1].dtype if parts else np.float64)
+        for keys, values in parts:
+            rest, step = np.arange(len(keys)), 0
+            place = self.places(keys)
+            while len(rest):
+                at = (place[rest] + step) & self.mask
+                free = self.key[at] == self.FREE
+                self.key[at[free]] = keys[rest[free]]
+                got = self.key[at] == keys[rest]
+                self.value[at[got]] = values[rest[got]]
+                rest, step = rest[~got], step + 1
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -438,26 +456,23 @@ def scored(docs: DataFrame) -> DataFrame:
         held = of_doc.column(1).to_numpy(zero_copy_only=False)
         sizes = np.frombuffer(data[:16], "<u8").astype(np.int64)
         raw = np.frombuffer(pa.decompress(data[16:], int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
-        words, keys = (Lookup(*(map(np.concatenate, zip(*parts[kind], strict=True)))) if parts[kind] else None for kind in (WORDS, KEYS))
+        words, keys = (Lookup(parts.pop(kind)) for kind in (WORDS, KEYS))
         n_tokens, n_known, base, code = (np.zeros(len(held)) for _ in range(4))
         for out, x in ((False, raw[: sizes[0]]), (True, raw[sizes[0] :])):
             who = np.flatnonzero(held == out)
             if not len(who):
                 continue
-            end = np.flatnonzero(x == END)
-            h, start = word_keys(x)
-            owner = np.searchsorted(end, start)
-            c = words.get(h) if len(h) else np.zeros(0)
-            n_tokens[who] = np.bincount(owner, minlength=len(who)) + 1
-            n_known[who] = np.bincount(owner, c > 0, len(who)) + (ends > 0)
-            base[who] = np.bincount(owner, np.log10((c + 0.5) / scale), len(who)) + np.log10((ends + 0.5) / scale)
-            total = np.zeros(len(who))
-            for a in range(ORDER, len(x), STEP // 4):
-                b = min(len(x), a + STEP // 4)
-                at = np.flatnonzero(predicted(x, a, b))
-                value = keys.get(keys_of(x, a, b)[at]).astype(np.float64)
-                total += np.bincount(np.searchsorted(end, at + a), value, len(who))
-            code[who] = total
+            for done, part in portions(x, SCORED_STEP):
+                end = np.flatnonzero(part == END)
+                docs_ = who[done : done + len(end)]
+                h, start = word_keys(part)
+                owner = np.searchsorted(end, start)
+                c = words.get(h) if len(h) else np.zeros(0)
+                n_tokens[docs_] = np.bincount(owner, minlength=len(end)) + 1
+                n_known[docs_] = np.bincount(owner, c > 0, len(end)) + (ends > 0)
+                base[docs_] = np.bincount(owner, np.log10((c + 0.5) / scale), len(end)) + np.log10((ends + 0.5) / scale)
+                for at, key in symbol_keys(part, SCORED_STEP):
+                    code[docs_] += np.bincount(np.searchsorted(end, at), keys.get(key).astype(np.float64), len(end))
         cols = [of_doc.column(0), of_doc.column(1), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(held), n_all)), pa.array(base), pa.array(code)]
         return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
