@@ -27,14 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: 64-bit words of a filter of ids: 12 MB as a broadcast table at any input size. A fuller filter lets more rows through.
-FILTER_WORDS = 1 << 18
+#: 64-bit words of a filter of ids at most: about 64 MB as a broadcast table. A fuller filter lets more rows through.
+FILTER_WORDS = 1 << 21
 
 
 def possibly_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """rows without most of those whose key isn't in ids(key): a join with ids must follow. No row shuffles: the ids come
-    as bits of hashes, at most FILTER_WORDS rows."""
-    place = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    as bits of hashes, one word for every four ids, FILTER_WORDS at most."""
+    words = min(FILTER_WORDS, 1 << max(10, (ids.count() // 4).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * words))
     word, bit = F.shiftright(place, 6).alias("filter_word"), place.bitwiseAND(63).cast("int").alias("filter_bit")
     bits = ids.select(word, bit).groupBy("filter_word").agg(F.expr("bit_or(shiftleft(1L, filter_bit))").alias("filter_bits"))
     marked = rows.select("*", word, bit).join(F.broadcast(bits), "filter_word").where("(shiftright(filter_bits, filter_bit) & 1L) = 1")
