@@ -54,10 +54,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mixture_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def mixture_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, independent: bool = False) -> DataFrame:
     """(source, source_size, target, whole, cut): every document of a source is taken whole times, and once more if its
     hash is at most cut.
 
+    independent: each document's draw is its own, the cut is the fraction of the hashes' range. Sources of few documents
+    then miss their targets by far (by half with 50 documents), so by default draws of a source are dealt out together:
+
     The extra copy is a Bernoulli draw seeded by the id: it is given if the middle of the document, with its source laid
     out in hash order, lies within the fraction of the rate. A place in hash order is uniform, so the probability is the
     fraction, and the words taken end within about half a document of the target at any number of documents. The cut is
@@ -69,6 +72,9 @@ def mixture_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repea
     targets = materialize(source_targets(per, weights, max_repeat), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    if independent:
+        cut = F.when(F.col("source_size") > 0, F.floor(F.col("extra") / F.col("source_size") * F.lit(float(1 << HASH_BITS)))).otherwise(0).cast("long") - 1
+        return materialize(targets.select("source", "source_size", "target", "whole", cut.alias("cut")), "plan")
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ran = per.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))).alias("p")
     hit = ran.join(bounded(targets).alias("t"), F.expr("p.source <=> t.source")).where("before < extra and extra <= before + size")
@@ -88,13 +94,13 @@ def copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return both.select("d.*", "source_size", "target", (F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, independent: bool = False) -> DataFrame:
     """The mixture itself: docs' rows, each as many times as it is taken, without shuffling a text.
 
     Null or empty texts have size 0; they are copied at their source's rate. A null source is a source of its own.
-    Repeated rows draw together. More columns pass through; names that this function uses itself may be among them.
+    Repeated rows draw together; an empty table stays empty. More columns pass through; names that this function uses itself may be among them.
     """
-    plan = mixture_plan(materialize(document_sizes(docs, seed), "sizes"), weights, max_repeat)
+    plan = mixture_plan(materialize(document_sizes(docs, seed), "sizes"), weights, max_repeat, independent)
     rows = docs.select(F.struct("*").alias("row"), "source", seeded_hash(F.col("doc_id"), seed).alias("h"))
     taken = copies(rows, plan).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

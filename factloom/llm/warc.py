@@ -23,7 +23,7 @@ from .common import arrow_schema, materialize, shared_dir, table
 
 #: A file is closed once it has this many compressed bytes.
 ROLL_BYTES = 64 << 20
-#: A shard takes records of about this many payload bytes; ids are counted in so many equal ranges to find its bounds.
+#: A shard takes records of at most this many payload bytes; ids are counted in so many equal ranges to find its bounds.
 SHARD_BYTES = 256 << 20
 RANGES = 4096
 #: Payloads of at least this many bytes that an earlier record has are written as revisits.
@@ -68,26 +68,55 @@ def record(page_id, url, payload: bytes, refers_to: tuple | None) -> bytes:
     return pack.compress(head + block + b"\r\n\r\n") + pack.flush()
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES, ranges: int = RANGES) -> list[int]:
     """The ids at which shards but the first begin, from pages(page_id, bytes).
 
-    Bytes are summed in RANGES equal ranges of the ids (at most as many rows leave the aggregate); consecutive ranges
-    fill a shard. The same pages give the same shards whatever their partitions.
+    Bytes are summed in equal ranges of the ids; a range of more than a shard's bytes is divided again, and so on, so ids
+    may lie as unevenly as they like. Consecutive ranges fill a shard; only an id that repeats can make one larger. The
+    same pages give the same shards whatever their partitions. The driver holds, a round, at most so many ranges for each
+    shard.
     """
+    pages = pages.where("page_id is not null").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    pages = materialize(pages, "id-bytes")
     ends = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
     if ends["lo"] is None:
         return []
-    lo, width = ends["lo"], max(1, -(-(ends["hi"] - ends["lo"] + 1) // RANGES))
-    per = pages.where("page_id is not null").groupBy(F.expr(f"(page_id - ({lo}L)) div {width}L").alias("range")).agg(F.sum("bytes").alias("bytes"))
+    spans, done = [(ends["lo"], ends["hi"] + 1)], []
+    while spans:
+        spans.sort()
+        table_ = pages.sparkSession.createDataFrame([(lo, hi, max(1, -(-(hi - lo) // ranges))) for lo, hi in spans], "lo long, hi long, width long")
+        inside = pages.join(F.broadcast(table_), F.expr("page_id >= lo and page_id < hi"))
+        sums = inside.groupBy("lo", "width", F.expr("(page_id - lo) div width").alias("i")).agg(F.sum("bytes").alias("bytes"), F.max("hi").alias("hi")).collect()
+        spans = []
+        for r in sums:
+            a = r["lo"] + r["i"] * r["width"]
+            b = min(r["hi"], a + r["width"])
+            if r["bytes"] > shard_bytes and b - a > 1:
+                spans.append((a, b))
+            else:
+                done.append((a, r["bytes"]))
     total, bounds = 0, []
-    for r in per.orderBy("range").collect():
-        if total >= shard_bytes:
+    for a, size in sorted(done):
+        if total and total + size > shard_bytes:
             total = 0
-            bounds.append(lo + r["range"] * width)
-        total += r["bytes"]
+            bounds.append(a)
+        total += size
     return bounds
 
 
+def shard_of(page_id, bounds: list[int], step: int = 256):
+    """Column: the number of bounds up to an id, by way of every step-th of them. Null ids are in shard 0."""
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= page_id))
+    if len(bounds) <= step:
+        found = upto(F.array(*map(F.lit, bounds))) if bounds else F.lit(0)
+    else:
+        coarse = F.array(*[F.lit(x) for x in bounds[::step]])
+        fine = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
+        at = F.greatest(upto(coarse) - 1, F.lit(0))
+        found = at * step + upto(F.element_at(fine, at + 1))
+    return F.when(page_id.isNull(), 0).otherwise(found).cast("int")
+
+
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, sha, first_id) of pages whose payload a page with a smaller id has, from pages(page_id, sha, bytes).
 
@@ -111,6 +140,7 @@ def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes:
 
     Of pages with equal payloads (UTF-8 of html, null: empty) of at least `least` bytes the one with the smallest id is a
     response, the others revisit it; rows that repeat an id and a payload revisit its first. Pages without id come first.
+    An empty table writes no file; other columns are ignored.
     One shuffle moves the payloads, to their shard's task, in order; the revisits' facts travel beside them. Tasks write
     under _temporary, named by attempt; only files in the manifest, told by finished tasks, get their names.
     """
@@ -119,11 +149,9 @@ def write(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes:
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     known = materialize(rows.select("page_id", "sha", "bytes"), "payloads")
     bounds = shard_bounds(known, shard_bytes)
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("page_id"))) if bounds else F.lit(0)
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(shard).cast("int")
     marks = revisits(known, least).select("page_id", "sha", F.col("first_id"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).cast("long").alias("bytes"))
     pages_ = rows.select("page_id", "sha", F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"), "url", "html", "bytes")
-    placed = marks.unionByName(pages_).withColumn("shard", shard)
+    placed = marks.unionByName(pages_).withColumn("shard", shard_of(F.col("page_id"), bounds))
     placed = placed.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
     ddl = "temporary string, name string, records long, bytes long, sha256 string"
     _, schema = arrow_schema(ddl)
@@ -240,9 +268,15 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     return files.select("content").mapInArrow(run, ddl)
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark finds it in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
-    out = out if "://" in out or out.startswith("file:") else "file://" + out
+    out = full_uri(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}")
     write(table(spark, sf_dir, "pages"), out)
     return read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
