@@ -31,9 +31,9 @@ SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
 #: Bytes of text of a block of documents, one at least, and of the parts of it that are counted, or scored, at once.
 BLOCK_BYTES = 20_000_000
 STEP, SCORED_STEP = 4_000_000, 500_000
-#: Context bytes by which keys are dealt, and the buckets they are dealt into, by hash.
+#: Context bytes by which keys are dealt, by hash, and bytes of text for each bucket of them (within bounds of their number).
 DEALT_BY = 3
-BUCKETS = 256
+BUCKET_BYTES, BUCKETS = 4_000_000, (256, 16_384)
 #: Keys of a row of the model, and keys that a task gathers before it sums them.
 MODEL_ROW, GATHERED = 500_000, 4_000_000
 #: Marks of a document's head and end while its text is cleaned: bytes that UTF-8 doesn't have.
@@ -168,10 +168,10 @@ def unpacked(data: bytes, n: int, kind) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64) if kind is np.uint64 else out
 
 
-def bucket_of(keys: np.ndarray, kind: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     """Keys by the nearest DEALT_BY bytes of their context, words by their hash."""
     of = keys if kind == WORDS else keys >> np.uint64(8 * (ORDER + 1 - DEALT_BY))
-    return (mixed(of * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return (mixed(of * MIX) >> np.uint64(40)).astype(np.int64) % buckets
 
 
 ROW = "block long, kind int, bucket int, part int, rows long, total long, seen long, keys binary, told binary"
@@ -204,7 +204,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[lis
         yield ids, np.array(held, bool), texts
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """One pass over docs(doc_id, text, held_out): rows of all four kinds, as ROW says. Counts are of training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +229,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                 if kind == KEYS:
                     low, low_n = summed(suffix(keys, DEALT_BY - 1), n)
                     yield rows_of([(block, LOW, 0, 0, len(low), 0, 0, packed(low), packed(low_n.astype(np.uint32)))])
-                bucket = bucket_of(keys, kind)
+                bucket = bucket_of(keys, kind, buckets)
                 by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(BUCKETS + 1)).tolist()
+                cut = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
                 keys, n = keys[by], n[by].astype(np.uint32)
                 yield rows_of([(block, kind, i, 0, b - a, 0, 0, packed(keys[a:b]), packed(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a] or [(block, kind, 0, 0, 0, 0, 0, b"", b"")])
             block += 1
@@ -317,13 +317,14 @@ def low_counts(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], n[by]
 
 
-def dealt(rows: DataFrame, keys: list[str], then: list[str]) -> DataFrame:
-    """Rows of a key together and in order; the number of tasks is the session's, since small compressed rows are much work."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(rows: DataFrame, keys: list[str], then: list[str], groups: int) -> DataFrame:
+    """Rows of a key together and in order; as many tasks as the session says, or more for many groups, since small
+    compressed rows are much work."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
     return rows.repartition(n, *map(F.col, keys)).sortWithinPartitions(*keys, *then)
 
 
-def model(made: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def model(made: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """What is told of each bucket's keys, in rows as ROW says: of words their counts, of contexts the code lengths. A task
     holds one bucket's distinct keys; blocks are summed as they come."""
     low_keys, low_n = packed(low[0]), packed(low[1].astype(np.uint64))
@@ -362,10 +363,10 @@ def model(made: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             yield from told(*at, *summed(*map(np.concatenate, zip(*waiting, strict=True))), lower)
 
     rows = made.where(F.col("kind").isin(WORDS, KEYS)).select("kind", "bucket", "rows", "keys", "told")
-    return dealt(rows, ["kind", "bucket"], []).mapInArrow(run, ROW)
+    return dealt(rows, ["kind", "bucket"], [], buckets // 8).mapInArrow(run, ROW)
 
 
-def answered(made: DataFrame, told: DataFrame) -> DataFrame:
+def answered(made: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     """Each block's keys with what the model tells of them: the model's rows of a bucket come first, then blocks one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +392,7 @@ def answered(made: DataFrame, told: DataFrame) -> DataFrame:
                 yield rows_of(out)
 
     asked = made.where(F.col("kind").isin(WORDS, KEYS)).withColumn("told", F.lit(None).cast("binary"))
-    return dealt(asked.unionByName(told), ["kind", "bucket"], ["block", "part"]).mapInArrow(run, ROW)
+    return dealt(asked.unionByName(told), ["kind", "bucket"], ["block", "part"], buckets // 8).mapInArrow(run, ROW)
 
 
 class Lookup:
@@ -442,8 +443,10 @@ def scored(docs: DataFrame) -> DataFrame:
     empty table has no rows. A text longer than a block is a block of its own, read by STEP places at a time.
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    made = materialize(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out"))), "blocks")
-    told = materialize(model(made, low_counts(made)), "model")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << int(size // BUCKET_BYTES).bit_length()))
+    made = materialize(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("held_out")), buckets), "blocks")
+    told = materialize(model(made, low_counts(made), buckets), "model")
     facts = told.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
     ends = made.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
     n_all = facts["n"] + ends
@@ -488,8 +491,8 @@ def scored(docs: DataFrame) -> DataFrame:
                 else:
                     parts[kind].append((unpacked(keys, rows, np.uint64), unpacked(told, rows, np.float64 if kind == WORDS else np.float32)))
 
-    both = answered(made, told).unionByName(made.where(F.col("kind") == TEXTS))
-    return dealt(both, ["block"], ["kind"]).mapInArrow(run, ddl)
+    both = answered(made, told, buckets).unionByName(made.where(F.col("kind") == TEXTS))
+    return dealt(both, ["block"], ["kind"], int(size // BLOCK_BYTES)).mapInArrow(run, ddl)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
