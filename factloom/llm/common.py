@@ -180,7 +180,7 @@ def clustered(df: DataFrame, keys: list[str], then: list[str] = ()) -> DataFrame
     return df.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, *then)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(node, component) of the undirected graph edges(a long, b long): component is the smallest node that is reachable.
 
     Alternates large-star and small-star steps, each an aggregate and a join on the same key, until nothing changes
@@ -207,6 +207,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             drop_table(old)
         if not many.union(deep).take(1):
             break
+    else:
+        raise RuntimeError(f"components: {max_rounds} rounds")
     roots = work.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     alone = loops.select(F.col("a").alias("node"), F.col("b").alias("component"))
     inside = work.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     Exact: no link between different sets is lost (see parts_of). Documents that share a part, directly or over others,
     form clusters; only these are compared, in tiles. Null or empty texts have no shingles and link with nothing. Rows
     that share a doc_id are one document for linking; a row without doc_id links with nothing and its component is null.
+    An empty table has no rows; other columns are ignored, whatever their names.
     """
     num, den = similarity
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -274,7 +275,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id."""
+    """docs without the documents whose component has a smaller doc_id. Null and empty texts, rows without doc_id and rows
+    that repeat all stay; an empty table stays empty; other columns pass, whatever their names."""
     dropped = near_duplicates(docs, shingle, similarity).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 

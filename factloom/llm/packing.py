@@ -223,7 +223,8 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     own; the pieces of remainders are packed by differencing in blocks of so many, as they come, so no row moves between tasks, a
     task's memory doesn't depend on its share, and padding is about one window in a block of hundreds. A sequence is
     padded to capacity, or not at all if its length is a power of two (padded_length). sequence_id: the task's number
-    times 2^33 and a counter. Repeated rows are packed each; other columns are ignored.
+    times 2^33 and a counter. Repeated rows are packed each; other columns are ignored; an empty table has
+    no pieces.
     """
     path = path or tokenizer_path()
     ddl = DDL + (", ids array<int>" if with_ids else "")

@@ -71,7 +71,8 @@ def test_exact_dedup(docs, empty):
 
 def test_filter_flags_every_repeated_hash(spark):
     shas = spark.range(3000).selectExpr("sha2(cast(id % 2000 as string), 256) as sha")
-    flag = exact_dedup.flagged(shas, exact_dedup.repeated_filter(shas))
+    words_ = exact_dedup.filter_words(3000)
+    flag = exact_dedup.flagged(shas, exact_dedup.repeated_filter(shas, words_), words_)
     twice = {r.sha for r in shas.groupBy("sha").count().where("count > 1").collect()}
     assert twice <= {r.sha for r in flag.where("maybe").collect()} and flag.count() == 3000
 
