@@ -14,8 +14,10 @@ from .common import Tokens, arrow_schema, clustered, components, materialize, mi
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
-#: Documents of a tile; a task that compares two tiles holds twice as many sets.
-TILE = 2048
+#: Documents of a cluster that one task compares. Larger clusters are dealt into tiles of TILES times as many documents, and
+#: of at most so many shingles for each of these; a task holds two tiles (64 MB of shingles at most, but for one set).
+TILE, TILES = 2048, 4
+SHINGLES = 2048
 #: Tables of one row a large cluster, or a size band of one, are broadcast up to this number of rows (24 bytes each).
 BROADCAST_CLUSTERS = 50_000
 #: 64-bit words of a bitmap signature.
@@ -166,7 +168,8 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def tiles(members: DataFrame, tile: int, num: int, den: int) -> DataFrame:
     """members(doc, cluster, n) with the tasks that compare them: t, a struct.
 
-    A cluster of up to tile documents is one task. In larger ones a size band is dealt into tiles by a hash of the id;
+    A cluster of up to tile documents is one task. In larger ones a size band is dealt into tiles by a hash of the id, as few
+    as its shingles allow, since a set travels once for each tile that it is compared with;
     tasks are pairs of tiles of a band or of neighbouring bands, all others are too different in size to link.
     """
     step = math.log(den / num) if num < den else 1.0
@@ -177,7 +180,7 @@ def tiles(members: DataFrame, tile: int, num: int, den: int) -> DataFrame:
     large_ones = F.broadcast(large_ones) if few else large_ones
     whole = members.join(large_ones, "cluster", "left_anti").withColumn("t", F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     large = members.join(large_ones, "cluster")
-    per = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("here"))
+    per = large.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / (TILES * tile), F.sum("n") / (SHINGLES * tile))).cast("int").alias("here"))
     w = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f: F.when(F.abs(f("band", 1).over(w) - F.col("band")) == 1, f("here", 1).over(w)).otherwise(0)
     per = per.withColumn("above", beside(F.lead)).withColumn("below", beside(F.lag))
