@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact sorted-array intersection, components."""
+"""N-gram Jaccard join: equal parts of sets, parity sketches in size-banded tiles, exact sorted-array intersection, components."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_schema, clustered, components, materialize, mixed, possibly_in, slices, streamed_groups, table, text_column, windows
+from .common import MIX, Tokens, arrow_schema, clustered, components, materialize, mixed, possibly_in, slices, streamed_groups, table, text_column, windows
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
@@ -18,6 +18,8 @@ SIMILARITY = (85, 100)
 #: of at most so many shingles for each of these; a task holds two tiles (64 MB of shingles at most, but for one set).
 TILE, TILES = 2048, 4
 SHINGLES = 2048
+#: The same limit for tiles of sketches, which take a 32nd of the shingles' bytes at most.
+SKETCHED = 32 * SHINGLES
 #: Tables of one row a large cluster, or a size band of one, are broadcast up to this number of rows (24 bytes each).
 BROADCAST_CLUSTERS = 50_000
 #: 64-bit words of a bitmap signature.
@@ -53,12 +55,18 @@ def parts_of(interval: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
     step = math.log(den / num) if num < den else 1.0
     top = np.ceil(np.exp((interval + 1) * step) + 1e-6)
     most = np.floor((den - num) / (den + num) * 2 * top + 1e-9).astype(np.int64)
-    slack = 3 + top.astype(np.int64) // 128
+    slack = 5 + most // 6 + top.astype(np.int64) // 128
     return most + 1 + slack, slack
 
 
 def part_keys(h: np.ndarray, bounds: np.ndarray, own: np.ndarray, up: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the parts of each set in the interval own + up: equal keys mean equal parts (of an equal interval)."""
+    """(text, key) of the parts of each set in the interval own + up: equal keys mean equal parts (of an equal interval).
+
+    A set of n shingles differs from a linked one in at most d = n * (den - num) / num, so one of any d + 1 of its parts is
+    in both. Each set gives its d + 1 largest (ties in order of the key, the same in both sets): of two linked sets, take the
+    one whose least given part is larger; the other gives all that large. Small parts are what unlike texts share by
+    common phrases. Sets with more empty parts than the slack give all.
+    """
     n = np.diff(bounds)
     interval = own + up
     k, slack = parts_of(interval, num, den)
@@ -71,27 +79,81 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, own: np.ndarray, up: int, num:
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         total = np.add.reduceat(mixed(h + np.uint64(0x51)), at)
+        size = np.minimum(np.diff(at, append=len(h)), 63).astype(np.uint64)
         owner, part = owner[at], part[at]
         key = mixed(total + mixed(part + (interval[owner].astype(np.uint64) << np.uint64(32))))
         # sets with more empty parts than the slack: their empty parts may be all that they share with another such set
-        empty = k - np.bincount(owner, minlength=len(n))
+        have = np.bincount(owner, minlength=len(n))
+        empty = k - have
+        given = np.where(empty > slack, have, np.minimum(have, 1 + np.minimum(k - 1 - slack, n * (den - num) // num)))
+        place = (owner.astype(np.uint64) << np.uint64(40)) | ((np.uint64(63) - size) << np.uint64(34)) | (key >> np.uint64(30))
+        last = np.sort(place)[np.maximum(np.cumsum(have) - have + given - 1, 0).clip(max=len(place) - 1)]
+        keep = place <= last[owner]
         extra_owner, extra_key = [], []
         for i in np.flatnonzero((empty > slack) & (n > 0)):
-            a, b = np.searchsorted(owner, [i, i + 1])
+            a, b = np.searchsorted(owner, [i, i + 1])  # before any part is left out
             free = np.setdiff1d(np.arange(k[i]), part[a:b].astype(np.int64)).astype(np.uint64)
             extra_owner.append(np.full(len(free), i))
             extra_key.append(mixed(np.uint64(0xE) + mixed(free + (np.uint64(interval[i]) << np.uint64(32)))))
-    return np.concatenate([owner, *extra_owner]), np.concatenate([key, *extra_key]).view(np.int64)
+    return np.concatenate([owner[keep], *extra_owner]), np.concatenate([key[keep], *extra_key]).view(np.int64)
+
+
+def sketches(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A parity sketch of each set, null for empty ones: one bit for every shingle or more, each the parity of the shingles
+    that hash to it. The sketches of two sets differ in at most as many bits as the sets in shingles; the halves of a
+    sketch, xor-ed, are the sketch of half as many bits."""
+    n = np.diff(bounds)
+    bits = np.maximum(64, np.int64(1) << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bits // 64, 0))])
+    out = np.zeros(ends[-1], np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = (mixed(h ^ MIX) >> np.uint64(20)) & (bits - 1).astype(np.uint64)[owner]
+    np.bitwise_xor.at(out, ends[owner] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    valid = pa.py_buffer(np.packbits(n > 0, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(n), [valid, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(out)])
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), axis=0)
+
+
+def alike(n: np.ndarray, sketch: list[bytes], num: int, den: int) -> list[int]:
+    """For each set of n shingles the first set of its component, by links that the sketches don't rule out."""
+    order = np.argsort(n, kind="stable")
+    size = n[order].astype(np.int64)
+    words = np.array([len(sketch[i]) // 8 for i in order])  # ascending, as sizes are
+    root = np.arange(len(n))
+    for w in np.unique(words).tolist():
+        lo, hi = np.searchsorted(words, [w, w + 1]).tolist()
+        top = int(np.searchsorted(size, size[hi - 1] * den // num, side="right"))
+        rows = np.stack([folded(sketch[order[i]], w) for i in range(lo, top)])
+        for i in range(lo, hi):
+            end = int(np.searchsorted(size, size[i] * den // num, side="right"))
+            others = np.flatnonzero(root[i + 1 : end] != root[i])
+            if not len(others):
+                continue
+            some = rows[i + 1 - lo : end - lo]
+            some = some if len(others) == len(some) else some[others]
+            others = others + i + 1
+            apart = np.bitwise_count(some ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
+            near = others[(den + num) * apart <= (den - num) * (size[others] + size[i])]
+            if len(near):
+                joined = np.append(np.unique(root[near]), root[i])
+                root[np.isin(root, joined)] = joined.min()
+    out = np.empty(len(n), np.int64)
+    out[order] = order[root]
+    return out.tolist()
 
 
 def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, n): rows with n >= 0 carry the set size of document a; the others join documents that share a part.
+    """(a, b, n, sketch): rows with n >= 0 carry the set size and the sketch of document a; the others join documents that
+    share a part.
 
     One pass over the texts. A task sends the parts of each different set that it meets once, under the first document
     with that set, and joins the others to it. Part rows are dealt by key and sorted; the first document of a key is
     joined with each other one, so a key of m documents makes m - 1 rows and is streamed, never held.
     """
-    ddl = "key long, doc long, other long, n int"
+    ddl = "key long, doc long, other long, n int, sketch binary"
     _, schema = arrow_schema(ddl)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +165,7 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 n = np.diff(bounds)
                 doc = ids.slice(a, len(some)).to_numpy(zero_copy_only=False)
                 valid = ~np.asarray(ids.slice(a, len(some)).is_null())
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(np.arange(len(n), dtype=np.uint64) + n.astype(np.uint64)).view(np.int64)), ids.slice(a, len(some)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(np.arange(len(n), dtype=np.uint64) + n.astype(np.uint64)).view(np.int64)), ids.slice(a, len(some)), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int32)), sketches(h, bounds)], schema=schema)
                 one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 full = np.flatnonzero(n)
                 with np.errstate(over="ignore"):
@@ -119,7 +181,7 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                             links.append((first, int(doc[i])))
                 if links:
                     x, y = np.array(links).T
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(y.astype(np.uint64)).view(np.int64)), pa.array(y), pa.array(x), pa.array(np.full(len(x), -2, np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed(y.astype(np.uint64)).view(np.int64)), pa.array(y), pa.array(x), pa.array(np.full(len(x), -2, np.int32)), pa.nulls(len(x), pa.binary())], schema=schema)
                 pick = np.flatnonzero(lead)
                 if not len(pick):
                     continue
@@ -128,21 +190,21 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 own = band(n[pick], num, den)
                 for up in (0, 1):
                     owner, key = part_keys(hh, sub, own, up, num, den)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[pick][owner].astype(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(np.full(len(key), -1, np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[pick][owner].astype(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(np.full(len(key), -1, np.int32)), pa.nulls(len(key), pa.binary())], schema=schema)
 
-    out_ddl = "a long, b long, n int"
+    out_ddl = "a long, b long, n int, sketch binary"
     _, out_schema = arrow_schema(out_ddl)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_doc = None, None
         sent: set[tuple[int, int]] = set()
         for batch in batches:
-            key, doc, other, n = (batch.column(i) for i in range(4))
+            key, doc, _, n, _ = batch.columns
             kind = n.to_numpy()
             passed = kind != -1
             if passed.any():
                 rows = batch.filter(pa.array(passed))
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3)], schema=out_schema)
+                yield pa.RecordBatch.from_arrays(rows.columns[1:], schema=out_schema)
             part = np.flatnonzero(~passed)
             if not len(part):
                 continue
@@ -159,13 +221,13 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sent |= pairs
             if pairs:
                 x, y = np.array(sorted(pairs)).T
-                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x), pa.array(np.full(len(x), -1, np.int32))], schema=out_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x), pa.array(np.full(len(x), -1, np.int32)), pa.nulls(len(x), pa.binary())], schema=out_schema)
 
     rows = docs.select("doc_id", "text").mapInArrow(sign, ddl)
     return materialize(clustered(rows, ["key"], ["n", "doc"]).mapInArrow(meet, out_ddl), "shared-parts")
 
 
-def tiles(members: DataFrame, tile: int, num: int, den: int) -> DataFrame:
+def tiles(members: DataFrame, tile: int, num: int, den: int, shingles: int = SHINGLES) -> DataFrame:
     """members(doc, cluster, n) with the tasks that compare them: t, a struct.
 
     A cluster of up to tile documents is one task. In larger ones a size band is dealt into tiles by a hash of the id, as few
@@ -180,7 +242,7 @@ def tiles(members: DataFrame, tile: int, num: int, den: int) -> DataFrame:
     large_ones = F.broadcast(large_ones) if few else large_ones
     whole = members.join(large_ones, "cluster", "left_anti").withColumn("t", F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     large = members.join(large_ones, "cluster")
-    per = large.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / (TILES * tile), F.sum("n") / (SHINGLES * tile))).cast("int").alias("here"))
+    per = large.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / (TILES * tile), F.sum("n") / (shingles * tile))).cast("int").alias("here"))
     w = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f: F.when(F.abs(f("band", 1).over(w) - F.col("band")) == 1, f("here", 1).over(w)).otherwise(0)
     per = per.withColumn("above", beside(F.lead)).withColumn("below", beside(F.lag))
@@ -236,8 +298,9 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for docs(doc_id, text): components of links of Jaccard similarity num / den at least.
 
-    Exact: no link between different sets is lost (see parts_of). Documents that share a part, directly or over others,
-    form clusters; only these are compared, in tiles. Null or empty texts have no shingles and link with nothing. Rows
+    Exact: no link between different sets is lost (see part_keys). Documents that share a part, directly or over others,
+    form clusters. Inside these, sketches are compared in tiles, which tells most documents of a cluster apart without
+    their sets; what sketches can't tell apart forms the clusters whose sets are compared, in tiles again. Null or empty texts have no shingles and link with nothing. Rows
     that share a doc_id are one document for linking; a row without doc_id links with nothing and its component is null.
     An empty table has no rows; other columns are ignored, whatever their names.
     """
@@ -246,6 +309,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
     met = candidate_edges(docs, shingle, num, den)
     clusters = components(met.where("n < 0 and b is not null"))
     members = met.where("n > 0").select(F.col("a").alias("doc"), "n").groupBy("doc").agg(F.max("n").alias("n")).join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    sketched = tiles(members, tile, num, den, SKETCHED).select("doc", F.col("cluster").alias("c"), "t.lo", "t.i", "t.j")
+    sketched = sketched.join(met.where("n > 0").select(F.col("a").alias("doc"), "n", "sketch"), "doc").select("c", "lo", "i", "j", "doc", "n", "sketch")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in streamed_groups(batches, ["c", "lo", "i", "j"]):
+            doc = group["doc"].to_pylist()
+            root = alike(group["n"].to_numpy(), group["sketch"].to_pylist(), num, den)
+            pairs = [(d, doc[r]) for d, r in zip(doc, root, strict=True) if doc[r] != d]
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    closer = components(clustered(sketched, ["c", "lo", "i", "j"], ["doc"]).mapInArrow(tell, "a long, b long"))
+    members = members.drop("cluster").join(closer.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
     dealt = materialize(tiles(members, tile, num, den), "tiles")
 
     ddl = "c long, lo long, i int, j int, doc long, h binary"

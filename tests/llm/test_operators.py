@@ -165,6 +165,56 @@ def test_every_linked_pair_shares_a_part():
             assert keys[0] & keys[1]
 
 
+def made_sets(rnd, n, num, den):
+    """A random set of n shingles at most, and one that links with it as far as chance allows."""
+    a = np.unique(rnd.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    drop = rnd.integers(0, (den - num) * len(a) // den + 1)
+    add = rnd.integers(0, max(1, (len(a) - drop) * den // num - len(a) + 1))
+    return a, np.unique(np.concatenate([rnd.permutation(a)[drop:], rnd.integers(0, 2**64 - 1, add, dtype=np.uint64)]))
+
+
+def similar(a, b, num, den):
+    same = len(np.intersect1d(a, b))
+    return len(b) > 0 and den * same >= num * (len(a) + len(b) - same)
+
+
+def keys_of(sets, num, den):
+    h, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    keys = [set() for _ in sets]
+    for up in (0, 1):
+        owner, key = ngram_join.part_keys(h, bounds, ngram_join.band(np.diff(bounds), num, den), up, num, den)
+        for o, x in zip(owner.tolist(), key.tolist(), strict=True):
+            keys[o].add(x)
+    return keys
+
+
+def test_linked_pairs_share_a_part_and_unlike_ones_with_a_common_phrase_none():
+    rnd = np.random.default_rng(5)
+    for num, den in ((80, 100), (85, 100), (50, 100)):
+        for n in (1, 3, 9, 30, 100, 400, 1000):
+            for _ in range(20):
+                a, b = made_sets(rnd, n, num, den)
+                if similar(a, b, num, den):
+                    x, y = keys_of([a, b], num, den)
+                    assert x & y
+    common = rnd.integers(0, 2**64 - 1, 10, dtype=np.uint64)
+    unlike = keys_of([np.unique(np.concatenate([common, rnd.integers(0, 2**64 - 1, 900, dtype=np.uint64)])) for _ in range(40)], 80, 100)
+    assert sum(bool(x & y) for i, x in enumerate(unlike) for y in unlike[:i]) < 0.02 * 40 * 39 / 2
+
+
+def test_sketches_lose_no_link_and_tell_unlike_sets_apart():
+    rnd = np.random.default_rng(6)
+    for num, den in ((80, 100), (85, 100), (30, 100)):
+        sets = [x for n in (1, 2, 5, 20, 63, 64, 65, 300, 1000, 3000) for _ in range(6) for x in made_sets(rnd, n, num, den) if len(x)]
+        sketch = ngram_join.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).to_pylist()
+        root = ngram_join.alike(np.array([len(x) for x in sets]), sketch, num, den)
+        assert all(root[i] == root[j] for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if similar(a, b, num, den))
+    apart = [np.unique(rnd.integers(0, 2**64 - 1, 500, dtype=np.uint64)) for _ in range(50)]
+    sketch = ngram_join.sketches(np.concatenate(apart), np.arange(51) * 500).to_pylist()
+    assert sum(map(len, sketch)) * 32 <= 50 * 500 * 8 * 2 and ngram_join.alike(np.full(50, 500), sketch, 80, 100) == list(range(50))
+    assert ngram_join.sketches(np.array([], np.uint64), np.array([0, 0])).null_count == 1
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
