@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, arrow_schema, materialize, mixed, slices, table, text_column
+from .common import MIX, arrow_schema, materialize, mixed, released, slices, table, text_column
 
 #: Bytes of context; a context and its symbol are one 64-bit key, a byte each: the nearest byte of context highest, the
 #: symbol lowest, so that sorted keys are a trie in order.
@@ -30,7 +30,7 @@ SPACE, END = 0x20, 0x0A
 SYMBOLS = 257 - 6 + 1  # bytes without white space, the space and the end
 #: Bytes of text of a block of documents, one at least, and of the parts of it that are counted, or scored, at once.
 BLOCK_BYTES = 20_000_000
-STEP, SCORED_STEP = 4_000_000, 500_000
+STEP, SCORED_STEP = 2_000_000, 500_000
 #: Context bytes by which keys are dealt, by hash, and bytes of text for each bucket of them (within bounds of their number).
 DEALT_BY = 3
 BUCKET_BYTES, BUCKETS = 4_000_000, (256, 16_384)
@@ -115,7 +115,7 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(keys, kind="stable")
     keys = keys[by]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n[by], first)
+    return keys[first], np.add.reduceat(n[by], first, dtype=n.dtype)
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +144,18 @@ def symbol_keys(x: np.ndarray, most: int = STEP) -> Iterator[tuple[np.ndarray, n
 
 
 def stream_counts(x: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys and their counts of a stream, of contexts and of words."""
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {KEYS: [], WORDS: []}
+    """Distinct keys and their counts of a stream, of contexts and of words. Parts are merged as they come, so a block's
+    memory follows its distinct keys, not the sum of its parts'."""
+    found = dict.fromkeys((KEYS, WORDS), (np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
+
+    def add(kind: int, keys: np.ndarray, n: np.ndarray) -> None:
+        found[kind] = summed(*map(np.concatenate, zip(found[kind], (keys, n.astype(np.uint32)), strict=True)))
+
     for _, part in portions(x):
-        found[KEYS] += [counted(keys) for _, keys in symbol_keys(part)]
-        found[WORDS].append(counted(word_keys(part)[0]))
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return {kind: summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else none for kind, parts in found.items()}
+        for _, keys in symbol_keys(part):
+            add(KEYS, *counted(keys))
+        add(WORDS, *counted(word_keys(part)[0]))
+    return found
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -215,7 +220,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             for out in (False, True):
                 x = stream([t for t, h in zip(texts, held.tolist(), strict=True) if h == out])
                 for kind, (k, n) in stream_counts(x).items():
-                    found[kind].append((k, np.zeros(len(k), np.int64) if out else n.astype(np.int64)))
+                    found[kind].append((k, np.zeros_like(n) if out else n))
                 streams.append(x.tobytes())
             of_doc = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held)})
             sink = pa.BufferOutputStream()
@@ -224,10 +229,10 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             sizes = np.array([len(streams[0]), len(streams[1])], "<u8").tobytes()
             yield rows_of([(block, TEXTS, 0, 0, len(ids), int((~held).sum()), 0, sink.getvalue().to_pybytes(), sizes + pa.compress(b"".join(streams), codec="zstd", asbytes=True))])
             del streams, texts
-            for kind, ((k0, n0), (k1, n1)) in found.items():
-                keys, n = summed(np.concatenate([k0, k1]), np.concatenate([n0, n1]))
+            for kind in list(found):
+                keys, n = summed(*map(np.concatenate, zip(*found.pop(kind), strict=True)))
                 if kind == KEYS:
-                    low, low_n = summed(suffix(keys, DEALT_BY - 1), n)
+                    low, low_n = summed(suffix(keys, DEALT_BY - 1), n.astype(np.int64))
                     yield rows_of([(block, LOW, 0, 0, len(low), 0, 0, packed(low), packed(low_n.astype(np.uint32)))])
                 bucket = bucket_of(keys, kind, buckets)
                 by = np.argsort(bucket, kind="stable")
@@ -236,7 +241,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 yield rows_of([(block, kind, i, 0, b - a, 0, 0, packed(keys[a:b]), packed(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a] or [(block, kind, 0, 0, 0, 0, 0, b"", b"")])
             block += 1
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ROW)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lambda it: released(run(it)), ROW)
 
 
 def suffix(keys: np.ndarray, order: int, of: int = ORDER) -> np.ndarray:
@@ -363,7 +368,7 @@ def model(made: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int) ->
             yield from told(*at, *summed(*map(np.concatenate, zip(*waiting, strict=True))), lower)
 
     rows = made.where(F.col("kind").isin(WORDS, KEYS)).select("kind", "bucket", "rows", "keys", "told")
-    return dealt(rows, ["kind", "bucket"], [], buckets // 8).mapInArrow(run, ROW)
+    return dealt(rows, ["kind", "bucket"], [], buckets // 8).mapInArrow(lambda it: released(run(it)), ROW)
 
 
 def answered(made: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
@@ -392,7 +397,7 @@ def answered(made: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
                 yield rows_of(out)
 
     asked = made.where(F.col("kind").isin(WORDS, KEYS)).withColumn("told", F.lit(None).cast("binary"))
-    return dealt(asked.unionByName(told), ["kind", "bucket"], ["block", "part"], buckets // 8).mapInArrow(run, ROW)
+    return dealt(asked.unionByName(told), ["kind", "bucket"], ["block", "part"], buckets // 8).mapInArrow(lambda it: released(run(it)), ROW)
 
 
 class Lookup:
@@ -492,7 +497,7 @@ def scored(docs: DataFrame) -> DataFrame:
                     parts[kind].append((unpacked(keys, rows, np.uint64), unpacked(told, rows, np.float64 if kind == WORDS else np.float32)))
 
     both = answered(made, told, buckets).unionByName(made.where(F.col("kind") == TEXTS))
-    return dealt(both, ["block"], ["kind"], int(size // BLOCK_BYTES)).mapInArrow(run, ddl)
+    return dealt(both, ["block"], ["kind"], int(size // BLOCK_BYTES)).mapInArrow(lambda it: released(run(it)), ddl)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, Tokens, arrow_schema, clustered, components, materialize, mixed, possibly_in, slices, streamed_groups, table, text_column, windows
+from .common import MIX, Tokens, arrow_schema, clustered, components, materialize, mixed, possibly_in, released, slices, streamed_groups, table, text_column, windows
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
@@ -223,8 +223,8 @@ def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 x, y = np.array(sorted(pairs)).T
                 yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x), pa.array(np.full(len(x), -1, np.int32)), pa.nulls(len(x), pa.binary())], schema=out_schema)
 
-    rows = docs.select("doc_id", "text").mapInArrow(sign, ddl)
-    return materialize(clustered(rows, ["key"], ["n", "doc"]).mapInArrow(meet, out_ddl), "shared-parts")
+    rows = docs.select("doc_id", "text").mapInArrow(lambda it: released(sign(it)), ddl)
+    return materialize(clustered(rows, ["key"], ["n", "doc"]).mapInArrow(lambda it: released(meet(it)), out_ddl), "shared-parts")
 
 
 def tiles(members: DataFrame, tile: int, num: int, den: int, shingles: int = SHINGLES) -> DataFrame:
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    closer = components(clustered(sketched, ["c", "lo", "i", "j"], ["doc"]).mapInArrow(tell, "a long, b long"))
+    closer = components(clustered(sketched, ["c", "lo", "i", "j"], ["doc"]).mapInArrow(lambda it: released(tell(it)), "a long, b long"))
     members = members.drop("cluster").join(closer.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
     dealt = materialize(tiles(members, tile, num, den), "tiles")
 
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f)) for f in schema.names[:-1]), hs], schema=schema)
 
     texts = possibly_in(docs, "doc_id", dealt.select(F.col("doc").alias("doc_id"))).join(dealt.withColumnRenamed("doc", "doc_id"), "doc_id")
-    rows = texts.select("text", F.col("cluster").alias("c"), "t.lo", "t.i", "t.j", F.col("doc_id").alias("doc")).mapInArrow(sets, ddl)
+    rows = texts.select("text", F.col("cluster").alias("c"), "t.lo", "t.i", "t.j", F.col("doc_id").alias("doc")).mapInArrow(lambda it: released(sets(it)), ddl)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in streamed_groups(batches, ["c", "lo", "i", "j"]):
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[i
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links = clustered(rows, ["c", "lo", "i", "j"], ["doc"]).mapInArrow(compare, "a long, b long")
+    links = clustered(rows, ["c", "lo", "i", "j"], ["doc"]).mapInArrow(lambda it: released(compare(it)), "a long, b long")
     found = components(links)
     sizes = met.where("n >= 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

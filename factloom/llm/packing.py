@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_schema, slices, table, text_column
+from .common import Tokens, arrow_schema, released, slices, table, text_column
 
 CAPACITY = 4096
 END_ID = 2
@@ -25,9 +25,9 @@ BLOCK = 1536
 #: of three or four large ones don't (padding 0.5 % against 7 %).
 PIECE = 512
 #: Runs of letters, digits or marks whose ids a worker remembers. A cache only: when full, it forgets those met once.
-CACHE = 600_000
+CACHE = 300_000
 #: Bytes of text that are split at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -278,7 +278,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         if rows:
             yield batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: released(run(it)), ddl)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,24 @@ def test_every_linked_pair_shares_a_part():
             assert keys[0] & keys[1]
 
 
+def test_lm_block_counts_merge_as_parts_come():
+    """Peak memory of a block's counts follows its distinct keys: parts that repeat don't add up."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(7)
+    text = b" ".join(b"w%d" % i for i in rnd.integers(0, 10**6, 60_000))
+    peak = []
+    for copies in (4, 16):
+        x = lm_score.stream([text] * copies)
+        tracemalloc.start()
+        found = lm_score.stream_counts(x)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found[lm_score.WORDS][1].sum() == 60_000 * copies and len(found[lm_score.WORDS][0]) == len(set(text.split()))
+        assert (np.diff(found[lm_score.KEYS][0].astype(object)) > 0).all() and found[lm_score.KEYS][1].sum() == copies * (len(text) + 2)
+    assert peak[1] < 1.5 * peak[0]
+
+
 def made_sets(rnd, n, num, den):
     """A random set of n shingles at most, and one that links with it as far as chance allows."""
     a = np.unique(rnd.integers(0, 2**64 - 1, n, dtype=np.uint64))
