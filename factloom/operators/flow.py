@@ -15,6 +15,7 @@ from ..functions.fixpoint import closure
 from ..functions.grouped import per_group, split_by_size
 from ..functions.store import materialize
 from . import control as C
+from . import graph as G
 
 #: Nodes and edges of a function that is solved in one pass.
 LARGE_FUNCTION = 4_000
@@ -124,6 +125,35 @@ def facts(nodes: DataFrame, edges: DataFrame, large: int = LARGE_FUNCTION) -> di
     return out
 
 
+def solve_loops(rows: list[tuple]) -> Iterator[tuple]:
+    """(head, node, null) of the loops' bodies and (head, src, dst) of the edges that leave them, of one function's edges."""
+    g = Graph([x for e in rows for x in e], rows)
+    number = {v: i for i, v in enumerate(g.names)}
+    for head in sorted({b for a, b in rows if b <= a}):
+        i = number[head]
+        ahead = g.onwards(i, g.all)
+        if not any(b == head and (a == b or a > b and ahead >> number[a] & 1) for a, b in rows):
+            continue
+        body = 1 << i | ahead & g.spread(g.pred[i], g.pred, g.all)
+        yield from ((head, g.names[j], None) for j in g.bits(body))
+        yield from ((head, g.names[j], g.names[k]) for j in g.bits(body) for k in g.bits(g.succ[j] & ~body))
+
+
+def loops(edges: DataFrame, exits: bool, large: int = LARGE_FUNCTION) -> DataFrame:
+    """graph.loop_bodies() or, with exits, graph.loop_exits() of edges(fn, src, dst), without a relation of all paths;
+    functions of more than large edges go that way."""
+    edges = edges.select("fn", "src", "dst").where("fn is not null and src is not null and dst is not null").distinct()
+    few, many = split_by_size(edges, ["fn"], large)
+    told = lambda df: per_group(df, ["fn"], lambda _, group: solve_loops(group), "fn long, head long, src long, dst long")
+    one = lambda df: told(df).where("dst is not null") if exits else told(df).where("dst is null").select("fn", "head", F.col("src").alias("node"))
+    if many is None:
+        return one(edges)
+    e = edges.join(many, "fn", "left_semi")
+    rest = G.loop_bodies(closure(e, ("fn",), "paths"), e)
+    rest = G.loop_exits(rest, e) if exits else rest
+    return rest if few is None else rest.unionByName(one(edges.join(few, "fn", "left_semi")))
+
+
 def solve_strong_closure(rows: list[tuple]) -> Iterator[tuple]:
     """(node,) of one function's closure, rows (node, null, seed) and (src, dst, null); by rounds as in strong_closure()."""
     g = Graph([a for a, b, _ in rows if b is None], [(a, b) for a, b, _ in rows if b is not None])

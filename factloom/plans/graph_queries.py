@@ -84,8 +84,8 @@ QUERIES = {
     "g11_split_calls": q(lambda i: G.split_calls(i.blocks, i.calls)),
     "g12_dominance_frontier": q(lambda i: C.dominance_frontier(i.edges, i.dom)),
     "g13_edge_kinds": q(lambda i: G.edge_kinds(i.edges, G.dfs(i.edges, i.nodes))),
-    "g14_loop_bodies": q(lambda i: G.loop_bodies(i.paths, i.edges)),
-    "g14_loop_exits": q(lambda i: G.loop_exits(G.loop_bodies(i.paths, i.edges), i.edges)),
+    "g14_loop_bodies": q(lambda i: W.loops(i.edges, exits=False)),
+    "g14_loop_exits": q(lambda i: W.loops(i.edges, exits=True)),
     "g15_invalid": q(lambda i: G.invalid(i.nodes, i.edges, i.reached)),
     "g17_statistics": q(lambda i: G.statistics(i.nodes, i.edges, i.blocks)),
     "g18_random_graph": lambda spark, sf: G.random_graph(spark, 50, 20, 30),

@@ -288,6 +288,15 @@ def test_pointer_shapes(spark):
     assert again.count() > 0 and mem.where("tgt = 101 and off = 0").count() == 1
 
 
+def test_loops_in_one_pass_equal_relations(spark, random_graphs):
+    _, _, _, e = random_graphs
+    bodies = G.loop_bodies(closure(e, ("fn",)), e)
+    for large in (4_000, 5, 0):
+        assert rows(W.loops(e, exits=False, large=large)) == rows(bodies)
+        assert rows(W.loops(e, exits=True, large=large)) == rows(G.loop_exits(bodies, e))
+    assert not W.loops(e.limit(0), exits=True).collect()
+
+
 def test_reaching_definitions_across_blocks(spark):
     sites = spark.createDataFrame([(1, 1, 1, "kill", 0, 0, 3), (1, 2, 2, "kill", 0, 2, 5), (1, 3, 3, "use", 0, 0, 7), (1, 3, 4, "def", 0, 0, 0), (1, 3, 5, "use", 0, 0, 0)], "fn long, node long, pos long, role string, obj long, lo long, hi long")
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3)], "fn long, src long, dst long")
