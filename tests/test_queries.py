@@ -297,6 +297,26 @@ def test_loops_in_one_pass_equal_relations(spark, random_graphs):
     assert not W.loops(e.limit(0), exits=True).collect()
 
 
+def test_reaching_definitions_in_one_pass_equal_rounds(spark, random_graphs):
+    _, _, n, e = random_graphs
+    rnd = random.Random(8)
+    sites = []
+    for fn, node in sorted((r.fn, r.node) for r in n.collect()):
+        for i in range(rnd.randint(1, 5)):
+            lo = rnd.randint(0, 9)
+            sites.append((fn, node, 10 * node + i, rnd.choice(["def", "kill", "use"]), rnd.randint(0, 1), lo, rnd.choice([None, lo, lo + 3, lo - 1])))
+            if rnd.random() < 0.3:  # one position may touch several objects
+                sites.append((*sites[-1][:3], rnd.choice(["def", "kill", "use"]), rnd.randint(0, 1), lo, lo + 2))
+    s = spark.createDataFrame(sites, "fn long, node long, pos long, role string, obj long, lo long, hi long").cache()
+    reads = s.where("role = 'use'").select("fn", "node", "pos").distinct()
+    want, wide = rows(M.reaching_in_rounds(s, e)), rows(M.unknown_reads_in_rounds(s, e, reads))
+    assert len(want) > 100
+    for large in (2_000, 12, 0):
+        assert rows(M.reaching(s, e, large=large)) == want
+        assert rows(M.unknown_reads(s, e, reads, large=large)) == wide
+    assert not M.reaching(s.limit(0), e.limit(0)).collect()
+
+
 def test_reaching_definitions_across_blocks(spark):
     sites = spark.createDataFrame([(1, 1, 1, "kill", 0, 0, 3), (1, 2, 2, "kill", 0, 2, 5), (1, 3, 3, "use", 0, 0, 7), (1, 3, 4, "def", 0, 0, 0), (1, 3, 5, "use", 0, 0, 0)], "fn long, node long, pos long, role string, obj long, lo long, hi long")
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3)], "fn long, src long, dst long")
