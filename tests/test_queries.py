@@ -384,3 +384,18 @@ def test_modref_covers_every_object(spark):
         todo += [(c, new) for c in callers.get(fn, ()) if new]
     got = {tuple(r) for r in catalog.QUERIES["m12_modref"](spark, SMALL).select("fn", "role", "obj", "lo", "hi").collect()}
     assert got == {(fn, *x) for fn, facts in want.items() for x in facts} and len({x[2] for x in got}) == 6
+
+
+def test_call_graph_tells_each_function_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "PACK", 3)
+    monkeypatch.setattr(D, "CALLS_DEALT", 2)
+    rnd = random.Random(5)
+    direct = [(rnd.randint(1, 6), rnd.randint(1, 4), rnd.randint(1, 9)) for _ in range(12)]
+    ptr = [(rnd.randint(1, 6), rnd.randint(1, 4), n, rnd.choice([1, 3])) for n in range(25)] + [(1, 1, 7, 1), (1, 1, 7, 1), (1, 1, 8, 3)]
+    pt = [(n, rnd.randint(1, 40)) for n in range(0, 25, 3)]
+    taken = [(fn, rnd.choice([0, 1, 3])) for fn in range(1, 40, 2)] + [(3, 1), (3, 3), (3, 3)]
+    known = {(c, p, t) for c, p, n, _ in ptr for m, t in pt if m == n and t in {fn for fn, _ in taken}}
+    found = {(c, p) for c, p, _ in known}
+    want = set(direct) | known | {(c, p, fn) for c, p, _, k in ptr if (c, p) not in found for fn, j in taken if j == k}
+    df = D.call_graph(spark.createDataFrame(direct, "caller long, call long, callee long"), spark.createDataFrame(ptr, "caller long, call long, n long, n_args long"), spark.createDataFrame(pt, "n long, tgt long"), spark.createDataFrame(taken, "fn long, n_args long"))
+    assert sorted(map(tuple, df.select("caller", "call", "callee").collect())) == sorted(want)
