@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.carried import LARGE_GRAPH, carried
 from ..functions.fixpoint import fixpoint
 from ..functions.grouped import per_group, split_by_size
+from ..functions.store import materialize
 from . import intervals as I  # noqa: E741
 
 #: Sites and edges of a function whose reaching definitions are solved in one pass, and bits of a lot of its objects.
@@ -256,22 +258,45 @@ def unknown_reads_in_rounds(sites: DataFrame, edges: DataFrame, reads: DataFrame
     return far.unionByName(near).distinct()
 
 
-def modref(sites: DataFrame, calls: DataFrame, escaping: DataFrame) -> DataFrame:
+def own_effects(sites: DataFrame, escaping: DataFrame) -> DataFrame:
+    """(fn, role, obj, lo, hi): what functions themselves may write and read of escaping(obj)."""
+    return sites.join(escaping, "obj", "left_semi").select("fn", F.when(F.col("role") == "use", "ref").otherwise("mod").alias("role"), "obj", "lo", "hi")
+
+
+def modref(sites: DataFrame, calls: DataFrame, escaping: DataFrame, large: int = LARGE_GRAPH) -> DataFrame:
     """(fn, role, obj, lo, hi): what a function and those it calls may write and read of the objects that others can see,
-    escaping(obj); calls(caller, call, callee)."""
-    own = sites.join(escaping, "obj", "left_semi").select("fn", F.when(F.col("role") == "use", "ref").otherwise("mod").alias("role"), "obj", "lo", "hi").distinct()
-    edge = calls.select(F.col("callee").alias("fn"), "caller").distinct()
+    escaping(obj); calls(caller, call, callee). Effects are carried to callers a lot at a time, each lot by a task that holds
+    the call graph; one of more than large edges goes through rounds."""
+    own = materialize(own_effects(sites, escaping).distinct(), "own-effects")
+    edge = materialize(calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct(), "callers")
+    if edge.count() > large:
+        return modref_in_rounds(own, edge)
+    return carried(own.withColumnRenamed("fn", "node"), edge, ["role", "obj", "lo", "hi"]).withColumnRenamed("node", "fn")
+
+
+def modref_in_rounds(own: DataFrame, edge: DataFrame) -> DataFrame:
+    """modref() of own effects along edges from callee to caller, by rounds over relations."""
 
     def step(front: DataFrame) -> DataFrame:
-        return front.join(edge, "fn").select(F.col("caller").alias("fn"), "role", "obj", "lo", "hi")
+        return front.join(edge, F.col("fn") == F.col("src")).select(F.col("dst").alias("fn"), "role", "obj", "lo", "hi")
 
     return fixpoint(own, step, "modref", hops=1)
 
 
+def modref_hulls(sites: DataFrame, calls: DataFrame, escaping: DataFrame, large: int = LARGE_GRAPH) -> DataFrame:
+    """(fn, role, obj, lo, hi): the hull of modref()'s rows of an object, without those rows."""
+    own = own_effects(sites, escaping).groupBy("fn", "role", "obj").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = materialize(own, "own-hulls")
+    edge = materialize(calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct(), "callers")
+    if edge.count() > large:
+        return modref_in_rounds(own, edge).groupBy("fn", "role", "obj").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return carried(own.withColumnRenamed("fn", "node"), edge, ["role", "obj"], ["lo", "hi"]).withColumnRenamed("node", "fn")
+
+
 def call_effects(effects: DataFrame, calls: DataFrame, after: int) -> DataFrame:
-    """(fn, node, pos, role, obj, lo, hi): what calls(caller, call, callee) may do where they stand, from modref()'s rows: one
-    may-write and one use an object, over all its bytes that the called function touches. pos is after plus the node, so
-    a call comes behind the statements of its block."""
+    """(fn, node, pos, role, obj, lo, hi): what calls(caller, call, callee) may do where they stand, from the rows of modref()
+    or modref_hulls(): one may-write and one use an object, over all its bytes that the called function touches. pos is after
+    plus the node, so a call comes behind the statements of its block."""
     hull = effects.groupBy("fn", "role", "obj").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     at = hull.withColumnRenamed("fn", "callee").join(calls.select("caller", "call", "callee").distinct(), "callee")
     role = F.when(F.col("role") == "mod", "def").otherwise("use")
@@ -282,7 +307,7 @@ def call_effects(effects: DataFrame, calls: DataFrame, after: int) -> DataFrame:
 def reaching_over_calls(sites: DataFrame, edges: DataFrame, calls: DataFrame, escaping: DataFrame, after: int) -> DataFrame:
     """reaching() of a program whose calls write and read what the functions they call do: (fn, use, def), positions of at
     least after being calls."""
-    done = call_effects(modref(sites, calls, escaping), calls, after)
+    done = call_effects(modref_hulls(sites, calls, escaping), calls, after)
     return reaching(sites.select(done.columns).unionByName(done), edges)
 
 

@@ -25,7 +25,7 @@ class Inputs(graph_queries.Inputs):
     criteria = property(lambda s: s.nodes.where(CRITERIA).select("fn", "node"))
     use = property(lambda s: s.typed.where("etype = 'use'").select("fn", "src", "dst"))
 
-    effects = property(lambda s: s.keep("effects", lambda: M.modref(s.fact("mem_site"), s.calls, s.fact("mem_site").select("obj").distinct())))
+    effect_hulls = property(lambda s: s.keep("effect-hulls", lambda: M.modref_hulls(s.fact("mem_site"), s.calls, s.fact("mem_site").select("obj").distinct())))
 
     def fact(self, name: str) -> DataFrame:
         return fact(self.spark, self.sf, name)
@@ -132,7 +132,7 @@ QUERIES = {
     "s20_system_graph": q(lambda i: i.system),
     "s17_module_statistics": q(lambda i: D.module_statistics(i.nodes, i.edges, i.calls, 1)),
     "g16_invalid_dependences": q(lambda i: D.invalid_dependences(i.nodes, i.dep, i.scd)),
-    "m07_call_effects": q(lambda i: M.call_effects(i.effects, i.calls, AFTER)),
+    "m07_call_effects": q(lambda i: M.call_effects(i.effect_hulls, i.calls, AFTER)),
     "m13_reaching_over_calls": q(lambda i: M.reaching_over_calls(i.fact("mem_site"), i.edges, i.calls, i.fact("mem_site").select("obj").distinct(), AFTER)),
     "m15_unknown_writes": q(lambda i: M.unknown_writes(i.fact("mem_site"), i.edges, i.fact("mem_site").where("role = 'def'").select("fn", "node", "pos").distinct())),
     "m18_summary": q(lambda i: M.summary(i.fact("mem_site"))),

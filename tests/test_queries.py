@@ -399,3 +399,16 @@ def test_call_graph_tells_each_function_once(spark, monkeypatch):
     want = set(direct) | known | {(c, p, fn) for c, p, _, k in ptr if (c, p) not in found for fn, j in taken if j == k}
     df = D.call_graph(spark.createDataFrame(direct, "caller long, call long, callee long"), spark.createDataFrame(ptr, "caller long, call long, n long, n_args long"), spark.createDataFrame(pt, "n long, tgt long"), spark.createDataFrame(taken, "fn long, n_args long"))
     assert sorted(map(tuple, df.select("caller", "call", "callee").collect())) == sorted(want)
+
+
+def test_effects_carried_to_callers_equal_rounds(spark):
+    rnd = random.Random(8)
+    sites = [(rnd.choice([*range(30), None]), 1, i, rnd.choice(["def", "kill", "use"]), rnd.randint(0, 5), rnd.choice([None, rnd.randint(0, 60)]), rnd.choice([None, rnd.randint(60, 99)])) for i in range(150)]
+    calls = [(rnd.choice([*range(40), None]), i, rnd.choice([*range(40), None])) for i in range(60)] + [(40 + i + 1, 1, 40 + i) for i in range(5)] + [(40, 1, 0), (3, 1, 3)]
+    s, c = spark.createDataFrame(sites, "fn long, node long, pos long, role string, obj long, lo long, hi long"), spark.createDataFrame(calls, "caller long, call long, callee long")
+    for escaping in (spark.range(5), spark.range(0)):
+        escaping = escaping.withColumnRenamed("id", "obj")
+        got = rows(M.modref(s, c, escaping))
+        assert len(got) == len(set(got)) and got == rows(M.modref(s, c, escaping, large=0))
+        assert rows(M.modref_hulls(s, c, escaping)) == rows(M.modref_hulls(s, c, escaping, large=0))
+    assert not got
