@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import fixpoint, reach
+from ..functions.grouped import LARGE, per_group, split_by_size
 from ..functions.store import materialize
 
 FN = ("fn",)
@@ -20,16 +23,80 @@ def dependence_graph(use: DataFrame, data: DataFrame, control: DataFrame, interf
     return out.distinct()
 
 
-def backward_slice(dep: DataFrame, criteria: DataFrame, entry: int = 1) -> DataFrame:
-    """(fn, criterion, node): everything that criteria(fn, node) depend on, and the entry of each function touched."""
+def onwards(start: set, succ: dict[int, set]) -> set:
+    """start and what it leads to."""
+    seen, work = set(start), list(start)
+    while work:
+        for x in succ.get(work.pop(), ()):
+            if x not in seen:
+                seen.add(x)
+                work.append(x)
+    return seen
+
+
+def by_function(edges: DataFrame, criteria: DataFrame, solve, names: tuple[str, ...], rounds, large: int) -> DataFrame:
+    """(fn, names) of solve(edges, criteria), pairs (src, dst) and a set of nodes, where a function's edges and criteria meet;
+    functions of more than large rows go through rounds(edges, criteria). Criteria without a function reach themselves."""
+    none = F.lit(None).cast("long")
+    rows = criteria.select("fn", F.col("node").alias("src"), none.alias("dst"), F.lit(True).alias("asked")).unionByName(edges.where("fn IS NOT NULL").select("fn", "src", "dst", F.lit(False).alias("asked")))
+
+    def solved(_, group: list[tuple]) -> Iterator[tuple]:
+        wanted = {a for a, _, asked in group if asked}
+        if wanted:
+            yield from solve([(a, b) for a, b, asked in group if not asked], wanted)
+
+    few, many = split_by_size(rows, ["fn"], large)
+    one = lambda df: per_group(df, ["fn"], solved, "fn long, " + ", ".join(f"{n} long" for n in names))
+    if many is None:
+        return one(rows)
+    # null counts as a function here
+    mine = lambda df, keys: df.alias("d").join(keys.alias("k"), F.col("d.fn").eqNullSafe(F.col("k.fn")), "left_semi")
+    rest = rounds(mine(edges, many), mine(criteria, many)).select("fn", *names)
+    return rest if few is None else rest.unionByName(one(mine(rows, few)))
+
+
+def backward_slice(dep: DataFrame, criteria: DataFrame, entry: int = 1, large: int = LARGE) -> DataFrame:
+    """(fn, criterion, node): everything that criteria(fn, node) depend on, and the entry of each function touched. Functions of
+    up to large edges and criteria are solved where their rows meet."""
+
+    def solve(edges: list[tuple], wanted: set) -> Iterator[tuple]:
+        back: dict[int, set] = {}
+        for a, b in edges:
+            if b is not None:
+                back.setdefault(b, set()).add(a)
+        for c in wanted:
+            yield from ((c, n) for n in onwards({c}, back) | {entry})
+
+    return by_function(dep, criteria, solve, ("criterion", "node"), lambda d, c: backward_in_rounds(d, c, entry), large)
+
+
+def backward_in_rounds(dep: DataFrame, criteria: DataFrame, entry: int) -> DataFrame:
+    """backward_slice() by rounds over all functions."""
     back = dep.select("fn", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     seeds = criteria.select("fn", F.col("node").alias("criterion"), "node")
     marked = reach(back, seeds, FN)
     return marked.unionByName(criteria.select("fn", F.col("node").alias("criterion"), F.lit(entry).cast("long").alias("node"))).distinct()
 
 
-def forward_slice(dep: DataFrame, criteria: DataFrame, entry: int = 1) -> DataFrame:
-    """(fn, node): everything that depends on criteria, and what that needs to run: a backward slice from all of it."""
+def forward_slice(dep: DataFrame, criteria: DataFrame, entry: int = 1, large: int = LARGE) -> DataFrame:
+    """(fn, node): everything that depends on criteria, and what that needs to run: a backward slice from all of it. Functions
+    of up to large edges and criteria are solved where their rows meet."""
+
+    def solve(edges: list[tuple], wanted: set) -> Iterator[tuple]:
+        succ: dict[int, set] = {}
+        back: dict[int, set] = {}
+        for a, b in edges:
+            if a is not None:
+                succ.setdefault(a, set()).add(b)
+            if b is not None:
+                back.setdefault(b, set()).add(a)
+        yield from ((n,) for n in onwards(onwards(wanted, succ), back) | {entry})
+
+    return by_function(dep, criteria, solve, ("node",), lambda d, c: forward_in_rounds(d, c, entry), large)
+
+
+def forward_in_rounds(dep: DataFrame, criteria: DataFrame, entry: int) -> DataFrame:
+    """forward_slice() by rounds over all functions."""
     hit = reach(dep.select("fn", "src", "dst").distinct(), criteria.select("fn", "node"), FN)
     back = dep.select("fn", F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     need = reach(back, hit, FN)
@@ -48,9 +115,25 @@ def slice_statistics(bbs: DataFrame, marked: DataFrame) -> DataFrame:
     return per.groupBy("fn").agg(F.sum("n").alias("nodes_total"), F.sum(F.col("n") - F.col("k")).alias("nodes_removed"), F.sum((F.col("k") == 0).cast("long")).alias("blocks_removed"))
 
 
-def repaired(edges: DataFrame, marked: DataFrame) -> DataFrame:
+def repaired(edges: DataFrame, marked: DataFrame, large: int = LARGE) -> DataFrame:
     """(fn, src, dst): control flow between kept nodes: over removed ones to the first kept; an edge that finds none goes to a
-    safe exit, node 0. Equal successors collapse."""
+    safe exit, node 0. Equal successors collapse. Functions of up to large edges and kept nodes are solved where these meet."""
+
+    def solve(pairs: list[tuple], kept: set) -> Iterator[tuple]:
+        succ: dict[int, set] = {}
+        for a, b in pairs:
+            if a is not None:
+                succ.setdefault(a, set()).add(b)
+        gone = {a: to for a, to in succ.items() if a not in kept}
+        for a in succ.keys() & kept:
+            to = {b for b in onwards(succ[a], gone) if b in kept and b is not None and b != a}
+            yield from ((a, b) for b in to or {0})
+
+    return by_function(edges, marked.select("fn", "node").distinct(), solve, ("src", "dst"), repaired_in_rounds, large)
+
+
+def repaired_in_rounds(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """repaired() by rounds over all functions."""
     kept = marked.select("fn", "node").distinct()
     gone_src = edges.join(kept.withColumnRenamed("node", "src"), ["fn", "src"], "left_anti")
     start = edges.join(kept.withColumnRenamed("node", "src"), ["fn", "src"], "left_semi").select("fn", "src", "dst")

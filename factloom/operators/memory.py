@@ -204,8 +204,17 @@ def solve_flow(rows: list[tuple]) -> Iterator[tuple]:
         yield from ((use, d) for d in defs)
 
 
-def by_function(sites: DataFrame, edges: DataFrame, reads: DataFrame | None, rounds: Callable[..., DataFrame], large: int) -> DataFrame:
-    """(fn, use, def) of solve_flow() where a function's rows meet; functions of more than large rows go through rounds."""
+def solve_nodes(rows: list[tuple]) -> Iterator[tuple]:
+    """(src, dst), each once: solve_flow()'s defs and uses by the nodes that they stand at."""
+    at: dict[int, set[int]] = {}
+    for node, pos, role, *_ in rows:
+        if role is not None and pos is not None:
+            at.setdefault(pos, set()).add(node)
+    yield from {(src, dst) for use, d in solve_flow(rows) for src in at[d] for dst in at[use]}
+
+
+def by_function(sites: DataFrame, edges: DataFrame, reads: DataFrame | None, rounds: Callable[..., DataFrame], large: int, solve: Callable[[list[tuple]], Iterator[tuple]] = solve_flow, names: tuple[str, str] = ("use", "def")) -> DataFrame:
+    """(fn, names) of solve() where a function's rows meet; functions of more than large rows go through rounds."""
     none = lambda kind: F.lit(None).cast(kind)
     rows = sites.select("fn", "node", "pos", "role", "obj", "lo", F.coalesce("hi", F.lit(I.MAX)).alias("hi"), none("long").alias("dst"))
     if reads is not None:
@@ -213,7 +222,7 @@ def by_function(sites: DataFrame, edges: DataFrame, reads: DataFrame | None, rou
     rows = rows.unionByName(edges.select("fn", F.col("src").alias("node"), none("long").alias("pos"), none("string").alias("role"), *[none("long").alias(c) for c in ("obj", "lo", "hi")], "dst").distinct())
     rows = rows.where("fn is not null")
     few, many = split_by_size(rows, ["fn"], large)
-    one = lambda df: per_group(df, ["fn"], lambda _, group: solve_flow(group), "fn long, use long, def long")
+    one = lambda df: per_group(df, ["fn"], lambda _, group: solve(group), f"fn long, {names[0]} long, {names[1]} long")
     if many is None:
         return one(rows)
     mine = lambda df: df.join(many, "fn", "left_semi")
@@ -244,6 +253,17 @@ def reaching_in_rounds(sites: DataFrame, edges: DataFrame) -> DataFrame:
     return local.unionByName(outer).distinct()
 
 
+def data_edges(sites: DataFrame, edges: DataFrame, large: int = LARGE_FLOW) -> DataFrame:
+    """(fn, src, dst): the nodes of the writes that reach a node's reads, reaching() with nodes for positions."""
+
+    def rounds(sites: DataFrame, edges: DataFrame) -> DataFrame:
+        at = sites.select("fn", "pos", "node").distinct()
+        r = reaching_in_rounds(sites, edges)
+        return r.join(at.select("fn", F.col("pos").alias("def"), F.col("node").alias("src")), ["fn", "def"]).join(at.select("fn", F.col("pos").alias("use"), F.col("node").alias("dst")), ["fn", "use"]).select("fn", "src", "dst").distinct()
+
+    return by_function(sites, edges, None, rounds, large, solve_nodes, ("src", "dst"))
+
+
 def unknown_reads(sites: DataFrame, edges: DataFrame, reads: DataFrame, large: int = LARGE_FLOW) -> DataFrame:
     """(fn, use, def): for reads of unknown memory, reads(fn, node, pos), every write that may come before them."""
     return by_function(sites, edges, reads, unknown_reads_in_rounds, large)

@@ -39,7 +39,7 @@ class Inputs:
 
     paths = property(lambda s: s.flow_fact("path"))
     avoid = property(lambda s: s.flow_fact("avoid"))
-    pdom = property(lambda s: s.flow_fact("pdom"))
+    pdom = property(lambda s: s.keep("pdom", lambda: W.post_dominators(s.nodes, s.edges)))
     dod = property(lambda s: s.flow_fact("dod"))
     scc = property(lambda s: s.keep("scc", lambda: G.scc(s.nodes, s.paths)))
     blocks = property(lambda s: s.keep("blocks", lambda: G.blocks(s.nodes, s.edges)))

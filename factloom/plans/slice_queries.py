@@ -30,16 +30,8 @@ class Inputs(graph_queries.Inputs):
     def fact(self, name: str) -> DataFrame:
         return fact(self.spark, self.sf, name)
 
-    @property
-    def data(self) -> DataFrame:
-        """Data dependence between nodes: of the writes that reach their reads."""
-        def make() -> DataFrame:
-            sites = self.fact("mem_site")
-            at = sites.select("fn", "pos", "node").distinct()
-            r = M.reaching(sites, self.edges)
-            return r.join(at.select("fn", F.col("pos").alias("def"), F.col("node").alias("src")), ["fn", "def"]).join(at.select("fn", F.col("pos").alias("use"), F.col("node").alias("dst")), ["fn", "use"]).select("fn", "src", "dst").distinct()
-        return self.keep("data", make)
-
+    #: Data dependence between nodes: of the writes that reach their reads.
+    data = property(lambda s: s.keep("data", lambda: M.data_edges(s.fact("mem_site"), s.edges)))
     dep = property(lambda s: s.keep("dep", lambda: D.dependence_graph(s.use, s.data, s.scd)))
     back = property(lambda s: s.keep("slice", lambda: D.backward_slice(s.dep, s.criteria)))
     tnode, tedge = property(lambda s: s.fact("thread_event")), property(lambda s: s.fact("thread_edge"))

@@ -412,3 +412,22 @@ def test_effects_carried_to_callers_equal_rounds(spark):
         assert len(got) == len(set(got)) and got == rows(M.modref(s, c, escaping, large=0))
         assert rows(M.modref_hulls(s, c, escaping)) == rows(M.modref_hulls(s, c, escaping, large=0))
     assert not got
+
+
+def test_slices_in_one_pass_equal_rounds(spark, random_graphs):
+    nodes, edges, n, e = random_graphs
+    odd = spark.createDataFrame([(0, None, 2), (0, 2, None), (None, 1, 2), (900, 1, 2)], e.schema)
+    dep = e.unionByName(e).unionByName(odd)
+    criteria = n.where("fn % 3 > 0 AND node % 2 = 0").unionByName(spark.createDataFrame([(None, 4), (901, 7), (0, 2), (0, 2)], n.schema))
+    for one in (D.backward_slice, D.forward_slice, D.repaired):
+        got = rows(one(dep, criteria))
+        assert got and len(got) == len(set(got)) and got == rows(one(dep, criteria, large=12)), one
+
+
+def test_data_edges_and_post_dominators_in_one_pass_equal_rounds(spark, random_graphs):
+    nodes, edges, n, e = random_graphs
+    rnd = random.Random(4)
+    sites = spark.createDataFrame([(fn, rnd.choice(nodes[fn]), pos, rnd.choice(["def", "kill", "use"]), rnd.randint(0, 2), lo := rnd.randint(0, 4), lo + 3) for fn in nodes for pos in range(12)], "fn long, node long, pos long, role string, obj long, lo long, hi long")
+    got = rows(M.data_edges(sites, e))
+    assert got and got == rows(M.data_edges(sites, e, large=0))
+    assert rows(W.post_dominators(n, e)) == rows(W.facts(n, e)["pdom"]) == rows(W.post_dominators(n, e, large=0))
