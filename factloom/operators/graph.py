@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import closure, fixpoint, reach
+from ..functions.grouped import LARGE, per_group, split_by_size
+from ..functions.store import materialize
 
 FN = ("fn",)
 
@@ -91,15 +93,42 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(pred, ["fn", "node"], "left").join(after, ["fn", "node"], "left").where("node = 1 OR coalesce(n_in, 0) <> 1 OR after").select("fn", "node")
 
 
-def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def solve_blocks(rows: list[tuple]) -> Iterator[tuple]:
+    """(node, leader) of a function, rows (leader, null) and (node, the one before it in its block)."""
+    up = {node: before for node, before in rows if before is not None}
+    block = {node: node for node, before in rows if before is None}
+    for node in up:
+        way = []
+        while node is not None and node not in block:
+            way.append(node)
+            block[node] = None  # a circle without a leader is no block
+            node = up.get(node)
+        for x in way:
+            block[x] = block.get(node)
+    yield from ((node, leader) for node, leader in block.items() if leader is not None)
+
+
+def blocks(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
     """(fn, node, bb): the block of each node, named by its leader. Within a block every node has one predecessor, so
-    each node points to one node at most and blocks are found by doubling those pointers."""
-    lead = leaders(nodes, edges).select("fn", "node", F.lit(True).alias("first"))
-    inner = nodes.select("fn", "node").join(lead, ["fn", "node"], "left").where("first is null").select("fn", F.col("node").alias("dst"))
-    up = edges.join(inner, ["fn", "dst"]).select("fn", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    back = closure(up, FN, "blocks")
-    inside = back.join(lead.select("fn", F.col("node").alias("dst")), ["fn", "dst"]).select("fn", F.col("src").alias("node"), F.col("dst").alias("bb"))
-    return inside.unionByName(lead.select("fn", "node", F.col("node").alias("bb")))
+    each node points to one node at most: blocks are found where a function's pointers meet, or, in functions of more than
+    large nodes, by doubling them."""
+    lead = leaders(nodes, edges).select("fn", "node")
+    first = lead.withColumn("first", F.lit(True))
+    inner = nodes.select("fn", "node").join(first, ["fn", "node"], "left").where("first is null").select("fn", F.col("node").alias("dst"))
+    up = edges.join(inner, ["fn", "dst"]).select("fn", F.col("dst").alias("src"), F.col("src").alias("dst")).where("dst IS NOT NULL")
+    rows = materialize(up.unionByName(lead.select("fn", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"))), "block-pointers")
+    odd = rows.where("fn IS NULL OR src IS NULL").select("fn", F.col("src").alias("node"), F.col("src").alias("bb"))
+    rows = rows.where("fn IS NOT NULL AND src IS NOT NULL")
+    few, many = split_by_size(rows, FN, large)
+    one = lambda df: per_group(df, FN, lambda _, group: solve_blocks(group), "fn long, node long, bb long").unionByName(odd)
+    if many is None:
+        return one(rows)
+    mine = rows.join(many, "fn", "left_semi")
+    back = closure(mine.where("dst IS NOT NULL"), FN, "blocks")
+    leader = mine.where("dst IS NULL").select("fn", F.col("src").alias("node"), F.col("src").alias("bb"))
+    inside = back.join(leader.select("fn", F.col("bb").alias("dst")), ["fn", "dst"]).select("fn", F.col("src").alias("node"), F.col("dst").alias("bb"))
+    rest = inside.unionByName(leader)
+    return rest.unionByName(odd) if few is None else rest.unionByName(one(rows.join(few, "fn", "left_semi")))
 
 
 def split_calls(bbs: DataFrame, calls: DataFrame) -> DataFrame:

@@ -431,3 +431,13 @@ def test_data_edges_and_post_dominators_in_one_pass_equal_rounds(spark, random_g
     got = rows(M.data_edges(sites, e))
     assert got and got == rows(M.data_edges(sites, e, large=0))
     assert rows(W.post_dominators(n, e)) == rows(W.facts(n, e)["pdom"]) == rows(W.post_dominators(n, e, large=0))
+
+
+def test_blocks_in_one_pass_equal_doubling(spark, random_graphs):
+    _, _, n, e = random_graphs
+    n, e = n.where("fn < 15"), e.where("fn < 15")
+    ring = [(99, 1, 2), (99, 3, 4), (99, 4, 3), (99, 2, 5), (99, 5, 6), (99, 8, 7)]
+    e = e.unionByName(spark.createDataFrame(ring, e.schema))
+    n = n.unionByName(spark.createDataFrame([(99, i) for i in range(1, 8)], n.schema))
+    got = rows(G.blocks(n, e))
+    assert got == rows(G.blocks(n, e, large=4)) and [(b, v) for b, f, v in got if f == 99] == [(1, 1), (1, 2), (1, 5), (1, 6)]
