@@ -3,10 +3,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import closure, fixpoint
+from ..functions.grouped import per_group, split_by_size
 
 #: Functions of the thread library and what a call of one is.
 LIBRARY = {"pthread_create": "FORK", "pthread_join": "JOIN", "pthread_exit": "EXIT", "pthread_mutex_lock": "LOCK", "pthread_mutex_unlock": "UNLOCK"}
@@ -64,6 +67,48 @@ def critical_sections(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return fixpoint(seeds, step, "sections", hops=3)
 
 
+def solve_parallel(rows: list[tuple]) -> Iterator[tuple]:
+    """(r1, r2) of one module, each once, rows (region, null) and edges (src, dst): neither comes before the other."""
+    number = {r: i for i, r in enumerate(sorted({x for row in rows for x in row if x is not None}))}
+    names = list(number)
+    succ = [0] * len(names)
+    for a, b in rows:
+        if a is not None and b is not None:
+            succ[number[a]] |= 1 << number[b]
+    after = []
+    for direct in succ:
+        seen = new = direct
+        while new:
+            low = new & -new
+            more = succ[low.bit_length() - 1] & ~seen
+            seen |= more
+            new = new ^ low | more
+        after.append(seen)
+    asked = sorted({a for a, b in rows if b is None and a is not None})
+    for i, r1 in enumerate(asked):
+        mine, at = after[number[r1]], number[r1]
+        yield from ((r1, r2) for r2 in asked[i + 1 :] if not (mine >> number[r2] & 1 or after[number[r2]] >> at & 1))
+
+
+#: Regions and edges of a module that a task solves at once; one that has more goes by relations.
+LARGE_MODULE = 4_000
+
+
+def parallel_by_edges(region: DataFrame, edges: DataFrame, large: int = LARGE_MODULE) -> DataFrame:
+    """parallel(region, order) of region_edges() whose closure is the order: each module's regions and edges meet, so that
+    neither the order nor all pairs are tables. Modules of more than large of them go that way."""
+    r = region.select("module", F.col("region").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+    e = edges.select("module", F.col("src_region").alias("a"), F.col("dst_region").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    rows = r.unionByName(e).where("module IS NOT NULL")
+    few, many = split_by_size(rows, MODULE, large)
+    one = lambda df: per_group(df, MODULE, lambda _, group: solve_parallel(group), "module long, r1 long, r2 long")
+    if many is None:
+        return one(rows)
+    mine = edges.join(many, "module", "left_semi").select("module", F.col("src_region").alias("src"), F.col("dst_region").alias("dst"))
+    rest = parallel(region.join(many, "module", "left_semi"), closure(mine, MODULE, "order"))
+    return rest if few is None else rest.unionByName(one(rows.join(few, "module", "left_semi")))
+
+
 def parallel(region: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(module, r1, r2), r1 < r2: regions that may run at once: all pairs of a module; with order, the closure of
     region_edges(), only those of which neither comes before the other."""

@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixpoint import closure
 from ..operators import control as C
 from ..operators import depgraph as D
 from ..operators import memory as M
@@ -41,11 +40,6 @@ class Inputs(graph_queries.Inputs):
     vr = property(lambda s: s.fact("vr_fact").select("loc", "lt", F.expr("shiftleft(1, CAST(rel AS INT) - 1)").alias("rels"), "rt"))
     vr_closed = property(lambda s: s.keep("vr-closed", lambda: R.closed(s.vr)))
 
-    @property
-    def order(self) -> DataFrame:
-        e = T.region_edges(self.tedge, self.region)
-        return self.keep("region-order", lambda: closure(e.select("module", F.col("src_region").alias("src"), F.col("dst_region").alias("dst")), ("module",), "order"))
-
     @property
     def pairs_of_calls(self) -> tuple[DataFrame, ...]:
         c = self.calls.join(self.nodes.select(F.col("fn").alias("caller"), F.col("node").alias("call"), "ok"), ["caller", "call"])
@@ -138,7 +132,7 @@ QUERIES = {
     "t04_region_edges": q(lambda i: T.region_edges(i.tedge, i.region)),
     "t05_critical_sections": q(lambda i: T.critical_sections(i.tedge, i.locks)),
     "t06_parallel_all": q(lambda i: T.parallel(i.region)),
-    "t06_parallel": q(lambda i: T.parallel(i.region, i.order)),
+    "t06_parallel": q(lambda i: T.parallel_by_edges(i.region, T.region_edges(i.tedge, i.region))),
     "t07_interference": q(lambda i: T.interference(i.region, i.fact("thread_access"), T.parallel(i.region))),
     "v01_algebra": q(lambda i: rels(i).select("rels", R.inverted(F.col("rels")).alias("inv"), R.negated(F.col("rels")).alias("neg"), R.conflicting(F.col("rels")).alias("conf"), R.strict(F.col("rels")).alias("st"), R.non_strict(F.col("rels")).alias("nst"), R.conflict(F.col("rels")).alias("bad"))),
     "v05_compose": q(lambda i: single(i).select("a", "b", R.composed(F.col("a"), F.col("b")).alias("c"))),

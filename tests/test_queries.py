@@ -441,3 +441,12 @@ def test_blocks_in_one_pass_equal_doubling(spark, random_graphs):
     n = n.unionByName(spark.createDataFrame([(99, i) for i in range(1, 8)], n.schema))
     got = rows(G.blocks(n, e))
     assert got == rows(G.blocks(n, e, large=4)) and [(b, v) for b, f, v in got if f == 99] == [(1, 1), (1, 2), (1, 5), (1, 6)]
+
+
+def test_parallel_regions_in_one_pass_equal_relations(spark):
+    rnd = random.Random(6)
+    region = spark.createDataFrame([(m, node, node // 2) for m in range(8) for node in range(2 * m + 3)] + [(9, 1, 1)], "module long, node long, region long")
+    edge = spark.createDataFrame([(m, rnd.randint(0, m + 1), rnd.randint(0, m + 1)) for m in range(8) for _ in range(m)], "module long, src_region long, dst_region long")
+    order = closure(edge.select("module", edge.src_region.alias("src"), edge.dst_region.alias("dst")), ("module",), "order")
+    want = rows(T.parallel(region, order))
+    assert want and rows(T.parallel_by_edges(region, edge)) == want == rows(T.parallel_by_edges(region, edge, large=8))
