@@ -8,6 +8,8 @@ off), mem(module, obj, off, tgt, toff).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,69 +228,135 @@ def solve_flow(rows: list[tuple], field_limit: int, invalidate: bool) -> dict:
             steps[pos] = (kind, dst, src, off, length)
             if kind == "alloc":
                 made[src] = made.get(src, 0) + 1
-    out: dict[int, dict] = {pos: {} for pos in steps}
+    # a set is an int with a bit for each place; a cell's place is the number of its object and offset
+    places: list[tuple[int, int]] = []
+    number: dict[tuple[int, int], int] = {}
+    here: dict[int, list[int]] = {}
+
+    def bit(place: tuple[int, int]) -> int:
+        n = number.get(place)
+        if n is None:
+            n = number[place] = len(places)
+            places.append(place)
+        return 1 << n
+
+    def parts(held: int) -> Iterator[tuple[int, int]]:
+        while held:
+            low = held & -held
+            yield places[low.bit_length() - 1]
+            held ^= low
+
+    def all_of(obj: int) -> int:
+        """The places in an object that are known so far."""
+        n, held = here.get(obj, (0, 0))
+        for i in range(n, len(places)):
+            if places[i][0] == obj:
+                held |= 1 << i
+        here[obj] = (len(places), held)
+        return held
 
     def cells(mem: dict, t: int, o: int):
         return [(at, held) for (obj, at), held in mem.items() if obj == t and (o < 0 or at in (o, UNKNOWN))]
 
-    waiting = sorted(steps)
+    out: dict[int, dict] = {pos: {} for pos in steps}
+    readers: dict[int, set[int]] = {}  # the steps that a node's set is an operand of
+    for pos, (kind, dst, src, *_) in steps.items():
+        if kind not in ("alloc", "null"):
+            readers.setdefault(src, set()).add(pos)
+        if kind in ("store", "memcpy"):
+            readers.setdefault(dst, set()).add(pos)
+    entries = {pos: [p for p in before.get(pos, ()) if p in out] for pos in steps}
+    lost = bit((INVALIDATED, 0))
+    writes = {pos for pos, (kind, _, src, *_) in steps.items() if kind in ("store", "memcpy") or kind == "free" and invalidate or kind == "alloc" and src in zero}
+    inside: dict[int, dict] = {}  # memory before a step, as long as that stands
+    moved = set(steps)  # the steps before which memory has changed
+    # a round walks all steps, or those behind a change of memory; a step is done again only if something that it reads has
+    # changed since, as it tells the same otherwise
+    stale = set(steps)
+    everywhere = waiting = sorted(steps)
     while waiting:
         again: set[int] = set()
+        all_again = False
         for pos in waiting:
+            if pos not in stale:
+                continue
+            stale.discard(pos)
             kind, dst, src, off, length = steps[pos]
-            joined = [out[p] for p in before.get(pos, ()) if p in out]
-            mem: dict = {}
-            for m in joined:
-                for at, held in m.items():
-                    mem[at] = mem.get(at, frozenset()) | held
-            if invalidate and len(joined) > 1:
-                for at in mem:
-                    if any(at not in m for m in joined):
-                        mem[at] |= {(INVALIDATED, 0)}
-            from_, got = pt.get(src, frozenset()), frozenset()
+            fresh = pos in moved
+            if fresh:
+                moved.discard(pos)
+                joined = [out[p] for p in entries[pos]]
+                mem = joined[0] if len(joined) == 1 else {}
+                for m in joined if len(joined) > 1 else ():
+                    for at, held in m.items():
+                        mem[at] = mem.get(at, 0) | held
+                if invalidate and len(joined) > 1:
+                    for at in mem:
+                        if any(at not in m for m in joined):
+                            mem[at] |= lost
+                inside[pos] = mem
+            mem = dict(inside[pos]) if pos in writes else inside[pos]
+            from_, got = pt.get(src, 0), 0
             if kind == "alloc":
-                got = frozenset({(src, 0)})
+                got = bit((src, 0))
                 if src in zero:
-                    mem[src, UNKNOWN] = mem.get((src, UNKNOWN), frozenset()) | {(NULL_, 0)}
+                    mem[src, UNKNOWN] = mem.get((src, UNKNOWN), 0) | bit((NULL_, 0))
             elif kind == "null":
-                got = frozenset({(NULL_, 0)})
+                got = bit((NULL_, 0))
             elif kind == "copy":
                 got = from_
             elif kind == "gep":
-                got = frozenset((t, o) if t < 0 else (t, moved_offset(o, off, size.get(t, 0), field_limit)) for t, o in from_)
+                for t, o in parts(from_):
+                    got |= bit((t, o) if t < 0 else (t, moved_offset(o, off, size.get(t, 0), field_limit)))
             elif kind == "load":
-                got = frozenset(x for t, o in from_ if t >= 0 for _, held in cells(mem, t, o) for x in held)
+                for t, o in parts(from_):
+                    if t >= 0:
+                        for _, held in cells(mem, t, o):
+                            got |= held
             elif kind == "store":
-                to = pt.get(dst, frozenset())
-                only = next(iter(to)) if len(to) == 1 else None
+                to = pt.get(dst, 0)
+                only = places[to.bit_length() - 1] if to and not to & to - 1 else None
                 if only and only[0] >= 0 and only[1] >= 0 and made.get(only[0], 0) <= 1:
                     mem[only] = from_
                 else:
-                    for t, o in to:
-                        if t >= 0:
-                            mem[t, o] = mem.get((t, o), frozenset()) | from_
+                    for place in parts(to):
+                        if place[0] >= 0:
+                            mem[place] = mem.get(place, 0) | from_
             elif kind == "memcpy":
-                for t, o in pt.get(dst, frozenset()):
-                    for st, so in from_ if t >= 0 else ():
+                for t, o in parts(pt.get(dst, 0)):
+                    for st, so in parts(from_) if t >= 0 else ():
                         for at, held in cells(mem, st, UNKNOWN) if st >= 0 else ():
                             if so < 0 or at < 0 or length is None or so <= at < so + length:
                                 where = (t, UNKNOWN if so < 0 or at < 0 or o < 0 else moved_offset(o + at - so, 0, size.get(t, 0), field_limit))
-                                mem[where] = mem.get(where, frozenset()) | held
-            elif kind == "free":
-                dead = {t for t, _ in from_ if t >= 0}
-                for at, held in list(mem.items()):
-                    if invalidate and any(t in dead for t, _ in held):
-                        mem[at] = frozenset(x for x in held if len(dead) > 1 or x[0] not in dead) | {(INVALIDATED, 0)}
-            have = pt.get(dst, frozenset())
-            if got - have:
+                                mem[where] = mem.get(where, 0) | held
+            elif kind == "free" and invalidate:
+                dead = {t for t, _ in parts(from_) if t >= 0}
+                gone = 0
+                for t in dead:
+                    gone |= all_of(t)
+                for at, held in mem.items():
+                    if held & gone:
+                        mem[at] = (held if len(dead) > 1 else held & ~gone) | lost
+            have = pt.get(dst, 0)
+            if got & ~have:
                 pt[dst] = have | got
-                again.update(steps)
-            grown = {at: out[pos].get(at, frozenset()) | held for at, held in mem.items()}
-            if any(grown[at] != out[pos].get(at) for at in grown):
-                out[pos].update(grown)
-                again.update(after.get(pos, ()))
-        waiting = sorted(again & set(steps))
-    return pt
+                all_again = True
+                stale |= readers.get(dst, set())
+            mine, grown = out[pos], False
+            for at, held in mem.items() if fresh or pos in writes else ():
+                had = mine.get(at)
+                if had is None or held & ~had:
+                    mine[at] = held | (had or 0)
+                    grown = True
+            if grown:
+                behind = [x for x in after.get(pos, ()) if x in steps]
+                again.update(behind)
+                stale.update(behind)
+                moved.update(behind)
+        waiting = everywhere if all_again else sorted(again)
+        if not stale:
+            break
+    return {n: set(parts(held)) for n, held in pt.items()}
 
 
 def analyse_flow(cons: DataFrame, edges: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, invalidate: bool = False) -> DataFrame:
@@ -302,7 +370,7 @@ def analyse_flow(cons: DataFrame, edges: DataFrame, objects: DataFrame, field_li
     def solve(_, group):
         yield from ((n, t, o) for n, held in solve_flow(group, field_limit, invalidate).items() for t, o in held)
 
-    return per_group(rows, ["module"], solve, "module long, n long, tgt long, off long")
+    return materialize(per_group(rows, ["module"], solve, "module long, n long, tgt long, off long"), "flow-points-to")  # read several times
 
 
 def covers(pt: DataFrame, nodes: DataFrame) -> DataFrame:

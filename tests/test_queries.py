@@ -450,3 +450,12 @@ def test_parallel_regions_in_one_pass_equal_relations(spark):
     order = closure(edge.select("module", edge.src_region.alias("src"), edge.dst_region.alias("dst")), ("module",), "order")
     want = rows(T.parallel(region, order))
     assert want and rows(T.parallel_by_edges(region, edge)) == want == rows(T.parallel_by_edges(region, edge, large=8))
+
+
+def test_flow_sensitive_steps_run_again_only_after_what_they_read(monkeypatch):
+    n, calls, plain = 40, [], P.moved_offset
+    monkeypatch.setattr(P, "moved_offset", lambda *a: calls.append(a) or plain(*a))
+    steps = [("gep", n - i, n - i - 1, 0, None, i + 1) for i in range(n)] + [("alloc", 0, 9, None, None, n + 1)]
+    flow = [("edge", i, i + 1, None, None, None) for i in range(1, n + 1)]
+    got = P.solve_flow(steps + flow + [("object", 9, 0, 4, None, None)], 8, False)
+    assert got == {i: {(9, 0)} for i in range(n + 1)} and len(calls) <= 2 * n
