@@ -45,7 +45,7 @@ def moved_offset(at: int | None, by: int | None, size: int, limit: int) -> int:
 def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
     """(pt, mem) of one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null) and
     functions as (function, obj, parameter, result, null): pt[n] and mem[obj][off] are sets of (target, offset). Every rule is
-    applied until none adds anything."""
+    applied until none adds anything, again only where what it reads has grown."""
     size, rules, pt, mem, functions = {}, [], {}, {}, {}
     for kind, dst, src, off, length in rows:
         if kind == "object":
@@ -72,11 +72,18 @@ def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
         have |= more
         return len(have) > n
 
+    seen: list = [None] * len(rules)  # by rule: the sizes of what it read; sets only grow
+    grown = 0  # how often memory has
     going = True
     while going:
         going = False
-        for kind, dst, src, off, length in rules:
+        for i, (kind, dst, src, off, length) in enumerate(rules):
             from_ = pt.get(src, nothing)
+            if kind not in CALLS:
+                read = (len(from_), len(pt.get(dst, nothing)) if kind in ("store", "memcpy") else 0, grown if kind in ("load", "memcpy") else 0)
+                if read == seen[i]:
+                    continue
+                seen[i] = read
             if kind == "copy":
                 going |= bool(from_) and put(pt, dst, from_)
             elif kind == "gep":
@@ -93,15 +100,16 @@ def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
                         going |= put(pt, dst, pt[result])
             elif kind == "store":
                 for t, o in list(pt.get(dst, nothing)):
-                    if t >= 0 and from_:
-                        going |= put(mem.setdefault(t, {}), o, from_)
+                    if t >= 0 and from_ and put(mem.setdefault(t, {}), o, from_):
+                        going, grown = True, grown + 1
             elif kind == "memcpy":
                 for t, o in list(pt.get(dst, nothing)):
                     for st, so in list(from_) if t >= 0 else ():
                         for at, held in list(mem.get(st, {}).items()) if st >= 0 else ():
                             if so < 0 or at < 0 or length is None or so <= at < so + length:
                                 to = UNKNOWN if so < 0 or at < 0 or o < 0 else moved_offset(o + at - so, 0, size.get(t, 0), field_limit)
-                                going |= bool(held) and put(mem.setdefault(t, {}), to, set(held))
+                                if held and put(mem.setdefault(t, {}), to, set(held)):
+                                    going, grown = True, grown + 1
     return pt, mem
 
 

@@ -459,3 +459,11 @@ def test_flow_sensitive_steps_run_again_only_after_what_they_read(monkeypatch):
     flow = [("edge", i, i + 1, None, None, None) for i in range(1, n + 1)]
     got = P.solve_flow(steps + flow + [("object", 9, 0, 4, None, None)], 8, False)
     assert got == {i: {(9, 0)} for i in range(n + 1)} and len(calls) <= 2 * n
+
+
+def test_points_to_rules_are_applied_again_only_after_growth(monkeypatch):
+    n, calls, plain = 40, [], P.moved_offset
+    monkeypatch.setattr(P, "moved_offset", lambda *a: calls.append(a) or plain(*a))
+    rules = [("gep", n - i, n - i - 1, 0, None) for i in range(n)] + [("alloc", 0, 9, None, None), ("object", 9, 0, 4, None)]
+    pt, mem = P.solve_module(rules, 8)
+    assert pt == {i: {(9, 0)} for i in range(n + 1)} and not mem and len(calls) <= n
