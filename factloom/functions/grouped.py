@@ -17,9 +17,10 @@ from pyspark.sql.types import StructType
 LARGE = 20_000
 
 
-def per_group(rows: DataFrame, keys: Sequence[str], solve: Callable[[tuple, list[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
+def per_group(rows: DataFrame, keys: Sequence[str], solve: Callable[[tuple, list[tuple]], Iterator[tuple]], ddl: str, columns: bool = False) -> DataFrame:
     """Rows of solve(key, rows of the group) behind the key's columns; ddl names and types them all. Rows are tuples of the
-    other columns, in their order, unsorted. One shuffle by key; a task holds one group."""
+    other columns, in their order, unsorted; columns: solve tells lists, one a column. One shuffle by key; a task holds one
+    group."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     keys = list(keys)
@@ -29,25 +30,33 @@ def per_group(rows: DataFrame, keys: Sequence[str], solve: Callable[[tuple, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        lists: list[list] = [[] for _ in schema]
         at, group = None, []
 
         def told() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            out.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(lists if columns else zip(*out, strict=True), schema, strict=True)], schema=schema)
+            for x in (out, *lists):
+                x.clear()
             return batch
 
+        def solved(key: tuple, rows: list[tuple]) -> int:
+            """How many rows wait to be told."""
+            if not columns:
+                out.extend((*key, *r) for r in solve(key, rows))
+                return len(out)
+            more = solve(key, rows)
+            for mine, c in zip(lists, (*([k] * len(more[0]) for k in key), *more), strict=True):
+                mine += c
+            return len(lists[0])
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:n] != at:
-                    if group:
-                        out.extend((*at, *r) for r in solve(at, group))
-                        if len(out) > 20_000:
-                            yield told()
+                    if group and solved(at, group) > 20_000:
+                        yield told()
                     at, group = row[:n], []
                 group.append(row[n:])
-        if group:
-            out.extend((*at, *r) for r in solve(at, group))
-        if out:
+        if group and solved(at, group):
             yield told()
 
     return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, ddl)

@@ -42,74 +42,162 @@ def moved_offset(at: int | None, by: int | None, size: int, limit: int) -> int:
     return at + by if (at + by == 0 or at + by < size) and at + by < limit else UNKNOWN
 
 
-def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
-    """(pt, mem) of one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null) and
-    functions as (function, obj, parameter, result, null): pt[n] and mem[obj][off] are sets of (target, offset). Every rule is
-    applied until none adds anything, again only where what it reads has grown."""
-    size, rules, pt, mem, functions = {}, [], {}, {}, {}
+def solve_columns(rows: list[tuple], field_limit: int) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """Columns of STATE for one module, rows (kind, dst, src, off, len), objects among them as (object, obj, zero, size, null)
+    and functions as (function, obj, parameter, result, null). Every rule is applied until none adds anything, again only
+    where what it reads has grown. A set is an int with a bit for each place, a target and an offset in it."""
+    size, pt, functions = {}, {}, {}
+    places: list[tuple[int, int]] = []
+    number: dict[tuple[int, int], int] = {}
+    cells: list[int] = []  # by place: what it holds, and what a load of it may give
+    seen_from: list[int] = []
+    inside: dict[int, list[int]] = {}  # an object's places
+    named: dict[int, tuple[int, ...]] = {}
+
+    def place(t: int, o: int) -> int:
+        n = number.get((t, o))
+        if n is None:
+            n = number[t, o] = len(places)
+            places.append((t, o))
+            cells.append(0)
+            beside, anywhere = inside.setdefault(t, []), 0
+            for x in beside if t >= 0 else ():
+                if o < 0 or places[x][1] < 0:
+                    anywhere |= cells[x]
+            seen_from.append(anywhere)
+            beside.append(n)
+        return n
+
+    def parts(held: int) -> tuple[int, ...]:
+        """Numbers of a set's places."""
+        out = named.get(held)
+        if out is None:
+            rest, found = held, []
+            while rest:
+                low = rest & -rest
+                found.append(low.bit_length() - 1)
+                rest ^= low
+            out = named[held] = tuple(found)
+        return out
+
+    def write(n: int, more: int) -> bool:
+        if not more & ~cells[n]:
+            return False
+        cells[n] |= more
+        t, o = places[n]
+        for x in inside[t]:
+            if x == n or o < 0 or places[x][1] < 0:
+                seen_from[x] |= more
+        return True
+
+    once: dict[tuple, None] = {}
+    zeros = []
     for kind, dst, src, off, length in rows:
         if kind == "object":
             size[dst] = off or 0
             if src:
-                mem[dst] = {UNKNOWN: {(NULL_, 0)}}
+                zeros.append(dst)
         elif kind == "function":
             functions[dst] = (src, off)
         elif kind == "alloc":
-            pt.setdefault(dst, set()).add((src, 0))
+            pt[dst] = pt.get(dst, 0) | 1 << place(src, 0)
         elif kind == "null":
-            pt.setdefault(dst, set()).add((NULL_, 0))
+            pt[dst] = pt.get(dst, 0) | 1 << place(NULL_, 0)
         else:
-            rules.append((kind, dst, src, off, length))
-    nothing: set = set()
-
-    def cells(obj: int, off: int):
-        held = mem.get(obj, {})
-        return list(held.items()) if off < 0 else [(o, held[o]) for o in ((off, UNKNOWN) if off in held else (UNKNOWN,)) if o in held]
-
-    def put(table: dict, key, more) -> bool:
-        have = table.setdefault(key, set())
-        n = len(have)
-        have |= more
-        return len(have) > n
-
-    seen: list = [None] * len(rules)  # by rule: the sizes of what it read; sets only grow
+            once[kind, dst, src, off, length] = None
+    for obj in zeros:
+        write(place(obj, UNKNOWN), 1 << place(NULL_, 0))
+    rules = list(once)
+    done: list = [None] * len(rules)  # by rule: what it read last
     grown = 0  # how often memory has
     going = True
     while going:
         going = False
         for i, (kind, dst, src, off, length) in enumerate(rules):
-            from_ = pt.get(src, nothing)
-            if kind not in CALLS:
-                read = (len(from_), len(pt.get(dst, nothing)) if kind in ("store", "memcpy") else 0, grown if kind in ("load", "memcpy") else 0)
-                if read == seen[i]:
-                    continue
-                seen[i] = read
+            from_ = pt.get(src, 0)
+            if not from_:
+                continue
             if kind == "copy":
-                going |= bool(from_) and put(pt, dst, from_)
+                have = pt.get(dst, 0)
+                if from_ & ~have:
+                    pt[dst] = have | from_
+                    going = True
             elif kind == "gep":
-                got = {(t, o) if t < 0 else (t, moved_offset(o, off, size.get(t, 0), field_limit)) for t, o in from_}
-                going |= bool(got) and put(pt, dst, got)
+                fresh = from_ & ~(done[i] or 0)
+                if fresh:
+                    done[i] = from_
+                    have = got = pt.get(dst, 0)
+                    for x in parts(fresh):
+                        t, o = places[x]
+                        got |= 1 << (x if t < 0 else place(t, moved_offset(o, off, size.get(t, 0), field_limit)))
+                    if got != have:
+                        pt[dst] = got
+                        going = True
             elif kind == "load":
-                got = {x for t, o in from_ if t >= 0 for _, held in cells(t, o) for x in held}
-                going |= bool(got) and put(pt, dst, got)
-            elif kind in CALLS:
-                for param, result in [functions[t] for t, _ in from_ if t in functions]:
-                    if kind != "join" and pt.get(off):
-                        going |= put(pt, param, pt[off])
-                    if kind != "fork" and pt.get(result):
-                        going |= put(pt, dst, pt[result])
+                if done[i] == (from_, grown):
+                    continue
+                done[i] = (from_, grown)
+                have = got = pt.get(dst, 0)
+                for x in parts(from_):
+                    if places[x][0] >= 0:
+                        got |= seen_from[x]
+                if got != have:
+                    pt[dst] = got
+                    going = True
             elif kind == "store":
-                for t, o in list(pt.get(dst, nothing)):
-                    if t >= 0 and from_ and put(mem.setdefault(t, {}), o, from_):
+                to = pt.get(dst, 0)
+                if done[i] == (from_, to):
+                    continue
+                done[i] = (from_, to)
+                for x in parts(to):
+                    if places[x][0] >= 0 and write(x, from_):
                         going, grown = True, grown + 1
             elif kind == "memcpy":
-                for t, o in list(pt.get(dst, nothing)):
-                    for st, so in list(from_) if t >= 0 else ():
-                        for at, held in list(mem.get(st, {}).items()) if st >= 0 else ():
-                            if so < 0 or at < 0 or length is None or so <= at < so + length:
-                                to = UNKNOWN if so < 0 or at < 0 or o < 0 else moved_offset(o + at - so, 0, size.get(t, 0), field_limit)
-                                if held and put(mem.setdefault(t, {}), to, set(held)):
-                                    going, grown = True, grown + 1
+                to = pt.get(dst, 0)
+                if done[i] == (from_, to, grown):
+                    continue
+                done[i] = (from_, to, grown)
+                moved: dict[int | None, int] = {}  # by how far they move, what cells hold
+                for y in parts(from_):
+                    st, so = places[y]
+                    for z in inside[st] if st >= 0 else ():
+                        held, at = cells[z], places[z][1]
+                        if held and (so < 0 or at < 0 or length is None or so <= at < so + length):
+                            by = None if so < 0 or at < 0 else at - so
+                            moved[by] = moved.get(by, 0) | held
+                for x in parts(to) if moved else ():
+                    t, o = places[x]
+                    for by, held in moved.items() if t >= 0 else ():
+                        if write(place(t, UNKNOWN if by is None or o < 0 else moved_offset(o + by, 0, size.get(t, 0), field_limit)), held):
+                            going, grown = True, grown + 1
+            elif kind in CALLS:
+                for param, result in [functions[places[x][0]] for x in parts(from_) if places[x][0] in functions]:
+                    for into, held in ((param, pt.get(off, 0) if kind != "join" else 0), (dst, pt.get(result, 0) if kind != "fork" else 0)):
+                        have = pt.get(into, 0)
+                        if held & ~have:
+                            pt[into] = have | held
+                            going = True
+    at: list[int] = []
+    held_: list[int] = []
+    for n, held in pt.items():
+        some = parts(held)
+        at += [n] * len(some)
+        held_ += some
+    r, off_ = [0] * len(at), [0] * len(at)
+    for (t, o), held in zip(places, cells, strict=True):
+        some = parts(held)
+        at += [t] * len(some)
+        off_ += [o] * len(some)
+        held_ += some
+    r += [1] * (len(at) - len(r))
+    return r, at, off_, [places[x][0] for x in held_], [places[x][1] for x in held_]
+
+
+def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
+    """(pt, mem) of solve_columns(): pt[n] and mem[obj][off] are sets of (target, offset)."""
+    pt, mem = {}, {}
+    for r, a, b, t, o in zip(*solve_columns(rows, field_limit), strict=True):
+        (mem.setdefault(a, {}).setdefault(b, set()) if r else pt.setdefault(a, set())).add((t, o))
     return pt, mem
 
 
@@ -133,12 +221,7 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, lar
             rows = rows.unionByName(functions.select("module", F.lit("function").alias("kind"), F.col("obj").alias("dst"), F.col("param").alias("src"), F.col("result").alias("off"), F.lit(None).cast("long").alias("len")))
         rows = rows if many is None else rows.join(few, "module", "left_semi")
 
-        def solve(_, group):
-            pt, mem = solve_module(group, field_limit)
-            yield from ((0, n, 0, t, o) for n, held in pt.items() for t, o in held)
-            yield from ((1, obj, at, t, o) for obj, by_off in mem.items() for at, held in by_off.items() for t, o in held)
-
-        told = materialize(per_group(rows, ["module"], solve, STATE), "points-to")
+        told = materialize(per_group(rows, ["module"], lambda _, group: solve_columns(group, field_limit), STATE, columns=True), "points-to")
         parts.append((told.where("r = 0").select("module", F.col("a").alias("n"), "tgt", "off"), told.where("r = 1").select("module", F.col("a").alias("obj"), F.col("b").alias("off"), "tgt", F.col("off").alias("toff"))))
     if many is not None or not parts:
         mine = (lambda df: df.join(many, "module", "left_semi")) if many is not None else (lambda df: df)
@@ -213,7 +296,7 @@ def analyse_large(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 6
 
 def solve_flow(rows: list[tuple], field_limit: int, invalidate: bool) -> dict:
     """pt of one module, flow-sensitive: rows (kind, dst, src, off, len, pos) in program order by pos, edges between positions
-    as (edge, from, to, null, null, null) and objects as in solve_module().
+    as (edge, from, to, null, null, null) and objects as in solve_columns().
 
     Memory is told apart by position: a store through a pointer with one known place in an object that is allocated once
     replaces what the place held, any other store adds; where paths join, sets join. free drops an object; with invalidate

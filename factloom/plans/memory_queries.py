@@ -43,7 +43,7 @@ class Inputs:
                 both.extend(P.analyse(self.cons, self.object, FIELD_LIMIT))
             return both[i]
 
-        return self.keep(name, lambda: made(0)), self.keep(name + "-mem", lambda: made(1))
+        return tuple(kept(self.spark, self.sf, n, lambda i=i: made(i), ready=True) for i, n in enumerate((name, name + "-mem")))
 
     @property
     def pt(self) -> DataFrame:

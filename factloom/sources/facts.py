@@ -87,20 +87,30 @@ FACTS = {
 _kept: dict[tuple, DataFrame] = {}
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A relation that several queries share, made once a session and input as a table in the shared folder."""
+#: Facts made straight of the driver tables: they leave out the order of statements, which takes longer than the rest.
+UNORDERED = ("cons", "object")
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], ready: bool = False) -> DataFrame:
+    """A relation that several queries share, made once a session and input as a table in the shared folder; ready: make()
+    gives such a table."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _kept:
-        _kept[at] = materialize(make(), name.replace("/", "-"))
+        _kept[at] = make() if ready else materialize(make(), name.replace("/", "-"))
     return _kept[at]
 
 
-def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a fact table."""
+def fact(spark: SparkSession, sf_dir: str, name: str, keep: bool = True) -> DataFrame:
+    """A driver table or a fact table; keep: as a table in the shared folder."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not keep and (spark.sparkContext.applicationId, sf_dir, f"fact-{name}") in _kept:
+        keep = True
     sql = FACTS[name]
-    args = {n: fact(spark, sf_dir, n) for n in (*TABLES, *FACTS) if n != name and re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
+    args = {n: fact(spark, sf_dir, n, keep and name not in UNORDERED) for n in (*TABLES, *FACTS) if n != name and re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
+    same = re.fullmatch(r"SELECT \* FROM (\w+)", sql.strip())  # another name of a table
     for n in args:
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", sql)
-    return kept(spark, sf_dir, f"fact-{name}", lambda: spark.sql(sql, **args))
+    if not keep:
+        return spark.sql(sql, **args)
+    return kept(spark, sf_dir, f"fact-{name}", lambda: args[same[1]] if same else spark.sql(sql, **args), ready=bool(same))

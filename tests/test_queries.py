@@ -16,6 +16,7 @@ from factloom.operators import pointer as P
 from factloom.operators import relations as R
 from factloom.operators import threads as T
 from factloom.plans import catalog
+from factloom.sources import facts
 from factloom.sources.facts import fact
 
 SMALL = "/root/testdata/sf0.001"
@@ -467,3 +468,22 @@ def test_points_to_rules_are_applied_again_only_after_growth(monkeypatch):
     rules = [("gep", n - i, n - i - 1, 0, None) for i in range(n)] + [("alloc", 0, 9, None, None), ("object", 9, 0, 4, None)]
     pt, mem = P.solve_module(rules, 8)
     assert pt == {i: {(9, 0)} for i in range(n + 1)} and not mem and len(calls) <= n
+
+
+def test_points_to_neither_orders_statements_nor_is_written_twice(spark):
+    at = SMALL + "/."  # tables of its own
+    pt, mem = (catalog.QUERIES[q](spark, at) for q in ("p13_points_to", "p13_memory"))
+    assert not any(key[1] == at and key[2] in ("fact-stmt", "fact-small_stmt") for key in facts._kept)
+    assert {f.rpartition("/")[0] for f in pt.inputFiles()} == {f.rpartition("/")[0] for f in mem.inputFiles()}
+
+
+def test_moved_cells_are_gathered_before_they_are_written(monkeypatch):
+    """What many cells hold goes to each of many targets once, not cell by cell."""
+    n, calls, plain = 40, [], P.moved_offset
+    monkeypatch.setattr(P, "moved_offset", lambda *a: calls.append(a) or plain(*a))
+    rows = [("object", o, 0, 400, None) for o in range(n)] + [("alloc", 0, o, None, None) for o in range(n)] + [("gep", 0, 0, 4, None)]
+    rows += [("store", 0, 0, None, None), ("memcpy", 0, 0, None, 8)]
+    pt, mem = P.solve_module(rows, 16)
+    every = {(o, at) for o in range(n) for at in (-1, 0, 4, 8, 12)}
+    assert len(calls) < 10 * len(every)
+    assert pt == {0: every} and mem == {o: dict.fromkeys((-1, 0, 4, 8, 12), every) for o in range(n)}
