@@ -169,17 +169,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     y = got["quality"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    x = np.zeros((len(y), sum(WIDTHS) + 1), np.float32)
-    x[:, -1] = 1
-    for i, (b, v) in enumerate(zip(got["bucket"].to_pylist(), got["value"].to_pylist(), strict=True)):
-        x[i, np.frombuffer(b, np.int32)] = np.frombuffer(v, np.float32)
-    fold = np.arange(len(y)) % FOLDS
-    held = fold == 0
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        """Features of some rows; the driver holds those of one fit at a time."""
+        x = np.zeros((len(rows), sum(WIDTHS) + 1), np.float32)
+        x[:, -1] = 1
+        for i, row in enumerate(rows.tolist()):
+            x[i, np.frombuffer(got["bucket"][row].as_py(), np.int32)] = np.frombuffer(got["value"][row].as_py(), np.float32)
+        return x
+
+    every = np.arange(len(y))
+    held = every % FOLDS == 0
     if len(set(y[~held])) == 2 and len(set(y[held])) == 2:
-        a, b = calibrate(x[held] @ fit(x[~held], y[~held]), y[held])
+        weights = fit(dense(every[~held]), y[~held])
+        a, b = calibrate(dense(every[held]) @ weights, y[held])
     else:
         a, b = 1.0, 0.0
-    return fit(x, y), a, b
+    return fit(dense(every), y), a, b
 
 
 DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from helpers import rows, sql_rows
 
-from factloom.llm import chat, exact_dedup, lm_score, mixing, ngram_join, packing, pii, quality, queries, substring_dedup, warc
+from factloom.llm import chat, common, exact_dedup, lm_score, mixing, ngram_join, packing, pii, quality, queries, substring_dedup, warc
 
 SMALL = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -449,6 +450,27 @@ def test_substring_dedup_finds_spread_edits(spark, size):
     assert len(want) == 40 and got == want
 
 
+def test_components_of_few_edges_take_no_rounds(spark):
+    rnd = random.Random(12)
+    for n, m in ((1, 1), (40, 25), (300, 260), (300, 900)):
+        edges = [(rnd.randrange(n) - n // 2, rnd.randrange(n) - n // 2) for _ in range(m)] + [(i + 1000, i + 1001) for i in range(50)] + [(None, 3), (4, None)]
+        df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+        one, many = common.components(df), common.components(df, few=0)
+        assert rows(one) == rows(many) and "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert common.components(df.limit(0)).count() == 0
+
+
+def test_quality_holds_the_features_of_one_fit(spark, monkeypatch):
+    """The rows of the first fit, then those that were held out, then all."""
+    held, plain = [], np.zeros
+    monkeypatch.setattr(quality.np, "zeros", lambda shape, *a: held.append(weakref.ref(x := plain(shape, *a))) or x if isinstance(shape, tuple) else plain(shape, *a))
+    alive, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: alive.append(sum(len(r()) for r in held if r() is not None)) or fit(x, y))
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "buy now cheap ") * (i + 1)) for i in range(40)], "doc_id long, text string")
+    quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert alive == [32, 40]
+
+
 def test_chains_follow_the_order_of_both_sides():
     pos, ref = np.array([0, 10, 20, 30, 5]), np.array([100, 110, 50, 130, 300])
     assert substring_dedup.chains(pos, ref)[0] == [0, 1, 3]
