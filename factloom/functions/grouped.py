@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,6 +63,43 @@ def per_group(rows: DataFrame, keys: Sequence[str], solve: Callable[[tuple, list
     return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
+#: Rows of groups that are solved side by side.
+SIDE_BY_SIDE = 200_000
+
+
+def many_groups(rows: DataFrame, key: str, solve: Callable[[pa.Table], Iterator[pa.Table]], ddl: str) -> DataFrame:
+    """Rows of solve(table), where a table is some whole groups of rows by key, which comes first and in order, null before all.
+    One shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    rows = rows.select(key, *[c for c in rows.columns if c != key])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for out in solve(table):
+                yield from out.select(schema.names).cast(schema).to_batches(max_chunksize=100_000)
+
+        for batch in batches:
+            parts.append(batch)
+            waiting += batch.num_rows
+            if waiting >= SIDE_BY_SIDE:
+                table = pa.Table.from_batches(parts)
+                end = table.column(0)[-1]
+                last = int(pc.index(table.column(0), end).as_py()) if end.is_valid else 0  # the last group may go on
+                if last:
+                    yield from solved(table.slice(0, last))
+                    parts = table.slice(last).combine_chunks().to_batches()
+                    waiting = table.num_rows - last
+        if waiting:
+            yield from solved(pa.Table.from_batches(parts))
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, ddl)
+
+
 def split_by_size(rows: DataFrame, keys: Sequence[str], large: int = LARGE) -> tuple[DataFrame | None, DataFrame | None]:
     """(keys of groups up to large rows, keys of larger ones); None where there are none."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows_"))

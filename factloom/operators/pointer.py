@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import NotConverged
-from ..functions.grouped import LARGE, per_group, split_by_size
+from ..functions.grouped import LARGE, many_groups, per_group, split_by_size
 from ..functions.store import materialize
 
 UNKNOWN, NULL_, INVALIDATED = -1, -2, -3
@@ -201,6 +204,245 @@ def solve_module(rows: list[tuple], field_limit: int) -> tuple[dict, dict]:
     return pt, mem
 
 
+class Sets:
+    """Points-to sets of many modules side by side, for rules without calls. A set is 64 bits: the objects of a module, a bit
+    for the unknown offset and width ones for the known of each, and null as the last. Cells are held by object, slot and module."""
+
+    NULL = np.uint64(1 << 63)
+
+    def __init__(self, nodes: int, sizes: np.ndarray, limit: int):
+        """sizes: by module and number of an object, at least 1."""
+        self.width = int(min(sizes.max(initial=1), limit))
+        self.step = self.width + 1
+        self.count = sizes.shape[1]
+        self.cells = np.zeros((self.count, self.step, len(sizes)), np.uint64)
+        self.pt = np.zeros(nodes, np.uint64)
+        slots = np.arange(self.width)
+        #: By object, offset and module: the known offsets that there are.
+        self.valid = slots[None, :, None] < np.minimum(sizes, limit).T[:, None, :]
+        bit = np.uint64(1) << (np.arange(self.count)[:, None] * self.step + 1 + slots[None, :]).astype(np.uint64)
+        self.valid_bits = np.bitwise_or.reduce(np.where(self.valid, bit[:, :, None], np.uint64(0)), axis=(0, 1))
+        self.known = np.bitwise_or.reduce(bit, axis=None)
+        self.reach = [np.bitwise_or.reduce(bit[:, : self.width - d], axis=None) if d < self.width else np.uint64(0) for d in range(self.step)]
+        self.fields = np.bitwise_or.reduce(bit, axis=1)
+        self.unknown = np.uint64(1) << (np.arange(self.count) * self.step).astype(np.uint64)
+
+    def join(self, dst: np.ndarray, more: np.ndarray) -> None:
+        np.bitwise_or.at(self.pt, dst, more)
+
+    def moved(self, held: np.ndarray, by: int, module: np.ndarray) -> np.ndarray:
+        """Sets after a gep; by is the width for all that is as much or more, -1 if unknown."""
+        stay = held & ~self.known
+        kept = (held & self.reach[by]) << np.uint64(by) & self.valid_bits[module] if 0 <= by < self.width else np.zeros_like(held)
+        lost = held & self.known & ~(kept >> np.uint64(max(by, 0)))
+        for field, bit in zip(self.fields, self.unknown, strict=True):
+            stay |= np.where(lost & field, bit, np.uint64(0))
+        return stay | kept
+
+    def has(self, held: np.ndarray, k: int, slot: int) -> np.ndarray:
+        """All bits where sets have this place, none elsewhere."""
+        return np.uint64(0) - (held >> np.uint64(k * self.step + slot) & np.uint64(1))
+
+    def loaded(self, held: np.ndarray, module: np.ndarray) -> np.ndarray:
+        """What loads through sets may give."""
+        out = np.zeros_like(held)
+        for k in range(self.count):
+            mine = self.cells[k][:, module]
+            out |= self.has(held, k, 0) & np.bitwise_or.reduce(mine, axis=0) | np.where(held & self.fields[k], mine[0], np.uint64(0))
+            for s in range(1, self.step):
+                out |= self.has(held, k, s) & mine[s]
+        return out
+
+    def write(self, got: np.ndarray, first: np.ndarray, module: np.ndarray) -> None:
+        """got by object, slot and rule into the cells of modules, whose rules start at first."""
+        self.cells[:, :, module] |= np.bitwise_or.reduceat(got, first, axis=2)
+
+    def stored(self, to: np.ndarray, held: np.ndarray) -> np.ndarray:
+        out = np.empty((self.count, self.step, len(to)), np.uint64)
+        for k in range(self.count):
+            for s in range(self.step):
+                out[k, s] = self.has(to, k, s) & held
+        return out
+
+    def copied(self, to: np.ndarray, held: np.ndarray, length: np.ndarray, module: np.ndarray) -> np.ndarray:
+        """What memcpy of so many bytes writes, of known offsets by how far they move."""
+        near = np.zeros((self.width, len(to)), np.uint64)
+        some = np.zeros(len(to), np.uint64)
+        for k in range(self.count):
+            mine = self.cells[k][:, module]
+            some |= self.has(held, k, 0) & np.bitwise_or.reduce(mine, axis=0) | np.where(held & self.fields[k], mine[0], np.uint64(0))
+            for s in range(self.width):
+                near[: self.width - s] |= self.has(held, k, 1 + s) & mine[1 + s :]
+        for by in range(self.width):
+            near[by, by >= length] = 0
+        behind = np.bitwise_or.accumulate(near[::-1], axis=0)[::-1]  # all that moves so far or farther
+        out = np.zeros((self.count, self.step, len(to)), np.uint64)
+        for k in range(self.count):
+            fits = np.uint64(0) - self.valid[k][:, module].astype(np.uint64)
+            loose = np.where(to & (self.fields[k] | self.unknown[k]), some, np.uint64(0)) | self.has(to, k, 0) & behind[0]
+            for s in range(self.width):
+                hit = self.has(to, k, 1 + s)
+                out[k, 1 + s :] |= hit & near[: self.width - s]
+                if s:
+                    loose |= hit & behind[self.width - s]
+            loose |= np.bitwise_or.reduce(out[k, 1:] & ~fits, axis=0)
+            out[k, 1:] &= fits
+            out[k, 0] = loose
+        return out
+
+
+KINDS = {"copy": 0, "gep": 1, "load": 2, "store": 3, "memcpy": 4, "alloc": 5, "null": 6, "object": 7}
+
+
+def solve_tables(table: pa.Table, field_limit: int) -> Iterator[pa.Table]:
+    """STATE of whole modules, rows (module, kind, dst, src, off, len) in order of module: side by side where sets fit 64 bits,
+    by solve_columns() where they don't or where there are calls."""
+    def alone(part: pa.Table, m: int | None) -> pa.Table:
+        found = solve_columns(list(zip(*(part.column(c).to_pylist() for c in ("kind", "dst", "src", "off", "len")), strict=True)), field_limit)
+        return pa.table([pa.array([m], pa.int64()).take(pa.array([0] * len(found[0]), pa.int64())), *(pa.array(c, pa.int64()) for c in found)], names=["module", "r", "a", "b", "tgt", "off"])
+
+    nameless = table.column("module").null_count
+    if nameless:
+        yield alone(table.slice(0, nameless), None)
+        table = table.slice(nameless)
+    if not len(table):
+        return
+    module = table.column("module").to_numpy()
+    cols, none = {}, {}
+    for c in ("dst", "src", "off", "len"):
+        none[c] = pc.is_null(table.column(c)).to_numpy()
+        cols[c] = pc.fill_null(table.column(c), 0).to_numpy()
+    names = table.column("kind").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    code = np.array([KINDS.get(k, -1) for k in names.dictionary.to_pylist()] or [-1])
+    kind = np.where(names.indices.is_null().to_numpy(zero_copy_only=False), -1, code[names.indices.fill_null(0).to_numpy()])
+    ids, at = np.unique(module, return_inverse=True)
+    dst, src, off = cols["dst"], cols["src"], cols["off"]
+    odd = (kind < 0) | none["dst"] | none["src"] & (kind < 6) | (kind == 4) & none["len"] | (kind == 5) & (src < 0) | (kind == 7) & (dst < 0)
+    # objects: what is allocated, and what is zero from the start
+    zero = (kind == 7) & ~none["src"] & (src != 0)
+    made = np.flatnonzero((kind == 5) | zero)
+    pair = np.unique(np.stack([at[made], np.where(kind[made] == 5, src[made], dst[made])], axis=1), axis=0).reshape(-1, 2)
+    count = np.bincount(pair[:, 0], minlength=len(ids))
+    number = np.arange(len(pair)) - np.concatenate([[0], np.cumsum(count)[:-1]])[pair[:, 0]]
+    told = np.flatnonzero(kind == 7)
+    size_of = np.ones(len(pair), np.int64)
+
+    def of(m: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """The place in pair of each module and object, -1 for none."""
+        if not len(pair):
+            return np.full(len(m), -1)
+        values = np.unique(pair[:, 1])
+        wide = len(values) + 1
+        have = pair[:, 0] * wide + np.searchsorted(values, pair[:, 1])
+        x = np.minimum(np.searchsorted(values, o), len(values) - 1)
+        want = m * wide + x
+        y = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        return np.where((values[x] == o) & (have[y] == want), y, -1)
+
+    where = of(at[told], dst[told])
+    twice = np.unique(np.stack([at[told], dst[told]], axis=1), axis=0, return_counts=True) if len(told) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    size_of[where[where >= 0]] = np.maximum(1, np.where(none["off"], 0, off)[told][where >= 0])
+    width = np.ones(len(ids), np.int64)
+    np.maximum.at(width, pair[:, 0], np.minimum(size_of, field_limit))
+    slow = np.zeros(len(ids), bool)
+    slow[at[odd]] = True
+    slow[twice[0][twice[1] > 1, 0].astype(np.int64)] = True
+    slow |= field_limit < 1
+    slow |= count > 63 // np.minimum(width + 1, 64)
+    slow |= width > 62
+    for m in np.flatnonzero(slow):
+        lo = int(np.searchsorted(at, m))
+        yield alone(table.slice(lo, int(np.searchsorted(at, m, side="right")) - lo), int(ids[m]))
+    quick = ~slow
+    while quick.any():  # of one layout, as wide as any that is left
+        some = int(width[quick].max())
+        mine = np.flatnonzero(quick & (count <= 63 // (some + 1)))
+        quick[mine] = False
+        yield from solve_bits(mine, ids, at, kind, dst, src, np.where(none["off"], -1, off), cols["len"], zero, pair, number, size_of, of, some, field_limit)
+
+
+def solve_bits(mine, ids, at, kind, dst, src, off, length, zero, pair, number, size_of, of, width, field_limit) -> Iterator[pa.Table]:
+    """solve_tables() of the modules mine, numbers in ids, whose sets fit."""
+    m_of = np.full(len(ids), -1)
+    m_of[mine] = np.arange(len(mine))
+    held = np.flatnonzero(m_of[pair[:, 0]] >= 0)
+    sizes = np.ones((len(mine), int(number[held].max(initial=0)) + 1), np.int64)
+    sizes[m_of[pair[held, 0]], number[held]] = size_of[held]
+    sizes = np.minimum(sizes, width)
+    object_id = np.zeros(sizes.shape, np.int64)
+    object_id[m_of[pair[held, 0]], number[held]] = pair[held, 1]
+    rules = np.flatnonzero((m_of[at] >= 0) & (kind < 7))
+    of_rule = m_of[at[rules]]
+    # nodes by module and name
+    names = np.unique(np.concatenate([dst[rules], np.where(kind[rules] < 5, src[rules], dst[rules])]))
+    wide = len(names) + 1
+    a = of_rule * wide + np.searchsorted(names, dst[rules])
+    b = np.where(kind[rules] < 5, of_rule * wide + np.searchsorted(names, np.where(kind[rules] < 5, src[rules], dst[rules])), a)
+    nodes = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    sets = Sets(len(nodes), sizes, width)
+    starts = np.flatnonzero((m_of[at] >= 0) & zero)
+    at_zero = of(at[starts], dst[starts])
+    sets.cells[number[at_zero], 0, m_of[at[starts]]] |= Sets.NULL
+    k = kind[rules]
+    alloc = np.flatnonzero(k == 5)
+    sets.join(a[alloc], np.uint64(1) << (number[of(at[rules[alloc]], src[rules[alloc]])] * sets.step + 1).astype(np.uint64))
+    sets.join(a[k == 6], np.full(int((k == 6).sum()), Sets.NULL))
+    # each rule once, sorted by module
+    by = {}
+    for code in range(5):
+        one = np.flatnonzero(k == code)
+        more = np.clip(off[rules[one]], -1, sets.width) if code == 1 else np.clip(length[rules[one]], 0, sets.width) if code == 4 else np.zeros(len(one), np.int64)
+        if len(one):
+            keep = np.unique(np.stack([of_rule[one], a[one], b[one], more]), axis=1)
+            by[code] = [keep[0], keep[1], keep[2], keep[3]]
+    owner = nodes // wide
+    active = np.ones(len(mine), bool)
+    while active.any():
+        now = {code: [c[active[r[0]]] for c in r] for code, r in by.items()}
+        before, cells = sets.pt.copy(), sets.cells.copy()
+        for code, (m, to, from_, more) in now.items():
+            if not len(m):
+                continue
+            if code > 2:  # the rules that have something to write
+                some = np.flatnonzero((sets.pt[to] != 0) & (sets.pt[from_] != 0))
+                if not len(some):
+                    continue
+                m, to, from_, more = m[some], to[some], from_[some], more[some]
+            if code == 0:
+                sets.join(to, sets.pt[from_])
+            elif code == 1:
+                for d in np.unique(more):
+                    at_d = np.flatnonzero(more == d)
+                    sets.join(to[at_d], sets.moved(sets.pt[from_[at_d]], int(d), m[at_d]))
+            elif code == 2:
+                sets.join(to, sets.loaded(sets.pt[from_], m))
+            else:
+                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                got = sets.stored(sets.pt[to], sets.pt[from_]) if code == 3 else sets.copied(sets.pt[to], sets.pt[from_], more, m)
+                sets.write(got, first, m[first])
+        active = (cells != sets.cells).any(axis=(0, 1))
+        active[owner[before != sets.pt]] = True
+
+    def told(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+    def places(m: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        null = bit == 63
+        return np.where(null, NULL_, object_id[m, np.where(null, 0, bit // sets.step)]), np.where(null, 0, bit % sets.step - 1)
+
+    for x in range(0, len(nodes), 100_000):
+        i, bit = told(sets.pt[x : x + 100_000])
+        m = owner[x + i]
+        yield pa.table([ids[mine[m]], np.zeros(len(i), np.int32), names[nodes[x + i] % wide], np.zeros(len(i), np.int64), *places(m, bit)], names=["module", "r", "a", "b", "tgt", "off"])
+    full = np.flatnonzero(sets.cells.ravel())
+    for x in range(0, len(full), 100_000):
+        i, bit = told(sets.cells.ravel()[full[x : x + 100_000]])
+        rest, m = np.divmod(full[x + i], len(mine))
+        yield pa.table([ids[mine[m]], np.ones(len(i), np.int32), object_id[m, rest // sets.step], rest % sets.step - 1, *places(m, bit)], names=["module", "r", "a", "b", "tgt", "off"])
+
+
 #: A call by pointer passes node off to the parameter and takes the result; a fork does the first, a join the second.
 CALLS = ("call", "fork", "join")
 
@@ -209,8 +451,8 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, lar
     """(pt, mem), flow-insensitive, before absorption. functions(module, obj, param, result): what calls, forks and joins by
     a pointer to obj are wired to, as soon as it is found to point there.
 
-    Modules are independent: each of up to large constraints is solved in one pass where its rows meet; larger ones are
-    solved together by rounds over relations, analyse_large(). A load of an object that is zero-initialised always may give
+    Modules are independent: those of up to large constraints are solved in one pass where their rows meet, side by side
+    if they have no calls and few places; larger ones are solved together by rounds over relations, analyse_large(). A load of an object that is zero-initialised always may give
     null.
     """
     few, many = split_by_size(cons, ["module"], large)
@@ -221,7 +463,7 @@ def analyse(cons: DataFrame, objects: DataFrame, field_limit: int = 1 << 60, lar
             rows = rows.unionByName(functions.select("module", F.lit("function").alias("kind"), F.col("obj").alias("dst"), F.col("param").alias("src"), F.col("result").alias("off"), F.lit(None).cast("long").alias("len")))
         rows = rows if many is None else rows.join(few, "module", "left_semi")
 
-        told = materialize(per_group(rows, ["module"], lambda _, group: solve_columns(group, field_limit), STATE, columns=True), "points-to")
+        told = materialize(many_groups(rows, "module", lambda table: solve_tables(table, field_limit), STATE), "points-to")
         parts.append((told.where("r = 0").select("module", F.col("a").alias("n"), "tgt", "off"), told.where("r = 1").select("module", F.col("a").alias("obj"), F.col("b").alias("off"), "tgt", F.col("off").alias("toff"))))
     if many is not None or not parts:
         mine = (lambda df: df.join(many, "module", "left_semi")) if many is not None else (lambda df: df)

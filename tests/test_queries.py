@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import rows, sql_rows
 
@@ -487,3 +488,22 @@ def test_moved_cells_are_gathered_before_they_are_written(monkeypatch):
     every = {(o, at) for o in range(n) for at in (-1, 0, 4, 8, 12)}
     assert len(calls) < 10 * len(every)
     assert pt == {0: every} and mem == {o: dict.fromkeys((-1, 0, 4, 8, 12), every) for o in range(n)}
+
+
+def test_points_to_sets_of_many_modules_side_by_side():
+    """As bits, against one module at a time: rules of every kind, sizes and lengths, also such as don't fit the bits."""
+    rnd = random.Random(21)
+    for limit in (1, 3, 8, 1 << 60):
+        rows_ = [(None, "alloc", 1, 2, None, None), (None, "copy", 3, 1, None, None)]
+        for module in range(120):
+            n = rnd.choice([2, 4, 8])
+            for _ in range(rnd.randrange(1, 40)):
+                kind = rnd.choice(["alloc", "alloc", "copy", "gep", "load", "store", "memcpy", "null"] + ["call"] * (module % 40 == 0))
+                dst, src = rnd.randrange(n), rnd.randrange(rnd.choice([n, n, 20 if module % 30 == 1 else n]))
+                off = rnd.choice([None, 0, 1, 4, 8, 30, -2]) if kind == "gep" else None
+                rows_.append((module, kind, None if rnd.random() < 0.002 else dst, None if kind == "null" else src, off, rnd.choice([0, 1, 2, 8, 40] + [None] * (module % 25 == 0)) if kind == "memcpy" else None))
+            rows_ += [(module, "object", o, rnd.choice([0, 0, 1, None]), rnd.choice([None, 0, 1, 5, 7, 9, 60]), None) for o in range(rnd.randrange(7))]
+        table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), (pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["module", "kind", "dst", "src", "off", "len"])
+        got = [tuple(r.values()) for part in P.solve_tables(table, limit) for r in part.to_pylist()]
+        want = [(m, *r) for m in (None, *range(120)) for r in zip(*P.solve_columns([x[1:] for x in rows_ if x[0] == m], limit), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == set(want) and len(want) > 1000
