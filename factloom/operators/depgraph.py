@@ -322,13 +322,20 @@ def forward_slice_over_calls(graph: DataFrame, criteria: DataFrame) -> DataFrame
 def invalid_dependences(nodes: DataFrame, dep: DataFrame, control: DataFrame) -> DataFrame:
     """(fn, node, error): edges with an end that isn't a node, control edges that the control dependences control(fn, node,
     depends_on) lack, control dependences without an edge, nodes on no edge."""
-    ids = nodes.select("fn", "node")
-    ends = dep.select("fn", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    is_ = dep.where("etype = 'control'").select("fn", F.col("dst").alias("node"), F.col("src").alias("depends_on"))
-    told = control.select("fn", "node", "depends_on")
-    error = lambda df, name: df.select("fn", "node").distinct().withColumn("error", F.lit(name))
-    return error(ends.join(ids, ["fn", "node"], "left_anti"), "no node").unionByName(error(is_.join(told, ["fn", "node", "depends_on"], "left_anti"), "unknown control")).unionByName(
-        error(told.join(is_, ["fn", "node", "depends_on"], "left_anti"), "missing control")).unionByName(error(ids.join(ends, ["fn", "node"], "left_anti"), "isolated"))
+    # rows meet once, by function; what a function holds is grouped there by node and by control edge
+    none = F.lit(None).cast("long")
+    row = lambda df, a, b, kind: df.select("fn", F.col(a).alias("node"), (F.col(b) if b else none).alias("on"), F.lit(kind).cast("int").alias("kind") if isinstance(kind, int) else kind.alias("kind"))
+    edge = F.when(F.col("etype") == "control", 4).otherwise(2)
+    rows = row(nodes, "node", None, 1).unionByName(row(dep, "dst", "src", edge)).unionByName(row(control, "node", "depends_on", 8)).repartition("fn")
+    end = lambda c: F.struct(F.col(c).alias("node"), none.alias("on"), F.lit(2).alias("is"), F.lit(False).alias("pair"))
+    same = F.struct("node", "on", F.col("kind").alias("is"), (F.col("kind") > 2).alias("pair"))
+    parts = F.when(F.col("kind") == 2, F.array(end("node"), end("on"))).when(F.col("kind") == 4, F.array(end("node"), end("on"), same)).otherwise(F.array(same))
+    is_ = rows.select("fn", F.explode(parts).alias("x")).groupBy("fn", "x.node", "x.on", "x.pair").agg(F.expr("bit_or(x.is)").alias("is"))
+    # null equals nothing
+    known = F.col("fn").isNotNull() & F.col("node").isNotNull() & (F.col("on").isNotNull() | ~F.col("pair"))
+    lacks = lambda one, other, name: F.when((F.col("is").bitwiseAND(one) != 0) & ~((F.col("is").bitwiseAND(other) != 0) & known), F.lit(name))
+    errors = F.filter(F.array(lacks(2, 1, "no node"), lacks(4, 8, "unknown control"), lacks(8, 4, "missing control"), lacks(1, 2, "isolated")), lambda e: e.isNotNull())
+    return is_.select("fn", "node", F.explode(errors).alias("error")).distinct()
 
 
 def module_statistics(nodes: DataFrame, edges: DataFrame, calls: DataFrame, entry: int) -> DataFrame:

@@ -507,3 +507,20 @@ def test_points_to_sets_of_many_modules_side_by_side():
         got = [tuple(r.values()) for part in P.solve_tables(table, limit) for r in part.to_pylist()]
         want = [(m, *r) for m in (None, *range(120)) for r in zip(*P.solve_columns([x[1:] for x in rows_ if x[0] == m], limit), strict=True)]
         assert len(got) == len(set(got)) and set(got) == set(want) and len(want) > 1000
+
+
+def test_invalid_dependences_meet_once(spark):
+    """As joins tell them, with nulls, from one shuffle."""
+    rnd = random.Random(36)
+    some = lambda n: rnd.choice([*range(n), None])
+    nodes = {(some(4), some(9)) for _ in range(25)}
+    dep = {(some(4), some(9), some(9), rnd.choice(["control", "data", "use", None])) for _ in range(60)}
+    told = {(some(4), some(9), some(9)) for _ in range(30)} | {(f, b, a) for f, a, b, e in dep if e == "control" and rnd.random() < 0.5}
+    ends = {(f, x) for f, a, b, _ in dep for x in (a, b)}
+    is_ = {(f, b, a) for f, a, b, e in dep if e == "control"}
+    lacking = lambda rows_, others, name: {(*r[:2], name) for r in rows_ if None in r or r not in others}
+    want = lacking(ends, nodes, "no node") | lacking(is_, told, "unknown control") | lacking(told, is_, "missing control") | lacking(nodes, ends, "isolated")
+    out = D.invalid_dependences(*(spark.createDataFrame(sorted(d, key=repr), ddl) for d, ddl in ((nodes, "fn long, node long"), (dep, "fn long, src long, dst long, etype string"), (told, "fn long, node long, depends_on long"))))
+    got = [tuple(r) for r in out.select("fn", "node", "error").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({e for *_, e in want}) == 4
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
