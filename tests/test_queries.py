@@ -403,6 +403,20 @@ def test_call_graph_tells_each_function_once(spark, monkeypatch):
     assert sorted(map(tuple, df.select("caller", "call", "callee").collect())) == sorted(want)
 
 
+def test_calls_by_pointer_meet_packs_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(D, "PACK", 3)
+    monkeypatch.setattr(D, "CALLS_DEALT", 2)
+    ptr = [(i % 5, i, 100 + i, k) for i, k in enumerate([1, 1, 1, 2, 7, None, 1, 2])] + [(0, 0, 100, 2)]
+    taken = [(fn, 1) for fn in range(20)] + [(None, 1), (30, 2), (31, 2), (32, None), (3, 1), (40, 5)]
+    want = {(c, p, fn) for c, p, _, k in ptr if k is not None for fn, j in set(taken) if j == k} | {(0, 0, 3)}
+    long = lambda *names: ", ".join(f"{n} long" for n in names)
+    df = D.call_graph(spark.createDataFrame([(0, 0, 3)], long("caller", "call", "callee")), spark.createDataFrame(ptr, long("caller", "call", "n", "n_args")), spark.createDataFrame([], long("n", "tgt")), spark.createDataFrame(taken, long("fn", "n_args")))
+    got = [tuple(r) for r in df.select("caller", "call", "callee").collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" in plan
+
+
 def test_effects_carried_to_callers_equal_rounds(spark):
     rnd = random.Random(8)
     sites = [(rnd.choice([*range(30), None]), 1, i, rnd.choice(["def", "kill", "use"]), rnd.randint(0, 5), rnd.choice([None, rnd.randint(0, 60)]), rnd.choice([None, rnd.randint(60, 99)])) for i in range(150)]
